@@ -11,7 +11,9 @@ from .mixing import mix
 from .packing import best_fit
 from .simhash_dedup import simhash_components
 from .token_counts import token_counts
+from .topk_search import top_k
 from .toxicity import learn, scores
+from .url_filter import judge, judge_sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +29,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(docs, learn(docs, _table(spark, sf_dir, "labels")))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(_table(spark, sf_dir, "pages"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -41,16 +47,22 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op3_url_filter": op3_url_filter,
     "op4_token_counts": op4_token_counts,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_source_mixing": op7_source_mixing,
+    "op8_topk_search": op8_topk_search,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
@@ -69,5 +81,21 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM w
 """
 
 
+OP8_SQL = """
+WITH v AS (
+  SELECT vec_id, [cast(floor(256 * cast(x AS DOUBLE)) AS DOUBLE) for x in embedding] AS m
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, cast(list_dot_product(q.m, c.m) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT *, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL}
+    return {"op3_url_filter": judge_sql(), "op5_exact_dedup": OP5_SQL, "op8_topk_search": OP8_SQL}
