@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .exact_dedup import exact_dedup
 from .mixing import mix
 from .packing import best_fit
+from .pii import find_pii
 from .simhash_dedup import simhash_components
 from .token_counts import token_counts
 from .topk_search import top_k
@@ -55,6 +56,10 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit(_table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_url_filter": op3_url_filter,
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_source_mixing": op7_source_mixing,
     "op8_topk_search": op8_topk_search,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_pii": op10_pii,
 }
 
 OP5_SQL = r"""
