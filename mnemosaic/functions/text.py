@@ -89,24 +89,29 @@ def should_retrieve(query: Column) -> Column:
     return (F.length(q) > 0) & ~q.rlike(f"(?i){any_of(SKIP)}") & ~q.rlike("^[😀-🙏]+$")
 
 
+def keyword_class(query: Column) -> Column:
+    """(score, order, intent, confidence) of the class with the most words; specific classes count double and win ties."""
+    specific = ("habit", "skill", "goal", "health", "work")
+    rows = []
+    for n, (name, words) in enumerate(INTENT_WORDS.items()):
+        score = F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(query, w))) * (2 if name in specific else 1)
+        known = name in (*specific, "fact")
+        rows.append(F.struct(score.alias("score"), F.lit(-n).alias("order"), F.when(score > 0, name if known else "fact").otherwise("fact").alias("intent"), F.when(score > 0, 0.75 if known else 0.5).otherwise(0.5).alias("confidence")))
+    return F.array_max(F.array(*rows))
+
+
 def intent(query: Column) -> Column:
-    """The name of the first rule that holds, else the keyword class with the most words, specific ones first."""
-    count = lambda words: sum((F.contains(query, F.lit(w)).cast("int") for w in words), F.lit(0))
-    scores = {k: count(w) * (2 if k in ("habit", "skill", "goal", "health", "work") else 1) for k, w in INTENT_WORDS.items()}
-    best = F.greatest(*scores.values())
-    keyword = F.lit("fact")
-    for k in ("fact", "work", "health", "goal", "skill", "habit"):
-        keyword = F.when((scores[k] == best) & (best > 0), k).otherwise(keyword)
+    """The name of the first rule that holds, else the keyword class."""
     return (
         F.when(query.rlike(any_of((*NEGATION_PATTERNS, *NEGATION))), "negation").when(query.rlike(any_of(MULTIHOP)), "multihop")
         .when(query.rlike(any_of(LESSON)), "lesson").when(query.rlike(any_of(TEMPORAL)), "temporal").when(F.lower(query).rlike(any_of(tuple(PINYIN))), "fuzzy")
-        .when(query.rlike(any_of(DECISION)), "decision").otherwise(keyword)
+        .when(query.rlike(any_of(DECISION)), "decision").otherwise(keyword_class(query)["intent"])
     )
 
 
 def intent_confidence(query: Column, name: Column) -> Column:
     fixed = F.when(name == "negation", 0.9).when(name.isin("multihop", "lesson", "temporal"), 0.85).when(name.isin("fuzzy", "decision"), 0.8)
-    return fixed.when(query.rlike(any_of(tuple(w for words in INTENT_WORDS.values() for w in words))), 0.75).otherwise(0.5)
+    return fixed.otherwise(keyword_class(query)["confidence"])
 
 
 def expand(query: Column) -> Column:

@@ -38,7 +38,7 @@ def a3(spark, d):
 @query("a5_a7_dashboard", f"""WITH {MEM}, c AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER ({_OLD}) AS stale, count(*) FILTER (source = '') AS orphan, count(*) FILTER (importance < 0.5) AS low, count(*) FILTER (type = 'fact') AS fact, count(*) FILTER (type = 'preference') AS pref FROM mem),
 t AS (SELECT max(k) AS top FROM (SELECT count(*) AS k FROM mem GROUP BY type)),
 s AS (SELECT round(100 - least(25, 5 * stale) - least(15, 3 * orphan) - CASE WHEN low / n > 0.3 THEN 10 ELSE 0 END - CASE WHEN top / n > 0.8 THEN 5 ELSE 0 END - CASE WHEN (fact > 0 AND pref = 0) OR (fact > 20 AND pref < 3) THEN 5 ELSE 0 END, 2)::DOUBLE AS score, stale > 0 AS refresh, orphan > 0 AS link, low / n > 0.3 AS raise FROM c, t)
-SELECT score, CASE WHEN score >= 90 THEN 'excellent' WHEN score >= 75 THEN 'good' WHEN score >= 50 THEN 'fair' WHEN score >= 25 THEN 'poor' ELSE 'critical' END AS label, list_filter([CASE WHEN refresh THEN 'refresh stale' END, CASE WHEN link THEN 'link orphans' END, CASE WHEN raise THEN 'raise low' END], x -> x IS NOT NULL) AS advice FROM s""")
+SELECT score, CASE WHEN score >= 90 THEN 'excellent' WHEN score >= 75 THEN 'good' WHEN score >= 50 THEN 'fair' WHEN score >= 25 THEN 'poor' ELSE 'critical' END AS label, list_filter([CASE WHEN refresh THEN 'refresh stale' END, CASE WHEN link THEN 'link orphans' END, CASE WHEN raise THEN 'raise low' END], lambda x: x IS NOT NULL) AS advice FROM s""")
 def a5(spark, d):
     m = memories(spark, d)
     by = m.groupBy("type").agg(F.count("*").alias("k"), F.count_if(F.expr(_OLD)).alias("stale"), F.count_if(F.col("source") == "").alias("orphan"), F.count_if(F.col("importance") < 0.5).alias("low"))
@@ -132,10 +132,10 @@ def w1(spark, d):
     return windows.repeats_before(e, "k", "ts").select("event_id", "repeats")
 
 
-@query("w3_w4_last_rows", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 4) AS last10, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING) AS prior100, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS running_avg, max(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running_max FROM events")
+@query("w3_w4_last_rows", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 4) AS last10, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING) AS prior100, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 7) AS running_avg, max(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running_max FROM events")
 def w3(spark, d):
     u, t = Window.partitionBy("user_id").orderBy("ts", "event_id"), Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "events").select("event_id", F.round(F.sum("value").over(u.rowsBetween(-9, 0)), 4).alias("last10"), F.count("*").over(u.rowsBetween(-100, -1)).alias("prior100"), F.round(F.avg("value").over(t), 4).alias("running_avg"), F.max("value").over(t).alias("running_max"))
+    return table(spark, d, "events").select("event_id", F.round(F.sum("value").over(u.rowsBetween(-9, 0)), 4).alias("last10"), F.count("*").over(u.rowsBetween(-100, -1)).alias("prior100"), F.round(F.avg("value").over(t), 7).alias("running_avg"), F.max("value").over(t).alias("running_max"))
 
 
 @query("w5_w8_newest", "SELECT user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 3")

@@ -151,7 +151,7 @@ _BEST = f"greatest({', '.join(_SC.values())})"
 @query("x13_x14_intent", f"""WITH {literal_sql(Q)}, i AS (SELECT q, CASE WHEN regexp_matches(q, '{_re((*text.NEGATION_PATTERNS, *text.NEGATION))}') THEN 'negation' WHEN regexp_matches(q, '{_re(text.MULTIHOP)}') THEN 'multihop'
  WHEN regexp_matches(q, '{_re(text.LESSON)}') THEN 'lesson' WHEN regexp_matches(q, '{_re(text.TEMPORAL)}') THEN 'temporal' WHEN regexp_matches(lower(q), '{_re(tuple(text.PINYIN))}') THEN 'fuzzy' WHEN regexp_matches(q, '{_re(text.DECISION)}') THEN 'decision'
  {' '.join(f"WHEN {_BEST} > 0 AND {_SC[k]} = {_BEST} THEN '{k}'" for k in ('habit', 'skill', 'goal', 'health', 'work', 'fact'))} ELSE 'fact' END AS intent FROM l)
-SELECT q, intent, CASE WHEN intent = 'negation' THEN 0.9 WHEN intent IN ('multihop','lesson','temporal') THEN 0.85 WHEN intent IN ('fuzzy','decision') THEN 0.8 WHEN {_BEST} > 0 THEN 0.75 ELSE 0.5 END::DOUBLE AS confidence FROM i""")
+SELECT q, intent, CASE WHEN intent = 'negation' THEN 0.9 WHEN intent IN ('multihop','lesson','temporal') THEN 0.85 WHEN intent IN ('fuzzy','decision') THEN 0.8 WHEN {_BEST} > 0 AND {_BEST} IN ({', '.join(_SC[k] for k in ('habit', 'skill', 'goal', 'health', 'work', 'fact'))}) THEN 0.75 ELSE 0.5 END::DOUBLE AS confidence FROM i""")
 def x13(spark, d):
     name = text.intent(F.col("q"))
     return literals(spark, Q).select("q", name.alias("intent")).withColumn("confidence", text.intent_confidence(F.col("q"), F.col("intent")))
@@ -162,12 +162,12 @@ def x14(spark, d):
     return literals(spark, Q).select("q", text.expand(F.col("q")).alias("queries"), text.weights_of(text.intent(F.col("q"))).alias("weights"))
 
 
-@query("x20_x22_shapes", r"""SELECT event_id, regexp_matches(props, '(?i)[0-9a-f]{8}-') AS has_uuid, CASE WHEN value < 1024 THEN printf('%.1f B', value) ELSE printf('%.1f KB', value / 1024) END AS size_text,
+@query("x20_x22_shapes", r"""SELECT event_id, regexp_matches(props, '(?i)[0-9a-f]{8}-') AS has_uuid, CASE WHEN value < 1024 THEN printf('%d B', floor(value)::BIGINT) ELSE printf('%d KB', floor(value / 1024)::BIGINT) END AS size_text,
 CASE WHEN contains(event_type, 'error') THEN 'error' WHEN contains(event_type, 'click') THEN 'click' ELSE 'other' END AS kind FROM events""")
 def x20(spark, d):
     e = table(spark, d, "events")
     kind = F.when(F.contains("event_type", F.lit("error")), "error").when(F.contains("event_type", F.lit("click")), "click").otherwise("other")
-    size = F.when(F.col("value") < 1024, F.format_string("%.1f B", "value")).otherwise(F.format_string("%.1f KB", F.col("value") / 1024))
+    size = F.when(F.col("value") < 1024, F.format_string("%d B", F.floor("value"))).otherwise(F.format_string("%d KB", F.floor(F.col("value") / 1024)))
     return e.select("event_id", F.col("props").rlike("(?i)[0-9a-f]{8}-").alias("has_uuid"), size.alias("size_text"), kind.alias("kind"))
 
 
