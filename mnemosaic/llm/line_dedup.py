@@ -138,13 +138,14 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Cells (t, key, lo, hi) in order: links of a spanning forest of similar lines."""
+    """Cells (t, key, lo, hi) in order: links of a spanning forest of similar lines.
 
-    def settle(cell: pd.DataFrame) -> list[tuple[int, int]]:
-        lo, hi = int(cell["lo"].iloc[0]), int(cell["hi"].iloc[0])
-        lids, c = cell["lid"].tolist(), cell["c"].tolist()
-        sets = [shingles(bytes(x).decode("utf-8", "replace")) for x in cell["line"]]
+    A pair that also meets in an earlier band was compared there, so each pair is compared once.
+    """
+
+    def settle(t: int, lo: int, hi: int, lids: list[int], c: list[int], lines: list[bytes], bands: list) -> list[tuple[int, int]]:
         parent = list(range(len(lids)))
+        sets: dict[int, set[str]] = {}
 
         def find(x: int) -> int:
             while parent[x] != x:
@@ -152,30 +153,45 @@ def _compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 x = parent[x]
             return x
 
-        order = sorted(range(len(lids)), key=lambda i: len(sets[i]))
+        def of(i: int) -> set[str]:
+            if i not in sets:
+                sets[i] = shingles(lines[i].decode("utf-8", "replace"))
+            return sets[i]
+
         out = []
-        for p, i in enumerate(order):
-            for j in order[p + 1 :]:
-                if len(sets[i]) < SIMILARITY * len(sets[j]):
-                    break
-                if lo != hi and c[i] == c[j] or find(i) == find(j):
+        for i in range(len(lids)):
+            for j in range(i):
+                if lo != hi and c[i] == c[j] or any(bands[i][u] == bands[j][u] for u in range(t)) or find(i) == find(j):
                     continue
-                both = len(sets[i] & sets[j])
-                if both >= SIMILARITY * (len(sets[i]) + len(sets[j]) - both):
+                x, y = of(i), of(j)
+                if min(len(x), len(y)) < SIMILARITY * max(len(x), len(y)):
+                    continue
+                both = len(x & y)
+                if both >= SIMILARITY * (len(x) + len(y) - both):
                     parent[find(i)] = find(j)
                     out.append((lids[i], lids[j]))
         return out
 
-    rest: pd.DataFrame | None = None
-    for frame in frames:
-        frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-        cuts = [0, *np.flatnonzero((frame[["t", "key", "lo", "hi"]].diff().fillna(0) != 0).any(axis=1)).tolist()]
-        found = [x for a, b in zip(cuts[:-1], cuts[1:]) if b - a > 1 for x in settle(frame.iloc[a:b])]
+    rest: list[tuple] = []
+    for frame in _then_none(frames):
+        rows = [] if frame is None else list(zip(*(frame[x].tolist() for x in ("t", "key", "lo", "hi", "lid", "c", "line", *(f"k{b}" for b in range(BANDS))))))
+        found: list[tuple[int, int]] = []
+        cell = rest
+        for row in [*rows, None] if frame is None else rows:
+            if cell and (row is None or row[:4] != cell[0][:4]):
+                if len(cell) > 1:
+                    found += settle(cell[0][0], cell[0][2], cell[0][3], [r[4] for r in cell], [r[5] for r in cell], [bytes(r[6]) for r in cell], [r[7:] for r in cell])
+                cell = []
+            if row is not None:
+                cell.append(row)
+        rest = cell
         if found:
             yield pd.DataFrame(found, columns=["a", "b"])
-        rest = frame.iloc[cuts[-1] :]
-    if rest is not None and len(rest) > 1 and (found := settle(rest)):
-        yield pd.DataFrame(found, columns=["a", "b"])
+
+
+def _then_none(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
+    yield from frames
+    yield None
 
 
 def line_links(docs: DataFrame, text_col: str = "text", capacity: int = 256) -> DataFrame:
@@ -183,7 +199,8 @@ def line_links(docs: DataFrame, text_col: str = "text", capacity: int = 256) ->
     text = needed(docs, text=(text_col, "string")).select(F.col("text").cast("binary").alias("text"))
     kinds = ", ".join(f"k{b} long" for b in range(BANDS))
     lines = text.mapInArrow(_signed, f"lid long, {kinds}").groupBy("lid").agg(*(F.min(f"k{b}").alias(f"k{b}") for b in range(BANDS)))
-    keyed = stored(lines, "line-signatures").select("lid", F.posexplode(F.array(*(f"k{b}" for b in range(BANDS)))).alias("t", "key"))
+    bands = [f"k{b}" for b in range(BANDS)]
+    keyed = stored(lines, "line-signatures").select("lid", *bands, F.posexplode(F.array(*bands)).alias("t", "key"))
     sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
     met = stored(keyed.join(sizes, ["t", "key"]).withColumn("chunks", F.ceil(F.col("n") / capacity).cast("int")), "line-meetings")
     wanted = met.select("lid").distinct()
@@ -191,7 +208,7 @@ def line_links(docs: DataFrame, text_col: str = "text", capacity: int = 256) ->
     once = found.groupBy("lid").agg(F.first("line").alias("line"))
     cells = met.join(once, "lid").withColumn("c", F.pmod(F.xxhash64("lid"), F.col("chunks")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    cells = cells.select("t", "key", F.least("c", "other").alias("lo"), F.greatest("c", "other").alias("hi"), "c", "lid", "line")
+    cells = cells.select("t", "key", F.least("c", "other").alias("lo"), F.greatest("c", "other").alias("hi"), "c", "lid", "line", *bands)
     return cells.repartition("t", "key", "lo", "hi").sortWithinPartitions("t", "key", "lo", "hi").mapInPandas(_compare, "a long, b long")
 
 
