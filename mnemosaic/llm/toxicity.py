@@ -28,6 +28,7 @@ from .shared import needed
 
 BUCKET_BITS, DIM, WIDTHS, FILTERS = 16, 8, (1, 2, 3), 8
 SLICE_BYTES = 1 << 20
+LEAK = 0.1
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint64)
 IS_WORD = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 PAD = 1 << BUCKET_BITS
@@ -53,6 +54,11 @@ def word_buckets(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, (h & mask).astype(np.int32), ((h >> np.uint64(32)) & mask).astype(np.int32)
 
 
+def leaky(x: np.ndarray) -> np.ndarray:
+    """A rectifier with a small slope below zero, so no filter stops learning for good."""
+    return np.maximum(x, LEAK * x)
+
+
 @dataclass
 class Model:
     """Parameters; small and of a fixed size, so they travel with the tasks."""
@@ -81,7 +87,7 @@ class Model:
         return np.concatenate(out, axis=1)
 
     def logit(self, pooled: np.ndarray) -> np.ndarray:
-        return np.maximum(pooled + self.bias, 0) @ self.out + self.c
+        return leaky(pooled + self.bias) @ self.out + self.c
 
     def score(self, logits: np.ndarray) -> np.ndarray:
         return np.zeros(len(logits)) if self.empty else 1 / (1 + np.exp(-np.clip(self.scale * logits + self.shift, -40, 40)))
@@ -133,7 +139,7 @@ def score_texts(model: Model, texts: list[bytes]) -> np.ndarray:
     return model.score(model.logit(pooled))
 
 
-def train(texts: list[bytes], labels: list[int], langs: list[str | None], held: list[bool], epochs: int = 8, batch: int = 32, rate: float = 0.08, seed: int = 5) -> Model:
+def train(texts: list[bytes], labels: list[int], langs: list[str | None], held: list[bool], epochs: int = 8, batch: int = 32, rate: float = 0.05, least_steps: int = 400, seed: int = 5, odds: float | None = None) -> Model:
     """held rows calibrate the scale and the thresholds; the others train the network by Adagrad."""
     rng = np.random.default_rng(seed)
     tables = [np.vstack([rng.normal(0, 0.02, (PAD, DIM)), np.zeros((1, DIM))]).astype(np.float32) for _ in range(2)]
@@ -154,7 +160,7 @@ def train(texts: list[bytes], labels: list[int], langs: list[str | None], held:
         param -= rate * grad / np.sqrt(g)
 
     squares = [np.full(PAD + 1, 1e-3, np.float32) for _ in range(2)]
-    for _ in range(epochs):
+    for _ in range(max(epochs, min(60, -(-least_steps * batch // len(fit))))):
         order = rng.permutation(fit)
         for at in range(0, len(order), batch):
             docs = order[at : at + batch]
@@ -162,9 +168,9 @@ def train(texts: list[bytes], labels: list[int], langs: list[str | None], held:
             maps = model.maps(b1, b2)
             best = np.array([starts[i] + maps[starts[i] : starts[i + 1]].argmax(0) for i in range(len(docs))])
             pooled = maps[best, np.arange(n)]
-            hidden = np.maximum(pooled + model.bias, 0)
+            hidden = leaky(pooled + model.bias)
             miss = (1 / (1 + np.exp(-np.clip(hidden @ model.out + model.c, -30, 30))) - y[docs]) / len(docs)
-            back = miss[:, None] * model.out[None, :] * (hidden > 0)
+            back = miss[:, None] * model.out[None, :] * np.where(hidden > 0, 1, LEAK)
             grad_filters, rows, grads = [], [], []
             last = len(b1) - 1
             for k, w in enumerate(WIDTHS):
@@ -192,18 +198,22 @@ def train(texts: list[bytes], labels: list[int], langs: list[str | None], held:
                 square[touched] += (total * total).mean(1)
                 table[touched] -= rate * total / np.sqrt(square[touched])[:, None]
                 table[PAD] = 0
-    calibrate(model, texts, y, langs, np.array(held, bool))
+    calibrate(model, texts, y, langs, np.array(held, bool), odds)
     return model
 
 
-def calibrate(model: Model, texts: list[bytes], y: np.ndarray, langs: list[str | None], held: np.ndarray) -> None:
-    """Platt scaling, then for each language the threshold of the best F1 (ties: nearest to the default), on held rows."""
+def calibrate(model: Model, texts: list[bytes], y: np.ndarray, langs: list[str | None], held: np.ndarray, odds: float | None = None) -> None:
+    """Platt scaling, then for each language the threshold of the best F1 (ties: nearest to the default), on held rows.
+
+    odds: of label 1 among all labelled rows; the sample has its own, so clean rows weigh as much more as there are more of them.
+    """
     at = np.flatnonzero(held)
     if not len(at) or len(set(y[at])) < 2:
         return
     p = np.clip(score_texts(model, [texts[i] for i in at]), 1e-9, 1 - 1e-9)
     z = np.log(p / (1 - p))
     good, bad = y[at].sum(), (1 - y[at]).sum()
+    ratio = (good / bad) / odds if odds else 1.0
     goal = np.where(y[at] > 0, (good + 1) / (good + 2), 1 / (bad + 2))
     a, b = 1.0, 0.0
     for _ in range(300):
@@ -212,8 +222,8 @@ def calibrate(model: Model, texts: list[bytes], y: np.ndarray, langs: list[str |
         h = np.array([[np.sum(w * z * z) + 1e-3, np.sum(w * z)], [np.sum(w * z), np.sum(w) + 1e-3]])
         step = np.linalg.solve(h, np.array([np.sum((q - goal) * z) + 1e-3 * (a - 1), np.sum(q - goal)]))
         a, b = a - step[0] * 0.5, b - step[1] * 0.5
-    if a > 0:
-        model.scale, model.shift = float(a), float(b)
+    if a > 0 and np.isfinite(a + b):
+        model.scale, model.shift = float(a), float(b - np.log(ratio))
     q = 1 / (1 + np.exp(-np.clip(model.scale * z + model.shift, -40, 40)))
     lang = np.array([str(langs[i]) for i in at])
     for name in set(lang):
@@ -224,7 +234,7 @@ def calibrate(model: Model, texts: list[bytes], y: np.ndarray, langs: list[str |
         for t in np.linspace(0.1, 0.9, 81):
             said = q[mine] >= t
             hit = (said & (y[at][mine] > 0)).sum()
-            tried.append((-2 * hit / max(1, said.sum() + y[at][mine].sum()), abs(t - model.default_threshold), float(t)))
+            tried.append((-2 * hit / max(1, hit + ratio * (said.sum() - hit) + y[at][mine].sum()), abs(t - model.default_threshold), float(t)))
         model.thresholds[name] = min(tried)[2]
 
 
@@ -244,7 +254,8 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     rows = needed(docs, id=(id_col, "long"), text=(text_col, "string"), lang=(lang_col, "string")).where(F.length("text") <= sample_chars)
     found = sorted((r.id, r.y, r.lang or "", r.text) for r in rows.join(ids, "id").select("id", "y", "lang", "text").collect())
     held = [i % 5 == 4 for i in range(len(found))]
-    return train([r[3].encode() for r in found], [r[1] for r in found], [r[2] for r in found], held)
+    n = {r.y: r.n for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows
+    return train([r[3].encode() for r in found], [r[1] for r in found], [r[2] for r in found], held, odds=n[1] / n[0] if len(n) == 2 else None)
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
