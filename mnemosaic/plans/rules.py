@@ -10,7 +10,6 @@ from mnemosaic.operators import windows
 from .registry import query
 from .views import MEM, NOW, literal_sql, literals, memories, table
 
-_now = F.lit(NOW).cast("timestamp")
 Q = ["用户不喜欢吃什么", "用户最近在做什么", "hangzhou 天气", "用户的名字叫什么", "老板的朋友的公司", "学到什么教训", "为什么选择它", "平时的习惯", "/help", "hello", "", "咖啡", "记得我的生日吗", "hello there friend", "好的", "谢谢!", "weather"]
 
 
