@@ -43,7 +43,7 @@ def g4(spark, d):
 @query("g5_j7_paths", f"WITH {EDGES}, p AS (SELECT [a.src, a.dst] AS path FROM e a WHERE a.src = 'c7' AND a.dst LIKE 'r%' UNION ALL SELECT [a.src, a.dst, b.dst] FROM e a JOIN e b ON a.dst = b.src WHERE a.src = 'c7' AND b.dst LIKE 'r%') SELECT path, 1.0::DOUBLE / (len(path) - 1) AS score FROM p")
 def g5(spark, d):
     e = graph_edges(spark, d)
-    ends = e.where("src LIKE 'n%'").select("dst").distinct().orderBy("dst").limit(10)  # regions: a handful
+    ends = e.where("src LIKE 'n%'").select("dst").distinct()  # regions: a handful
     return e.sparkSession.createDataFrame([], "path array<string>, score double").unionByName(_paths_to(e, ends))
 
 

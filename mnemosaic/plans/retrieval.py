@@ -33,12 +33,12 @@ def a10(spark, d):
 
 
 _COS = "list_dot_product(a, b) / nullif(sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b)), 0)"
-VEC = f"e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS a FROM embeddings), vq AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS b FROM embeddings WHERE vec_id < 20), vs AS (SELECT qid, id, coalesce({_COS}, 0.0) AS score FROM e, vq)"
+VEC = f"e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS a FROM embeddings), vq AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS b FROM embeddings WHERE vec_id % 20 = 0), vs AS (SELECT qid, id, coalesce({_COS}, 0.0) AS score FROM e, vq)"
 
 
 def _vectors(spark, d):  # noqa: ANN001, ANN202
     e = table(spark, d, "embeddings").selectExpr("vec_id AS id", "cast(embedding AS array<double>) AS vector")
-    return search.vector_scores(e, e.where("id < 20").selectExpr("id AS qid", "vector AS v"))
+    return search.vector_scores(e, e.where("id % 20 = 0").selectExpr("id AS qid", "vector AS v"))
 
 
 @query("k1_m1_vector_topk", f"WITH {VEC} SELECT qid, id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id)::INT AS rank FROM vs) WHERE rank <= 10")
@@ -93,35 +93,46 @@ def a12(spark, d):
 _W = r"list_distinct([x for x in regexp_split_to_array(lower({0}), '[ \t\n\r]+') if x <> ''])"
 
 
-@query("m12_rerank", rf"""WITH {MEM}, {QRY}, c AS (SELECT qid, id, content, {_W.format('q')} AS a, {_W.format('content')} AS b FROM mem, qry WHERE id < 50 AND qid < 10)
+LISTS = rf"""{RRF}, c AS (SELECT qid, id, pos, content, {_W.format('q')} AS a, {_W.format('content')} AS b FROM o JOIN mem USING (id) JOIN qry USING (qid) WHERE pos <= 10)"""
+_JACCARD = "coalesce(len(list_intersect(x.b, y.b))::DOUBLE / nullif(len(list_distinct(list_concat(x.b, y.b))), 0), 0)"
+PAIRS = f"{LISTS}, lp AS (SELECT x.qid, y.id, y.pos, {_JACCARD} AS s FROM c x JOIN c y ON x.qid = y.qid AND x.pos < y.pos)"
+
+
+def _lists(spark, d):  # noqa: ANN001, ANN202
+    """Each query's ten fused results with their texts."""
+    return _fused(spark, d).select("qid", "id", "pos").join(memories(spark, d).select("id", "content"), "id").join(_queries(spark, d), "qid")
+
+
+def _list_pairs(spark, d):  # noqa: ANN001, ANN202
+    """Pairs within a result list (45 at most, as a list has ten rows): the later row and its similarity to the earlier one."""
+    c = _lists(spark, d).select("qid", "id", "pos", scoring.words(F.col("content")).alias("b"))
+    return c.alias("x").join(c.alias("y"), (F.col("x.qid") == F.col("y.qid")) & (F.col("x.pos") < F.col("y.pos"))).select("x.qid", "y.id", "y.pos", scoring.jaccard(F.col("x.b"), F.col("y.b")).alias("s"))
+
+
+@query("m12_rerank", f"""{LISTS}
 SELECT qid, id, round(0.5 * (1 - 0.5) + 0.3 * coalesce(len(list_intersect(a, b))::DOUBLE / nullif(len(a), 0), 0) + 0.2 * CASE WHEN length(content) < 400 THEN 1 - abs(length(content) - 200) / 400.0 ELSE 0.5 END, 6)::DOUBLE AS score FROM c""")
 def m12(spark, d):
-    c = memories(spark, d).where("id < 50").join(_queries(spark, d).where("qid < 10"), F.lit(True))
-    return c.select("qid", "id", F.round(scoring.fallback_rerank(F.lit(0.5), F.col("q"), F.col("content")), 6).alias("score"))
+    return _lists(spark, d).select("qid", "id", F.round(scoring.fallback_rerank(F.lit(0.5), F.col("q"), F.col("content")), 6).alias("score"))
 
 
-@query("j4_a26_diversity", rf"""WITH {MEM}, c AS (SELECT id, scope_id, {_W.format('content')} AS w FROM mem WHERE id < 60), p AS (SELECT len(list_intersect(a.w, b.w))::DOUBLE / nullif(len(list_distinct(list_concat(a.w, b.w))), 0) AS s FROM c a JOIN c b ON a.id < b.id AND a.scope_id = b.scope_id)
-SELECT count(*) AS pairs, round(avg(coalesce(s, 0)), 6) AS mean, round(max(coalesce(s, 0)), 6) AS high, round(min(coalesce(s, 0)), 6) AS low, count(*) FILTER (s > 0.85) AS near, round(1 - avg(coalesce(s, 0)), 6) AS diversity FROM p""")
+@query("j4_a26_diversity", f"{PAIRS} SELECT qid, count(*) AS pairs, round(avg(s), 6) AS mean, round(max(s), 6) AS high, round(min(s), 6) AS low, count(*) FILTER (s > 0.85) AS near, round(1 - avg(s), 6) AS diversity FROM lp GROUP BY qid")
 def j4(spark, d):
-    """Pairs within the result lists, which are short by construction; here one list for each scope_id."""
-    c = memories(spark, d).where("id < 60").select("id", "scope_id", scoring.words(F.col("content")).alias("w"))
-    p = c.alias("a").join(c.alias("b"), (F.col("a.scope_id") == F.col("b.scope_id")) & (F.col("a.id") < F.col("b.id"))).select(scoring.jaccard(F.col("a.w"), F.col("b.w")).alias("s"))
+    """The diversity of every query's result list."""
+    p = _list_pairs(spark, d).groupBy("qid")
     return p.agg(F.count("*").alias("pairs"), F.round(F.avg("s"), 6).alias("mean"), F.round(F.max("s"), 6).alias("high"), F.round(F.min("s"), 6).alias("low"), F.count_if(F.col("s") > 0.85).alias("near"), F.round(1 - F.avg("s"), 6).alias("diversity"))
 
 
 @query("k10_mmr", None)
 def k10(spark, d):
     """Greedy choice among each query's ten fused results."""
-    c = _fused(spark, d).join(memories(spark, d).select("id", "content"), "id").join(_queries(spark, d), "qid")
-    return search.mmr(c.select("qid", "q", "id", "content"), 5)
+    return search.mmr(_lists(spark, d).select("qid", "q", "id", "content"), 5)
 
 
-@query("m20_dedup_decision", rf"""WITH {MEM}, c AS (SELECT id, scope_id, {_W.format('content')} AS w, len(content) AS n FROM mem WHERE id < 80), p AS (SELECT b.id, max(len(list_intersect(a.w, b.w))::DOUBLE / nullif(len(list_distinct(list_concat(a.w, b.w))), 0)) AS j FROM c a JOIN c b ON a.id < b.id AND a.scope_id = b.scope_id GROUP BY b.id)
-SELECT id, CASE WHEN j > 0.9 THEN 'SKIP' WHEN j > 0.7 THEN 'MERGE' ELSE 'CREATE' END AS decision FROM p""")
+@query("m20_dedup_decision", f"{PAIRS}, m AS (SELECT qid, id, max(s) AS j FROM lp GROUP BY qid, id) SELECT qid, id, CASE WHEN j > 0.9 THEN 'SKIP' WHEN j > 0.7 THEN 'MERGE' ELSE 'CREATE' END AS decision FROM m")
 def m20(spark, d):
-    c = memories(spark, d).where("id < 80").select("id", "scope_id", scoring.words(F.col("content")).alias("w"))
-    p = c.alias("a").join(c.alias("b"), (F.col("a.scope_id") == F.col("b.scope_id")) & (F.col("a.id") < F.col("b.id"))).groupBy(F.col("b.id").alias("id")).agg(F.max(scoring.jaccard(F.col("a.w"), F.col("b.w"))).alias("j"))
-    return p.select("id", search.dedup_decision(F.lit(1.0), F.col("j")).alias("decision"))
+    """Rows of each result list against those before them."""
+    m = _list_pairs(spark, d).groupBy("qid", "id").agg(F.max("s").alias("j"))
+    return m.select("qid", "id", search.dedup_decision(F.lit(1.0), F.col("j")).alias("decision"))
 
 
 @query("f7_search_filter", f"WITH {MEM} SELECT id, type, importance FROM mem WHERE type IN ('fact', 'lesson') AND scope = 'user' AND importance >= 0.3 ORDER BY importance DESC, id LIMIT 25")
