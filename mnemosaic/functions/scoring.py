@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 
@@ -61,6 +61,17 @@ def fallback_rerank(distance: Column, query: Column, content: Column) -> Column:
     return (1 - distance) * 0.5 + F.coalesce(share, F.lit(0.0)) * 0.3 + fit * 0.2
 
 
+def blended_rerank(distance: Column, model_score: Column, *list_keys: str) -> Column:
+    """.3 similarity and .7 of a model's score, scaled to 0..1 within its list; .5 where all of a list's scores are equal."""
+    w = Window.partitionBy(*list_keys)
+    low, high = F.min(model_score).over(w), F.max(model_score).over(w)
+    return (1 - distance) * 0.3 + F.coalesce((model_score - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.5)) * 0.7
+
+
+def graph_score(centrality: Column, depth: Column) -> Column:
+    return centrality * 0.1 / (1 + depth * 0.5)
+
+
 def effective_k(weight: Column) -> Column:
     return 60 / (weight * 5 + 0.5)
 

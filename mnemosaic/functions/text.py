@@ -48,12 +48,36 @@ QUICK_RULES = (
     ("decision", "(?:用|使用)(.+?)(?:吧|吧|好了|的)"), ("fact", "(?:我|用户).*(?:住在|位于|在)(.+?)(?:市|省|县|区)"), ("fact", "(?:我|用户).*(?:是|是一名|做)(.+?)(?:工程|开发|设计|产品|运营|市场)"),
     ("fact", "(?:我|用户).*(?:工作|任职|就职)(?:于|在)(.+)"), ("task_state", "截止.*?(?:是|到|在|为)(.+?[日周月年])"), ("task_state", "deadline.*?(is|:|到|是)(.+)"),
 )
+_HAN, _ANY = "[一-鿿]", "[一-鿿A-Za-z0-9]"
+#: relation, type, pattern, groups of subject (0: none) and object.
 GRAPH_RULES = (
-    ("is_company", "company", "(?:在|于|就职于)([一-鿿]{2,10})(?:公司|集团|企业)"), ("uses", "person_tool", "(?:使用|采用|基于)(React|Vue|Angular|Python|Java|Go|Rust|JavaScript|TypeScript|\\S+)"),
-    ("likes", "preference", "(?:喜欢|爱|偏好)([一-鿿A-Za-z0-9]+)"), ("worked_on", "project", "(?:项目|做了)([一-鿿A-Za-z0-9]{2,15})"), ("lives_in", "location", "(?:住在|定居于|位于)([一-鿿]{2,10})"),
-    ("graduated_from", "education", "(?:毕业于|就读于)([一-鿿]{2,15})(?:大学|学院|学校)"), ("dislikes", "dislike", "(?:不喜欢|讨厌|厌恶|反感)([一-鿿A-Za-z0-9]+)"), ("allergic_to", "allergy", "(?:对|过敏|敏感)([一-鿿A-Za-z0-9]+)(?:过敏|敏感)"),
-    ("has_social", "social", "(?:有|认识|结交了)([一-鿿]{1,5})(?:朋友|同事|伙伴)"), ("knows", "person_known", "(?:朋友|同学|同事)([一-鿿]{1,5})(?:叫|名|是)"), ("learned", "skill_acquired", "(?:学过|学习过|掌握|精通)([一-鿿A-Za-z0-9]+)"),
+    ("works_at", "person_company", f"({_HAN}{{2,8}})(?:在|于|就职于|工作于)({_HAN}{{2,10}})(?:公司|集团|企业|工作室)", 1, 2),
+    ("is_company", "company", f"(?:在|于|就职于)({_HAN}{{2,10}})(?:公司|集团|企业)", 0, 1),
+    ("uses", "person_tool", r"(?:使用|采用|基于)(React|Vue|Angular|Python|Java|Go|Rust|JavaScript|TypeScript|\S+)", 0, 1),
+    ("is_a", "person_profession", f"({_HAN}{{2,4}})(?:是|担任)({_HAN}+)工程师", 1, 2),
+    ("likes", "preference", f"(?:喜欢|爱|偏好)({_ANY}+)", 0, 1),
+    ("worked_on", "project", f"(?:项目|做了)({_ANY}{{2,15}})", 0, 1),
+    ("works_at", "company", f"(?:在|于)({_HAN}{{2,10}})(?:公司|集团|企业)(?:工作|任职)", 0, 1),
+    ("mentioned", "tech_company", f"((?:字节跳动|阿里巴巴|腾讯|百度|京东|美团|滴滴|小米|华为|网易|新浪|搜狐|360|快手|拼多多|抖音|头条|微信|支付宝){_HAN}*)", 0, 1),
+    ("lives_in", "location", f"(?:住在|定居于|位于)({_HAN}{{2,10}})", 0, 1),
+    ("graduated_from", "education", f"(?:毕业于|就读于)({_HAN}{{2,15}})(?:大学|学院|学校)", 0, 1),
+    ("has_position", "position", f"(?:职位是|担任|当)({_HAN}{{2,8}})(?:工程|开发|设计|产品|运营|市场|销售|经理|总监| CTO| CEO| CFO| COO| VP)", 0, 1),
+    ("has_social", "social", f"(?:有|认识|结交了)({_HAN}{{1,5}})(?:朋友|同事|伙伴)", 0, 1),
+    ("dislikes", "dislike", f"(?:不喜欢|讨厌|厌恶|反感)({_ANY}+)", 0, 1),
+    ("allergic_to", "allergy", f"(?:对|过敏|敏感)({_ANY}+)(?:过敏|敏感)", 0, 1),
+    ("knows", "person_known", f"(?:朋友|同学|同事)({_HAN}{{1,5}})(?:叫|名|是)", 0, 1),
+    ("learned", "skill_acquired", f"(?:学过|学习过|掌握|精通)({_ANY}+)", 0, 1),
 )
+TECH = (
+    "React", "Vue", "Angular", "Svelte", "jQuery", "HTML", "CSS", "Node.js", "Python", "Java", "Go", "Rust", "C++", "C#", "Ruby", "PHP", "MySQL", "PostgreSQL", "MongoDB", "Redis", "Elasticsearch",
+    "AWS", "Azure", "GCP", "阿里云", "腾讯云", "TensorFlow", "PyTorch", "Keras", "scikit-learn", "OpenAI", "React Native", "Flutter", "Swift", "Kotlin", "Android", "iOS",
+)
+COMPANY_WORDS = ("公司", "集团", "企业", "工作室", "医院", "学校", "银行")
+COMPANIES = ("字节跳动", "阿里巴巴", "腾讯", "百度", "京东", "美团", "小米", "华为", "网易", "新浪", "搜狐", "快手", "拼多多", "滴滴", "抖音", "微信", "支付宝")
+CITIES = ("北京", "上海", "深圳", "广州", "杭州", "南京", "成都", "武汉", "西安", "苏州", "天津", "重庆", "长沙", "郑州", "东莞", "青岛", "沈阳", "大连", "厦门", "福州")
+#: A negation and the words of an earlier statement that it speaks against.
+CONTRADICTIONS = (("不喜欢", "喜欢"), ("不是", "是"), ("没有", "有"), ("从不", "偶尔"), ("讨厌", "喜欢"))
+CORRECTIONS = ("实际上", "其实", "不对", "错了", "更正", "纠正", "改口", "之前.*说错了", "不是.*而是", "之前说.*现在")
 PLACEHOLDERS = ("high importance", "importance上限", "测试重要性", "test", "测试", "placeholder", "todo", "tmp")
 CHANNEL_WEIGHTS = {"negation": (0.25, 0.35, 0.10, 0.10, 0.20), "temporal": (0.30, 0.20, 0.10, 0.10, 0.30), "lesson": (0.35, 0.25, 0.15, 0.15, 0.10), "multihop": (0.30, 0.15, 0.10, 0.35, 0.10), "fuzzy": (0.45, 0.25, 0.10, 0.05, 0.15), "decision": (0.35, 0.25, 0.15, 0.15, 0.10)}
 DEFAULT_WEIGHTS = (0.40, 0.20, 0.15, 0.10, 0.15)
@@ -143,6 +167,10 @@ def content_hash(text: Column) -> Column:
     return F.substring(F.sha2(F.trim(F.lower(F.regexp_replace(text, r"[ \t\n\r]+", " "))), 256), 1, 16)
 
 
+def cache_key(params: Column) -> Column:
+    return F.substring(F.sha2(F.to_json(params), 256), 1, 16)
+
+
 def fingerprint(text: Column) -> Column:
     return F.substring(F.md5(F.regexp_replace(F.lower(text), r"[ \t\n\r，。！？、；：]", "")), 1, 16)
 
@@ -175,12 +203,26 @@ def quick_extract(text: Column) -> Column:
 
 
 def graph_entities(text: Column) -> Column:
-    """array of (relation, type, entity) by the rules."""
-    return F.array_distinct(F.concat(*(F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), _entity(r, t)) for r, t, p in GRAPH_RULES)))
+    """array of (relation, type, subject, entity) by the rules, then the technologies that the text names; first sighting of a name wins."""
+    by_rule = [F.zip_with(_group(text, p, obj), _group(text, p, subj) if subj else F.array().cast("array<string>"), _entity(r, t)) for r, t, p, subj, obj in GRAPH_RULES]
+    named = F.filter(F.array(*map(F.lit, TECH)), lambda w: F.contains(F.lower(text), F.lower(w)))
+    every = F.concat(*by_rule, F.transform(named, lambda w: _entity("mentioned", "technology")(w, F.lit(None).cast("string"))))
+    names = F.transform(every, lambda v: v["entity"])
+    return F.filter(every, lambda v, i: F.array_position(names, v["entity"]) == i + 1)
+
+
+def _group(text: Column, pattern: str, n: int) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(n))
 
 
 def _entity(relation: str, kind: str):  # noqa: ANN202
-    return lambda x: F.struct(F.lit(relation).alias("relation"), F.lit(kind).alias("type"), x.alias("entity"))
+    return lambda x, subject: F.struct(F.lit(relation).alias("relation"), F.lit(kind).alias("type"), subject.alias("subject"), x.alias("entity"))
+
+
+def entity_type(name: Column) -> Column:
+    """company, location, technology or concept, by the words in a name."""
+    tech = F.exists(F.array(*map(F.lit, TECH)), lambda w: F.contains(F.lower(name), F.lower(w)))
+    return F.when(name.rlike(any_of((*COMPANY_WORDS, *COMPANIES))), "company").when(name.rlike(any_of(CITIES)), "location").when(tech, "technology").otherwise("concept")
 
 
 def weights_of(name: Column) -> Column:

@@ -39,6 +39,11 @@ def vector_scores(vectors: DataFrame, queries: DataFrame, id_col: str = "id", ve
     return pairs.select("qid", "id", scoring.cosine(F.col("__v"), F.col("v")).alias("score"))
 
 
+def mentions(docs: DataFrame, names: DataFrame, text_col: str = "content") -> DataFrame:
+    """docs with each name (of a table of names) that their text contains; Spark broadcasts the names if they are few."""
+    return docs.join(names, F.contains(F.lower(text_col), F.lower("name")))
+
+
 def top(channel: DataFrame, k: int) -> DataFrame:
     """The k best of each query, ranked from 1; ties by id."""
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemosaic.functions import text
+
 DAY_MICROS = 86_400_000_000
 
 
@@ -31,3 +33,16 @@ def version_chain(df: DataFrame, keys: list[str], ts: str, id_col: str) -> DataF
 
 def as_of(versions: DataFrame, ts: Column, start: str = "valid_from", end: str = "valid_until") -> DataFrame:
     return versions.where((F.col(start) <= ts) & (F.col(end).isNull() | (F.col(end) > ts)))
+
+
+def contradictions(df: DataFrame, keys: list[str], order: str, content: str, last: int = 100) -> DataFrame:
+    """contradicts: the latest of the `last` rows before it with the words that a row's negation speaks against.
+
+    Each pair of words carries the order value of its last statement, so the frame holds one value for each pair and no texts.
+    """
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-last, -1)
+    found = [
+        F.when(F.contains(content, F.lit(no)), F.last(F.when(F.contains(F.lower(content), F.lit(yes)), F.col(order)), ignorenulls=True).over(w))
+        for no, yes in text.CONTRADICTIONS
+    ]
+    return df.withColumns({"contradicts": F.coalesce(*found), "corrects": F.col(content).rlike(f"(?i){text.any_of(text.CORRECTIONS)}")})

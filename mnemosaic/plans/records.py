@@ -168,3 +168,11 @@ def r16(spark, d):
 def r20(spark, d):
     age = scoring.days_between(F.lit(NOW).cast("timestamp"), F.col("created_at").cast("timestamp"))
     return memories(spark, d).select("id", F.col("importance").alias("original"), F.round(age, 1).alias("age_days"))
+
+
+@query("s17_cold_roundtrip", f"WITH {MEM} SELECT id::VARCHAR AS id, content, type, importance, created_at FROM mem WHERE importance <= 0.5")
+def s17(spark, d):
+    """Archived memories written to cold storage and brought back."""
+    path = io.staging(spark, "cold")
+    io.write_cold(memories(spark, d).where("importance <= 0.5"), path)
+    return io.read_cold(spark, path)

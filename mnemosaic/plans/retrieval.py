@@ -48,18 +48,22 @@ def k1(spark, d):
 
 
 def _channels(spark, d, k: int = 30):  # noqa: ANN001, ANN202
-    """The five channels of the queries: text, importance, recency, vector and graph, all as (qid, id, score)."""
+    """Channels of the queries as (qid, id, score): vector, text, importance and recency. A memory's vector, and a query's, is the embedding of the same id."""
     m, q = memories(spark, d), _queries(spark, d)
     best = lambda col: m.orderBy(F.desc(col), "id").limit(k).select("id", F.col(col).cast("double").alias("score"))
     every = lambda df: df.join(q.select("qid"), F.lit(True))
     recent = m.select("id", F.unix_micros(F.col("created_at")).alias("at")).orderBy(F.desc("at"), "id").limit(k).select("id", F.col("at").cast("double").alias("score"))
     text = search.bm25(m, q).withColumn("score", F.round("score", 6))
-    return {"bm25": search.top(text, k), "importance": search.top(every(best("importance")), k), "temporal": search.top(every(recent), k)}
+    vectors = table(spark, d, "embeddings").selectExpr("vec_id AS id", "cast(embedding AS array<double>) AS vector")
+    asked = q.select("qid").join(vectors.select(F.col("id").alias("qid"), F.col("vector").alias("v")), "qid")
+    near = search.vector_scores(vectors.join(m.select("id"), "id", "left_semi"), asked).withColumn("score", F.round("score", 9))
+    return {"vector": search.top(near, k), "bm25": search.top(text, k), "importance": search.top(every(best("importance")), k), "temporal": search.top(every(recent), k)}
 
 
 _TOP = lambda src, name: f"SELECT qid, id, '{name}' AS channel, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM {src}"
 RRF = f"""WITH {BM25}, im AS (SELECT qid, id, importance AS score FROM (SELECT id, importance FROM mem ORDER BY importance DESC, id LIMIT 30), qry), tm AS (SELECT qid, id, epoch_us(created_at) AS score FROM (SELECT id, created_at FROM mem ORDER BY created_at DESC, id LIMIT 30), qry),
-r AS ({_TOP('(SELECT qid, id, round(score, 6) AS score FROM b)', 'bm25')} UNION ALL {_TOP('im', 'importance')} UNION ALL {_TOP('tm', 'temporal')}),
+ev AS (SELECT vec_id AS id, embedding::DOUBLE[] AS a FROM embeddings), qv AS (SELECT qid, a AS b FROM qry JOIN ev ON qid = ev.id), vc AS (SELECT qid, ev.id, round(coalesce({_COS}, 0.0), 9) AS score FROM ev, qv WHERE ev.id IN (SELECT id FROM mem)),
+r AS ({_TOP('vc', 'vector')} UNION ALL {_TOP('(SELECT qid, id, round(score, 6) AS score FROM b)', 'bm25')} UNION ALL {_TOP('im', 'importance')} UNION ALL {_TOP('tm', 'temporal')}),
 f AS (SELECT qid, id, round(sum(0.25 / (60 + rank)), 6)::DOUBLE AS rrf, list_sort(list(channel)) AS channels FROM r WHERE rank <= 30 GROUP BY qid, id),
 g AS (SELECT f.*, length(content) >= 5 AS valid FROM f JOIN mem USING (id)), o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY valid DESC, rrf DESC, id)::INT AS pos FROM g)"""
 
@@ -77,9 +81,9 @@ def search_rrf(spark, d):
     return _fused(spark, d).select("qid", "id", "pos", "rrf", "channels")
 
 
-@query("a34_channel_hits", f"{RRF} SELECT qid, count(*) FILTER (list_contains(channels, 'bm25')) AS bm25, count(*) FILTER (list_contains(channels, 'importance')) AS importance, count(*) FILTER (list_contains(channels, 'temporal')) AS temporal FROM o WHERE pos <= 10 GROUP BY qid")
+@query("a34_channel_hits", f"{RRF} SELECT qid, count(*) FILTER (list_contains(channels, 'vector')) AS vector, count(*) FILTER (list_contains(channels, 'bm25')) AS bm25, count(*) FILTER (list_contains(channels, 'importance')) AS importance, count(*) FILTER (list_contains(channels, 'temporal')) AS temporal FROM o WHERE pos <= 10 GROUP BY qid")
 def a34(spark, d):
-    return _fused(spark, d).groupBy("qid").agg(*(F.count_if(F.array_contains("channels", c)).alias(c) for c in ("bm25", "importance", "temporal")))
+    return _fused(spark, d).groupBy("qid").agg(*(F.count_if(F.array_contains("channels", c)).alias(c) for c in ("vector", "bm25", "importance", "temporal")))
 
 
 @query("a12_score_fusion", f"WITH {BM25}, u AS (SELECT qid, id, 0.6 * round(score, 6) AS s, 0.6 AS w FROM b UNION ALL SELECT qid, id, 0.4 * importance, 0.4 FROM b JOIN mem USING (id)) SELECT qid, id, round(sum(s) / 61 / sum(w), 6)::DOUBLE AS fused FROM u GROUP BY qid, id")
@@ -150,3 +154,15 @@ def x19(spark, d):
 def k6(spark, d):
     age = scoring.days_between(F.lit(NOW).cast("timestamp"), F.col("last_accessed").cast("timestamp"))
     return memories(spark, d).select("id", F.round(F.col("importance") * scoring.survival(age), 6).alias("decayed")).orderBy(F.desc("decayed"), "id").limit(50)
+
+
+@query("m11_cross_encoder_blend", f"{RRF}, c AS (SELECT * FROM o WHERE pos <= 10) SELECT qid, id, round(0.3 * 0.5 + 0.7 * coalesce((rrf - min(rrf) OVER w) / nullif(max(rrf) OVER w - min(rrf) OVER w, 0), 0.5), 6)::DOUBLE AS score FROM c WINDOW w AS (PARTITION BY qid)")
+def m11(spark, d):
+    """A model's score, put between 0 and 1 within a result list, with the similarity; the fused score stands in for a model."""
+    return _fused(spark, d).select("qid", "id", F.round(scoring.blended_rerank(F.lit(0.5), F.col("rrf"), "qid"), 6).alias("score"))
+
+
+@query("j11_entity_memories", f"WITH {MEM}, en AS (SELECT DISTINCT regexp_extract_all(lower(text), '[a-z]{{6,}}')[1] AS name FROM benchmark) SELECT name, count(*) AS memories, min(id) AS first_id FROM en JOIN mem ON contains(lower(content), name) GROUP BY name")
+def j11(spark, d):
+    names = table(spark, d, "benchmark").select(F.regexp_extract(F.lower("text"), "[a-z]{6,}", 0).alias("name")).where("name <> ''").distinct()
+    return search.mentions(memories(spark, d), names).groupBy("name").agg(F.count("*").alias("memories"), F.min("id").alias("first_id"))

@@ -137,11 +137,6 @@ def x7_quick(spark, d):
     return rows.withColumn("fingerprint", text.fingerprint(F.col("content"))).dropDuplicates(["fingerprint"])
 
 
-@query("x10_x12_graph_extract", None)
-def x10(spark, d):
-    return literals(spark, FACTS).select("q", F.explode(text.graph_entities(F.col("q"))).alias("x")).select("q", "x.*")
-
-
 _COUNT = lambda ws: " + ".join(f"contains(q, '{w}')::INT" for w in ws)
 _SC = {k: f"(({_COUNT(w)}) * {2 if k in ('habit', 'skill', 'goal', 'health', 'work') else 1})" for k, w in text.INTENT_WORDS.items()}
 _BEST = f"greatest({', '.join(_SC.values())})"

@@ -31,3 +31,10 @@ def t8(spark, d):
     return e.groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count("*").alias("events")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "events")
 
 
+@query("t2_repeat_limiter", """WITH RECURSIVE o AS (SELECT user_id::VARCHAR AS key, event_id AS row_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+s AS (SELECT key, row_id, n, true AS admitted, [us] AS times FROM o WHERE n = 1 UNION ALL
+SELECT o.key, o.row_id, o.n, len([t for t in s.times if o.us - t <= 86400000000]) < 3, CASE WHEN len([t for t in s.times if o.us - t <= 86400000000]) < 3 THEN list_append(s.times, o.us)[-3:] ELSE s.times END FROM s JOIN o ON o.key = s.key AND o.n = s.n + 1)
+SELECT key, row_id, admitted FROM s""")
+def t2_limiter(spark, d):
+    """Keyed state: admitted rows alone count against the limit."""
+    return jobs.drained(jobs.repeat_limiter(jobs.source(spark, f"{d}/events.parquet"), "user_id", "ts", "event_id"))

@@ -39,3 +39,17 @@ def audit_log(spark: SparkSession, path: str) -> DataFrame:
 
 def write_by_tier(df: DataFrame, path: str) -> None:
     df.write.mode("append").partitionBy("tier").json(path)
+
+
+def write_cold(df: DataFrame, path: str) -> None:
+    """One text for each memory (id, content, type, importance, created_at), as a front matter and its content, by day."""
+    head = F.format_string("---\nid: %s\ntype: %s\nimportance: %s\ncreated_at: %s\n---\n", F.col("id").cast("string"), "type", F.col("importance").cast("string"), F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
+    df.select(F.to_json(F.struct(F.concat(head, F.coalesce("content", F.lit(""))).alias("note"))).alias("value"), F.to_date("created_at").alias("day")).write.mode("append").partitionBy("day").text(path)
+
+
+def read_cold(spark: SparkSession, path: str) -> DataFrame:
+    """Memories out of cold storage, whole texts included; notes without a front matter are left out."""
+    note = F.get_json_object("value", "$.note")
+    of = lambda name: F.regexp_extract(note, rf"(?m)^{name}: (.*)$", 1)
+    rows = spark.read.text(path).where(note.rlike(r"^---\n(?s:.*?)\n---\n"))
+    return rows.select(of("id").alias("id"), F.regexp_replace(note, r"^---\n(?s:.*?)\n---\n", "").alias("content"), of("type").alias("type"), of("importance").cast("double").alias("importance"), of("created_at").cast("timestamp_ntz").alias("created_at"))

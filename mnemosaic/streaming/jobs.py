@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from mnemosaic.functions import text
 from mnemosaic.sources.io import staging
@@ -21,9 +25,8 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def source(spark: SparkSession, path: str) -> DataFrame:
-    schema = spark.read.parquet(path).schema
-    folder, _, name = path.rpartition("/")
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    """A stream of a table that is one file or a folder of files: as a glob, a path may be either."""
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def capture(messages: DataFrame) -> DataFrame:
@@ -40,3 +43,32 @@ def recall_guard(events: DataFrame, ttl: str = "24 hours") -> DataFrame:
     """The first of each key within the watermark; state is dropped after it."""
     ts = F.col("ts").cast("timestamp")
     return events.select(ts.alias("ts"), "user_id", "event_type").withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["user_id", "event_type"])
+
+
+def repeat_limiter(messages: DataFrame, key: str, ts: str, row_id: str, most: int = 3, span_seconds: int = 86_400) -> DataFrame:
+    """key, row_id, admitted: at most `most` admitted rows of a key within the span; rows that are turned away don't count.
+
+    The state of a key is its last admitted times, `most` at most, and it goes when the span has passed in event time. Rows
+    of one batch are taken in the order of their time, then row_id; equal times count as earlier. Null times are turned away.
+    """
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches), ignore_index=True).sort_values(["at", "row_id"], kind="stable", ignore_index=True)
+        times = list(state.get[0]) if state.exists else []
+        admitted = []
+        for at in rows["at"]:
+            ok = not pd.isna(at) and sum(at - t <= span_seconds * 1_000_000 for t in times) < most
+            if ok:
+                times = [*times, int(at)][-most:]
+            admitted.append(ok)
+        state.update((times,))
+        if times:
+            state.setTimeoutTimestamp(max(times[-1] // 1000 + span_seconds * 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"key": k[0], "row_id": rows["row_id"], "admitted": admitted})
+
+    t = F.col(ts).cast("timestamp")
+    rows = messages.select(F.col(key).cast("string").alias("key"), F.col(row_id).cast("long").alias("row_id"), t.alias("ts"), F.unix_micros(t).alias("at")).withWatermark("ts", f"{span_seconds} seconds")
+    return rows.groupBy("key").applyInPandasWithState(run, "key string, row_id long, admitted boolean", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
