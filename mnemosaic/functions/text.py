@@ -152,7 +152,9 @@ def bm25_tokens(text: Column) -> Column:
     low = F.lower(text)
     runs = F.regexp_extract_all(low, F.lit("[一-鿿]+"), F.lit(0))
     grams = lambda r, n: F.when(F.length(r) >= n, F.transform(F.sequence(F.lit(1), F.length(r) - (n - 1)), lambda i: F.substring(r, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    return F.concat(F.flatten(F.transform(runs, lambda r: F.concat(grams(r, 2), grams(r, 3)))), F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0)))
+    latin = F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0))
+    # A text of single-byte characters has no Chinese ones, so it isn't searched for them.
+    return F.when(F.octet_length(low) == F.length(low), latin).otherwise(F.concat(F.flatten(F.transform(runs, lambda r: F.concat(grams(r, 2), grams(r, 3)))), latin))
 
 
 def core_tokens(text: Column) -> Column:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemosaic.functions import scoring, text
+from mnemosaic.functions import text
 
 
 def postings(docs: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
@@ -33,15 +36,94 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75,
     return hits.join(df, "term").join(terms, "term").crossJoin(F.broadcast(stats)).groupBy("qid", "id").agg(F.sum(part).alias("score")).where("score > 0")
 
 
-def vector_scores(vectors: DataFrame, queries: DataFrame, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
-    """qid, id, score = cosine similarity, of every query (qid, v) with every vector: few queries, broadcast under Spark's size check."""
-    pairs = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("__v")).join(queries.select("qid", "v"), F.lit(True), "inner")
-    return pairs.select("qid", "id", scoring.cosine(F.col("__v"), F.col("v")).alias("score"))
+def _blocks(vectors: DataFrame, id_col: str, vector_col: str, size: int) -> DataFrame:
+    """ids and vectors, some `size` of a partition in a row: nothing is moved. Null vectors are left out."""
+    ids = vectors.schema[id_col].dataType.simpleString()
 
+    def pack(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in frames:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(i).to_pylist()], t) for i, t in ((0, pa.list_(part.column(0).type)), (1, pa.list_(pa.list_(pa.float64()))))], names=["ids", "vs"])
 
-def mentions(docs: DataFrame, names: DataFrame, text_col: str = "content") -> DataFrame:
-    """docs with each name (of a table of names) that their text contains; Spark broadcasts the names if they are few."""
-    return docs.join(names, F.contains(F.lower(text_col), F.lower("name")))
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v is not null")
+    return rows.mapInArrow(pack, f"ids array<{ids}>, vs array<array<double>>")
+
+
+def _matrices(vs: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length: the rows' places and the vectors at unit length (zero ones stay zero; a null component counts as 0)."""
+    places: dict[int, list[int]] = {}
+    for i, v in enumerate(vs):
+        places.setdefault(len(v), []).append(i)
+    found = {}
+    for n, at in places.items():
+        m = np.nan_to_num(np.array([vs[i] for i in at], np.float64).reshape(len(at), n), nan=0.0, posinf=0.0, neginf=0.0)
+        norm = np.sqrt((m * m).sum(1, keepdims=True))
+        found[n] = np.array(at), np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+    return found
+
+
+def vector_top(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "vector", block: int = 512) -> DataFrame:
+    """qid, id, score, rank: the k best vectors of each query (qid, v) by cosine similarity, rounded to 9 digits; ties by id.
+
+    Blocks of queries meet blocks of vectors (a block pair is one matrix product), and only a pair's k best leave it, so the shuffle
+    carries k rows for each query and block of vectors instead of every pair. Spark broadcasts the query blocks under its size check.
+    Similarity is 0 where lengths differ or a norm is 0; a null or non-finite component counts as 0; null vectors take no part.
+    """
+    types = {name: df.schema[name].dataType.simpleString() for df, name in ((queries, "qid"),)} | {"id": vectors.schema[id_col].dataType.simpleString()}
+    asked = _blocks(queries, "qid", "v", block).select(F.col("ids").alias("qids"), F.col("vs").alias("qs"))
+    met = _blocks(vectors, id_col, vector_col, 4 * block).join(asked, F.lit(True), "inner")
+
+    def best(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in frames:
+            for i in range(batch.num_rows):
+                ids, vs, qids, qs = (batch.column(c)[i].as_py() for c in ("ids", "vs", "qids", "qs"))
+                rank = np.argsort(np.argsort(np.array(ids), kind="stable"), kind="stable")
+                score = np.zeros((len(qids), len(ids)))
+                mine = _matrices(vs)
+                for n, (at, q) in _matrices(qs).items():
+                    if n in mine:
+                        score[np.ix_(at, mine[n][0])] = q @ mine[n][1].T
+                score = np.round(score, 9) + 0.0
+                row = np.lexsort((np.broadcast_to(rank, score.shape), -score), axis=1)[:, :k]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(np.array(qids), row.shape[1])), pa.array(np.array(ids)[row].ravel()), pa.array(np.take_along_axis(score, row, 1).ravel())], names=["qid", "id", "score"]
+                )
+
+    return top(met.mapInArrow(best, f"qid {types['qid']}, id {types['id']}, score double"), k)
+
+
+def mentions(docs: DataFrame, names: DataFrame, text_col: str = "content", most: int = 50_000) -> DataFrame:
+    """docs with each name (of a table of names) that their text contains, whatever its case.
+
+    Up to `most` names make one Aho-Corasick automaton, so a text is read once, however many they are; more names are joined, and Spark
+    chooses the side to move. Null names and null texts match nothing; an empty name is in every text.
+    """
+    low = names.select("name", F.lower("name").alias("low")).where("low is not null").distinct()
+    listed = [(r["low"], r["name"]) for r in low.limit(most + 1).collect()]
+    if len(listed) > most:
+        both = docs.withColumn("__low", F.lower(text_col)).join(low, F.contains(F.col("__low"), F.col("low")))
+        return both.drop("__low", "low")
+    by_low: dict[str, list[str]] = {}
+    for key, name in listed:
+        by_low.setdefault(key, []).append(name)
+    shared = docs.sparkSession.sparkContext.broadcast(by_low)
+
+    @F.pandas_udf("array<string>")
+    def found(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        auto = ahocorasick.Automaton()
+        for key, own in shared.value.items():
+            if key:
+                auto.add_word(key, own)
+        if len(auto):
+            auto.make_automaton()
+        always = shared.value.get("", [])
+        for part in texts:
+            yield pd.Series([None if t is None else always + [n for own in {own[0]: own for _, own in (auto.iter(t) if len(auto) else ())}.values() for n in own] for t in part])
+
+    return docs.withColumn("name", F.explode(found(F.lower(text_col))))
 
 
 def top(channel: DataFrame, k: int) -> DataFrame:

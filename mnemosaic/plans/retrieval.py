@@ -36,15 +36,10 @@ _COS = "list_dot_product(a, b) / nullif(sqrt(list_dot_product(a, a)) * sqrt(list
 VEC = f"e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS a FROM embeddings), vq AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS b FROM embeddings WHERE vec_id % 20 = 0), vs AS (SELECT qid, id, coalesce({_COS}, 0.0) AS score FROM e, vq)"
 
 
-def _vectors(spark, d):  # noqa: ANN001, ANN202
-    e = table(spark, d, "embeddings").selectExpr("vec_id AS id", "cast(embedding AS array<double>) AS vector")
-    return search.vector_scores(e, e.where("id % 20 = 0").selectExpr("id AS qid", "vector AS v"))
-
-
 @query("k1_m1_vector_topk", f"WITH {VEC} SELECT qid, id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id)::INT AS rank FROM vs) WHERE rank <= 10")
 def k1(spark, d):
-    v = _vectors(spark, d).withColumn("score", F.round("score", 9))
-    return search.top(v, 10).select("qid", "id", "rank", F.round("score", 6).alias("score"))
+    e = table(spark, d, "embeddings").selectExpr("vec_id AS id", "cast(embedding AS array<double>) AS vector")
+    return search.vector_top(e, e.where("id % 20 = 0").selectExpr("id AS qid", "vector AS v"), 10).select("qid", "id", "rank", F.round("score", 6).alias("score"))
 
 
 def _channels(spark, d, k: int = 30):  # noqa: ANN001, ANN202
@@ -56,8 +51,8 @@ def _channels(spark, d, k: int = 30):  # noqa: ANN001, ANN202
     text = search.bm25(m, q).withColumn("score", F.round("score", 6))
     vectors = table(spark, d, "embeddings").selectExpr("vec_id AS id", "cast(embedding AS array<double>) AS vector")
     asked = q.select("qid").join(vectors.select(F.col("id").alias("qid"), F.col("vector").alias("v")), "qid")
-    near = search.vector_scores(vectors.join(m.select("id"), "id", "left_semi"), asked).withColumn("score", F.round("score", 9))
-    return {"vector": search.top(near, k), "bm25": search.top(text, k), "importance": search.top(every(best("importance")), k), "temporal": search.top(every(recent), k)}
+    near = search.vector_top(vectors.join(m.select("id"), "id", "left_semi"), asked, k)
+    return {"vector": near, "bm25": search.top(text, k), "importance": search.top(every(best("importance")), k), "temporal": search.top(every(recent), k)}
 
 
 _TOP = lambda src, name: f"SELECT qid, id, '{name}' AS channel, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM {src}"
@@ -108,9 +103,12 @@ def _lists(spark, d):  # noqa: ANN001, ANN202
 
 
 def _list_pairs(spark, d):  # noqa: ANN001, ANN202
-    """Pairs within a result list (45 at most, as a list has ten rows): the later row and its similarity to the earlier one."""
-    c = _lists(spark, d).select("qid", "id", "pos", scoring.words(F.col("content")).alias("b"))
-    return c.alias("x").join(c.alias("y"), (F.col("x.qid") == F.col("y.qid")) & (F.col("x.pos") < F.col("y.pos"))).select("x.qid", "y.id", "y.pos", scoring.jaccard(F.col("x.b"), F.col("y.b")).alias("s"))
+    """Pairs within a result list (45 at most, as a list has ten rows): the later row and its similarity to the earlier one. A list is gathered once and paired in its row."""
+    row = F.struct("pos", "id", scoring.words(F.col("content")).alias("w"))
+    lists = _lists(spark, d).groupBy("qid").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    each = lists.select("qid", "rows", F.explode("rows").alias("y"))
+    pairs = each.select("qid", "y", F.explode(F.filter("rows", lambda x: x["pos"] < F.col("y.pos"))).alias("x"))
+    return pairs.select("qid", "y.id", "y.pos", scoring.jaccard(F.col("x.w"), F.col("y.w")).alias("s"))
 
 
 @query("m12_rerank", f"""{LISTS}

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import math
 import random
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from mnemosaic import cli
 from mnemosaic.functions import temporal
-from mnemosaic.operators import windows
+from mnemosaic.operators import search, windows
 from mnemosaic.plans.registry import QUERIES
 from mnemosaic.sources import rest
 from mnemosaic.sources.cache import ResultCache
@@ -124,3 +125,31 @@ def test_cold_storage_keeps_whole_texts(spark):
 
     want = {str(r.id): r.content for r in memories(spark, D).where("importance <= 0.5").collect()}
     assert {r.id: r.content for r in df.collect()} == want
+
+
+def test_mentions_by_automaton_and_by_join(spark):
+    docs = spark.createDataFrame([(1, "An Apple pie, apple again"), (2, None), (3, ""), (4, "pineapple")], "id long, content string")
+    names = spark.createDataFrame([("apple",), ("APPLE",), ("pie",), (None,), ("nut",), ("pine",)], "name string")
+    want = {(1, "apple"), (1, "APPLE"), (1, "pie"), (4, "apple"), (4, "APPLE"), (4, "pine")}
+    for most in (100, 2):
+        got = [(r.id, r.name) for r in search.mentions(docs, names, most=most).select("id", "name").collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert search.mentions(docs, names.where("false")).count() == 0
+
+
+def test_vector_top_equals_brute_force(spark):
+    rows = [(i, [float((i * 7 + j * j) % 11 - 5) for j in range(4)]) for i in range(40)] + [(100, None), (101, [0.0] * 4), (102, [1.0, 2.0]), (103, [None, 1.0, 0.0, 0.0])]
+    v = spark.createDataFrame(rows, "id long, vector array<double>")
+    got = {}
+    for r in search.vector_top(v, v.where("id < 6 or id = 102").selectExpr("id AS qid", "vector AS v"), 5, block=4).collect():
+        got.setdefault(r.qid, []).append((r["rank"], r.id, r.score))
+    full = {i: [x or 0.0 for x in x_] for i, x_ in rows if x_ is not None}
+
+    def cosine(a, b):
+        n = math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+        return round(sum(x * y for x, y in zip(a, b)) / n, 9) + 0.0 if len(a) == len(b) and n else 0.0
+
+    for q in [0, 1, 2, 3, 4, 5, 102]:
+        want = sorted(((-cosine(full[q], b), i) for i, b in full.items()))[:5]
+        assert [(i, pytest.approx(s)) for _, i, s in sorted(got[q])] == [(i, -s) for s, i in want]
+    assert search.vector_top(v.where("false"), v.where("id < 2").selectExpr("id AS qid", "vector AS v"), 3).count() == 0
