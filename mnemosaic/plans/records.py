@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from mnemosaic.functions import scoring
 from mnemosaic.operators import windows
 from mnemosaic.sources import io
+from mnemosaic.sources.transactions import SnapshotTable
 
 from .registry import query
 from .views import MEM, NOW, memories, table
@@ -158,6 +159,18 @@ def r11(spark, d):
     return m.join(gone, "id", "left_anti").unionByName(made)
 
 
+@query("r11_a24_transaction", f"WITH {MEM} SELECT id, CASE WHEN id % 5 = 0 THEN 0.25 ELSE importance END AS importance FROM mem WHERE id % 11 <> 0 UNION ALL SELECT id + 1000000000, 0.5 FROM mem WHERE id % 13 = 0")
+def r11_a24(spark, d):
+    """A table of snapshots after a committed batch (deletions, updates, insertions), a batch rolled back, and one undone by a restore."""
+    m = memories(spark, d).select("id", "importance")
+    t = SnapshotTable.create(m, io.staging(spark, "transactions"))
+    kept = t.begin().delete(m.where("id % 11 = 0")).update(m.where("id % 5 = 0").selectExpr("id", "0.25D AS importance")).store(m.where("id % 13 = 0").selectExpr("id + 1000000000 AS id", "0.5D AS importance")).commit()
+    t.begin().delete(m).rollback()
+    t.begin().delete(m.where("id % 2 = 0")).commit()
+    t.restore(kept)
+    return t.read()
+
+
 @query("r16_r18_move_tiers", f"WITH {MEM}, t AS (SELECT id, CASE WHEN importance > 0.9 THEN 'HOT' WHEN importance > 0.7 THEN 'WARM' WHEN importance > 0.5 THEN 'COLD' ELSE 'ARCHIVED' END AS tier, CASE WHEN id % 4 = 0 THEN 'WARM' ELSE 'COLD' END AS current FROM mem) SELECT id, current, tier FROM t WHERE current <> tier")
 def r16(spark, d):
     t = memories(spark, d).select("id", F.when(F.col("id") % 4 == 0, "WARM").otherwise("COLD").alias("current"), scoring.tier(F.col("importance")).alias("tier"))

@@ -16,6 +16,7 @@ from mnemosaic.operators import search, windows
 from mnemosaic.plans.registry import QUERIES
 from mnemosaic.sources import rest
 from mnemosaic.sources.cache import ResultCache
+from mnemosaic.sources.transactions import SnapshotTable
 from mnemosaic.streaming import jobs
 
 NOW = dt.datetime(2024, 2, 1, 9, 0)  # a Thursday
@@ -153,3 +154,28 @@ def test_vector_top_equals_brute_force(spark):
         want = sorted(((-cosine(full[q], b), i) for i, b in full.items()))[:5]
         assert [(i, pytest.approx(s)) for _, i, s in sorted(got[q])] == [(i, -s) for s, i in want]
     assert search.vector_top(v.where("false"), v.where("id < 2").selectExpr("id AS qid", "vector AS v"), 3).count() == 0
+
+
+def test_transactions(spark, tmp_path):
+    make = lambda rows: spark.createDataFrame(rows, "id long, a string, b double")
+    seen = lambda t, v=None: sorted(map(tuple, t.read(v).collect()), key=repr)
+    t = SnapshotTable.create(make([(1, "x", 1.0), (2, "y", None), (None, "z", 3.0)]), str(tmp_path / "t"))
+    with t.begin() as batch:
+        batch.store(make([(3, "new", 0.5), (1, "again", 9.0)]))
+        batch.update(make([(2, None, 7.0), (2, None, 5.0), (8, "nobody", 1.0)]))
+        batch.delete(make([(3, None, None), (None, None, None)]))
+    assert seen(t) == sorted([(1, "again", 9.0), (2, "y", 7.0), (None, "z", 3.0)], key=repr)
+    before = seen(t)
+    with pytest.raises(ZeroDivisionError), t.begin() as batch:
+        batch.delete(make([(1, None, None)]))
+        1 / 0  # noqa: B018
+    with pytest.raises(Exception, match="gone"), t.begin() as batch:
+        batch.update(make([(1, "w", 1.0)]).selectExpr("id", "if(id = 1, raise_error('gone'), a) AS a"))
+    assert seen(t) == before and t.begin().commit() is None
+    assert t.restore(0) == 2 and seen(t) == seen(t, 0) and len(seen(t)) == 3
+    total = t.stats().first()
+    assert (total.commits, total.operations) == (2, 4) and total.last_at is not None
+    with pytest.raises(LookupError):
+        t.read(9)
+    empty = SnapshotTable.create(make([]), str(tmp_path / "e"))
+    assert empty.read().count() == 0 and empty.stats().first().operations == 0
