@@ -102,8 +102,7 @@ def mentions(docs: DataFrame, names: DataFrame, text_col: str = "content", most:
     low = names.select("name", F.lower("name").alias("low")).where("low is not null").distinct()
     listed = [(r["low"], r["name"]) for r in low.limit(most + 1).collect()]
     if len(listed) > most:
-        both = docs.withColumn("__low", F.lower(text_col)).join(low, F.contains(F.col("__low"), F.col("low")))
-        return both.drop("__low", "low")
+        return docs.join(low, F.contains(F.lower(text_col), F.col("low"))).drop("low")
     by_low: dict[str, list[str]] = {}
     for key, name in listed:
         by_low.setdefault(key, []).append(name)
