@@ -1,0 +1,24 @@
+"""Search queries against their SQL with whole items put for its cut ones; the registered SQL stays as it is."""
+
+import duckdb
+import pytest
+
+from mnemosaic.plans import retrieval
+from mnemosaic.plans.registry import ORACLES, QUERIES
+
+from .test_queries import DIR, rows_of
+
+WHOLE = "qry AS (SELECT item_id AS qid, text AS q FROM benchmark)"
+NAMES = ("regexp_extract_all(lower(text), '[a-z]{6,}')[1]", "unnest(regexp_extract_all(lower(text), '[a-z]{6,}'))")
+
+
+@pytest.mark.parametrize("name", ["a10_bm25", "a12_score_fusion", "search_rrf", "a34_channel_hits", "m11_cross_encoder_blend", "m12_rerank", "m20_dedup_decision", "j4_a26_diversity", "j11_entity_memories"])
+def test_query_equals_whole_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("benchmark", "documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{DIR}/{t}.parquet'")
+    sql = ORACLES[name].replace(retrieval.QRY, WHOLE).replace(*NAMES)
+    assert sql != ORACLES[name]
+    df = QUERIES[name](spark, DIR)
+    cur = con.execute(sql)
+    assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of([c[0] for c in cur.description], cur.fetchall())
