@@ -14,7 +14,7 @@ task. Only a spanning forest of each comparison leaves it, so a dense group give
 
 Components: distributed star contraction over those links. Edge cases: null text counts as empty; null doc_ids
 stay, and are the component's smallest only where there is no other; repeated rows stay rows. An empty table gives
-an empty result. Other columns are ignored.
+an empty result. Other columns are ignored. keep_one decides by row, not by doc_id, so null and repeated ids lose no other row.
 """
 
 from __future__ import annotations
@@ -56,16 +56,17 @@ def fingerprint(text: bytes, k: int) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a long) of every row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, row_col: str | None = None) -> DataFrame:
+    """doc_id and fp (the fingerprint's bits as a long) of every row; and row, if the rows have numbers."""
+    more = {"row": (row_col, "long")} if row_col else {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py() or b"", k) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), *batch.columns[2:]], names=["doc_id", "fp", *more])
 
-    source = needed(docs, doc_id=(id_col, "long"), text=(text_col, "string"))
-    return source.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    source = needed(docs, doc_id=(id_col, "long"), text=(text_col, "string"), **more)
+    return source.select("doc_id", F.col("text").cast("binary").alias("text"), *more).mapInArrow(run, "doc_id long, fp long" + ", row long" * len(more))
 
 
 def pivots(n: int) -> np.ndarray:
@@ -156,20 +157,32 @@ def links(fps: DataFrame, d: int = 4, blocks: int = 6, n_pivots: int = 8, capaci
     return cells.repartition("t", "key", "lo", "hi").sortWithinPartitions("t", "key", "lo", "hi").mapInPandas(compare, "a long, b long")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, d: int = 4) -> DataFrame:
-    """doc_id, fingerprint (hex) and component_id of every row. See the module for edge cases."""
-    rows = stored(fingerprints(docs, id_col, text_col, k), "simhash-rows")
+def _component_of(rows: DataFrame, d: int) -> DataFrame:
+    """fp, least (the smallest doc_id with it), root and component_id of each distinct fingerprint of rows (doc_id, fp)."""
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = stored(components(links(distinct.select("fp"), d)), "simhash-roots")
     named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = stored(named, "simhash-named")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = named.join(least, "root").select("fp", "component_id")
+    return named.join(least, "root").select("fp", "least", "root", "component_id")
+
+
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, d: int = 4) -> DataFrame:
+    """doc_id, fingerprint (hex) and component_id of every row. See the module for edge cases."""
+    rows = stored(fingerprints(docs, id_col, text_col, k), "simhash-rows")
+    ids = _component_of(rows, d).select("fp", "component_id")
     return rows.join(ids, "fp").select("doc_id", unsigned_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with just the row of the smallest doc_id of each component, with docs' own columns."""
-    found = simhash_components(docs, id_col, text_col)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(F.col("__id")), "left_anti")
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, d: int = 4) -> DataFrame:
+    """docs with one row of each component, with docs' own columns: the smallest doc_id (nulls last), then the first row number.
+
+    Row numbers are given once and stored beside the rows, so ids may be null or repeated.
+    """
+    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "simhash-docs")
+    rows = stored(fingerprints(numbered, id_col, text_col, k, "__row"), "simhash-rows")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    best = rows.groupBy("fp").agg(F.min(first).alias("first"))
+    roots = _component_of(rows, d).select("fp", "root")
+    kept = best.join(roots, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
+    return numbered.join(kept, "__row", "left_semi").select(*(numbered[f"`{c}`"] for c in docs.columns))

@@ -38,3 +38,16 @@ def test_entity_memories_searches_every_name(spark, small):
     got = {r.name: (r.memories, r.first_id) for r in QUERIES["j11_entity_memories"](spark, small).collect()}
     names = {n for _, t in ITEMS for n in re.findall("[a-z]{6,}", t)}
     assert got == {n: (len(ids), ids[0]) for n in names if (ids := [i for i, t in enumerate(TEXTS) if n in t])} and "lighthouse" in got
+
+
+def test_near_copies_go_by_row(spark):
+    from mnemosaic.llm import simhash_dedup
+
+    a, b, c, e = (" ".join(f"{w}{i}" for i in range(400)) for w in ("apple", "brick", "cloud", "eagle"))
+    # Null ids: a copy of a row with an id, a text of its own, and a group of null ids alone. Id 5: a copy and a text of its own.
+    rows = [(1, a), (None, a), (None, b), (None, c), (None, c), (5, a), (5, e), (7, "only once"), (8, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n int")
+    got = simhash_dedup.keep_one(df)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == sorted([(1, a), (0, b), (0, c), (5, e), (7, "only once"), (8, "")])
+    assert simhash_dedup.keep_one(df.limit(0)).count() == 0
