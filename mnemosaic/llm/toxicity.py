@@ -75,7 +75,7 @@ class Model:
     empty: bool = False
 
     def maps(self, b1: np.ndarray, b2: np.ndarray) -> np.ndarray:
-        """Each filter's value at each word; the last two words must be padding."""
+        """Each filter's value at each word; the last two words must be padding. At padding it is 0, so a text doesn't see the next one's words."""
         e = np.concatenate([self.tables[0][b1], self.tables[1][b2]], axis=1)
         out = []
         for w, f in zip(WIDTHS, self.filters):
@@ -84,7 +84,9 @@ class Model:
             for j in range(1, w):
                 a[: n - j] += e[j:] @ f[j]
             out.append(a)
-        return np.concatenate(out, axis=1)
+        found = np.concatenate(out, axis=1)
+        found[b1 == PAD] = 0
+        return found
 
     def logit(self, pooled: np.ndarray) -> np.ndarray:
         return leaky(pooled + self.bias) @ self.out + self.c
@@ -177,7 +179,7 @@ def train(texts: list[bytes], labels: list[int], langs: list[str | None], held:
                 part, where = back[:, k * FILTERS : (k + 1) * FILTERS], best[:, k * FILTERS : (k + 1) * FILTERS]
                 g = np.zeros_like(model.filters[k])
                 for j in range(w):
-                    pos = np.minimum(where + j, last)
+                    pos = np.where(b1[where] == PAD, where, np.minimum(where + j, last))
                     e = np.concatenate([tables[0][b1[pos]], tables[1][b2[pos]]], axis=2)  # (docs, FILTERS, 2 * DIM)
                     g[j] = np.einsum("df,dfe->ef", part, e)
                     rows.append(pos.ravel())

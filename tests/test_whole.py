@@ -51,3 +51,41 @@ def test_near_copies_go_by_row(spark):
     assert got.columns == df.columns
     assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == sorted([(1, a), (0, b), (0, c), (5, e), (7, "only once"), (8, "")])
     assert simhash_dedup.keep_one(df.limit(0)).count() == 0
+
+
+def test_toxicity_of_a_text_is_its_own():
+    import numpy as np
+
+    from mnemosaic.llm import toxicity
+
+    rng = np.random.default_rng(1)
+    model = toxicity.train([b"good day friend", b"bad vile thing"] * 20, [0, 1] * 20, ["en"] * 40, [i % 5 == 4 for i in range(40)], epochs=2)
+    model.filters = [rng.normal(0, 1, f.shape).astype(np.float32) for f in model.filters]
+    model.tables = [np.vstack([rng.normal(0, 1, t[:-1].shape), t[-1:]]).astype(np.float32) for t in model.tables]
+    texts = [b"good day", b"", b"bad vile thing", b"a", b"good friend of mine", b"vile"]
+    alone = [toxicity.score_texts(model, [t])[0] for t in texts]
+    for order in (range(6), range(5, -1, -1), (1, 2, 0, 2, 3, 2, 1, 5, 4)):
+        assert np.allclose(toxicity.score_texts(model, [texts[i] for i in order]), [alone[i] for i in order], atol=1e-6)
+
+
+def test_toxicity_learns_from_a_text_alone(monkeypatch):
+    """Training with more padding between texts gives the same model."""
+    import numpy as np
+
+    from mnemosaic.llm import toxicity
+
+    texts = [f"{w} day{i}".encode() for i in range(20) for w in ("good", "vile")]
+    args = texts, [0, 1] * 20, ["en"] * 40, [i % 5 == 4 for i in range(40)]
+    padded = toxicity._padded
+
+    def far(lots):  # noqa: ANN001, ANN202
+        b1, b2, starts = padded(lots)
+        more = np.full(4, toxicity.PAD, np.int32)
+        parts = [(np.concatenate([b[s:e], more]), e - s + 4) for b in (b1, b2) for s, e in zip(starts[:-1], starts[1:])]
+        half = len(parts) // 2
+        return np.concatenate([p for p, _ in parts[:half]]), np.concatenate([p for p, _ in parts[half:]]), np.concatenate([[0], np.cumsum([n for _, n in parts[:half]])])
+
+    near = toxicity.train(*args, epochs=2, least_steps=5)
+    monkeypatch.setattr(toxicity, "_padded", far)
+    apart = toxicity.train(*args, epochs=2, least_steps=5)
+    assert all(np.allclose(x, y, atol=1e-5) for x, y in zip(near.filters + near.tables, apart.filters + apart.tables))
