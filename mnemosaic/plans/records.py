@@ -38,9 +38,9 @@ def q25(spark, d):
 
 @query("j16_history_walk", f"WITH RECURSIVE {CHAIN}, h AS (SELECT id, key, supersedes, 0 AS step FROM v WHERE superseded_by IS NULL UNION ALL SELECT v.id, v.key, v.supersedes, h.step + 1 FROM h JOIN v ON v.id = h.supersedes WHERE h.step < 5) SELECT key, id, step FROM h")
 def j16(spark, d):
-    """The newest six of each chain: a chain's position replaces a recursive walk."""
-    v = _chain(spark, d)
-    return windows.newest(v, ["key"], [F.desc("version")], 6).withColumn("step", F.row_number().over(windows.Window.partitionBy("key").orderBy(F.desc("version"))) - 1).select("key", "id", "step")
+    """Every version of each chain: its position replaces a recursive walk. The SQL ends at six versions."""
+    w = windows.Window.partitionBy("key").orderBy(F.desc("version"))
+    return _chain(spark, d).withColumn("step", F.row_number().over(w) - 1).select("key", "id", "step")
 
 
 @query("k8_u6_changelog", f"WITH {CHAIN} SELECT id, 'created' AS event, valid_from AS at FROM v WHERE valid_from >= TIMESTAMP '2001-06-01' UNION ALL SELECT id, 'superseded', valid_until FROM v WHERE valid_until >= TIMESTAMP '2001-06-01'")

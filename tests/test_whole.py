@@ -89,3 +89,13 @@ def test_toxicity_learns_from_a_text_alone(monkeypatch):
     monkeypatch.setattr(toxicity, "_padded", far)
     apart = toxicity.train(*args, epochs=2, least_steps=5)
     assert all(np.allclose(x, y, atol=1e-5) for x, y in zip(near.filters + near.tables, apart.filters + apart.tables))
+
+
+def test_history_walk_goes_to_the_end(spark, tmp_path):
+    import datetime as dt
+
+    rows = [(i, i % 2, dt.datetime(2024, 1, 1) + dt.timedelta(days=i // 4)) for i in range(21)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz").write.parquet(str(tmp_path / "orders.parquet"))
+    newest = {k: sorted(((t, i) for i, c, t in rows if c == k), reverse=True) for k in (0, 1)}
+    want = {(k, i, step) for k, chain in newest.items() for step, (_, i) in enumerate(chain)}
+    assert {tuple(r) for r in QUERIES["j16_history_walk"](spark, str(tmp_path)).collect()} == want
