@@ -30,8 +30,9 @@ def source(spark: SparkSession, path: str) -> DataFrame:
 
 
 def capture(messages: DataFrame) -> DataFrame:
-    """Messages that aren't noise, with their fingerprint; stateless."""
-    return messages.where(~text.is_noise(F.col("text"))).select("conv_id", "turn", text.fingerprint(F.col("text")).alias("fingerprint"))
+    """The facts that each message which isn't noise gives, a row each, with the message's fingerprint and its first 200 characters as transcript; stateless."""
+    kept = messages.where(~text.is_noise(F.col("text"))).withColumn("fact", F.explode(text.quick_extract(F.col("text"))))
+    return kept.select("conv_id", "turn", text.fingerprint(F.col("text")).alias("fingerprint"), "fact.type", "fact.content", "fact.importance", F.substring("text", 1, 200).alias("transcript"))
 
 
 def windowed_counts(events: DataFrame, every: str = "1 day", late: str = "1 hour") -> DataFrame:
@@ -39,10 +40,16 @@ def windowed_counts(events: DataFrame, every: str = "1 day", late: str = "1 hour
     return events.select(ts.alias("ts"), "event_type", "value").withWatermark("ts", late).groupBy(F.window("ts", every), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
 
 
-def recall_guard(events: DataFrame, ttl: str = "24 hours") -> DataFrame:
-    """The first of each key within the watermark; state is dropped after it."""
+def recall_guard(events: DataFrame, ttl_seconds: int = 86_400) -> DataFrame:
+    """ts, user_id, event_type of the admitted rows: those later than a key's last admitted one by more than the TTL, or its first.
+
+    It is the limiter below with one row in the span. Only admitted times count, as in the reference, and rows without a time are turned away.
+    """
+    keys = ", ".join(f"{c} {events.schema[c].dataType.simpleString()}" for c in ("user_id", "event_type"))
     ts = F.col("ts").cast("timestamp")
-    return events.select(ts.alias("ts"), "user_id", "event_type").withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["user_id", "event_type"])
+    rows = events.select(F.to_json(F.struct("user_id", "event_type")).alias("key"), ts.alias("ts"), F.unix_micros(ts).alias("at"))
+    admitted = repeat_limiter(rows, "key", "ts", "at", 1, ttl_seconds).where("admitted")
+    return admitted.select(F.timestamp_micros("row_id").alias("ts"), F.from_json("key", keys).alias("k")).select("ts", "k.*")
 
 
 def repeat_limiter(messages: DataFrame, key: str, ts: str, row_id: str, most: int = 3, span_seconds: int = 86_400) -> DataFrame:

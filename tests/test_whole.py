@@ -99,3 +99,27 @@ def test_history_walk_goes_to_the_end(spark, tmp_path):
     newest = {k: sorted(((t, i) for i, c, t in rows if c == k), reverse=True) for k in (0, 1)}
     want = {(k, i, step) for k, chain in newest.items() for step, (_, i) in enumerate(chain)}
     assert {tuple(r) for r in QUERIES["j16_history_walk"](spark, str(tmp_path)).collect()} == want
+
+
+def test_recall_guard_admits_again_after_its_ttl(spark, tmp_path):
+    import datetime as dt
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, rng.choice((1, 2, None)), rng.choice("ab"), dt.datetime(2024, 1, 1) + dt.timedelta(hours=rng.randrange(240)), 1.0) for i in range(200)]
+    rows += [(300, 9, "a", dt.datetime(2024, 1, 1), 1.0), (301, 9, "a", dt.datetime(2024, 1, 2), 1.0), (302, 9, "a", dt.datetime(2024, 1, 2, 0, 0, 0, 1), 1.0)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp, value double").write.parquet(str(tmp_path / "events.parquet"))
+    want, last = Counter(), {}
+    for _, u, e, ts, _ in sorted(rows, key=lambda r: (r[3], r[0])):
+        if (u, e) not in last or ts - last[u, e] > dt.timedelta(hours=24):
+            want[u, e] += 1
+            last[u, e] = ts
+    assert {(r.user_id, r.event_type): r.n for r in QUERIES["t3_t4_recall_guard"](spark, str(tmp_path)).collect()} == want and want[9, "a"] == 2
+
+
+def test_auto_capture_gives_the_facts(spark, tmp_path):
+    texts = ["用户喜欢川菜和粤菜的味道", "deadline is on friday, and 我们决定用红色的按钮", "ok", None, "a message that gives no facts at all"]
+    spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(texts)], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = QUERIES["t1_auto_capture"](spark, str(tmp_path)).collect()
+    assert {(r.turn, r.type) for r in got} >= {(0, "preference"), (1, "decision"), (1, "task_state")} and {r.turn for r in got} == {0, 1}
+    assert all(r.content in texts[r.turn] and r.transcript == texts[r.turn] and r.fingerprint for r in got)
