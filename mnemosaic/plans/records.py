@@ -81,7 +81,15 @@ def s3(spark, d):
 
 @query("s13_s14_incremental_backup", f"WITH {MEM} SELECT type, id FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY last_accessed DESC, id) AS n FROM mem WHERE last_accessed > TIMESTAMP '2024-01-20') WHERE n <= 5")
 def s13(spark, d):
-    return windows.newest(memories(spark, d).where("last_accessed > TIMESTAMP '2024-01-20 00:00:00'"), ["type"], [F.desc("last_accessed"), F.col("id")], 5).select("type", "id")
+    """Every row changed since then; the SQL has five of each type."""
+    return memories(spark, d).where("last_accessed > TIMESTAMP '2024-01-20 00:00:00'").select("type", "id")
+
+
+@query("s14_backup_retention", None)
+def s14(spark, d):
+    """The newest seven of the daily backups stay, the others go; a day with changed rows has a backup."""
+    made = memories(spark, d).select(F.to_date("last_accessed").alias("backup")).distinct()
+    return made.withColumn("kept", F.row_number().over(windows.Window.orderBy(F.desc("backup"))) <= 7)
 
 
 @query("s5_s8_s12_roundtrip", f"WITH {MEM} SELECT id, type, importance FROM mem WHERE importance >= 0.3")

@@ -145,14 +145,16 @@ def f7(spark, d):
 
 @query("x19_recall_text", f"WITH {MEM} SELECT scope_id, string_agg('[' || type || '] ' || substr(content, 1, 40), chr(10) ORDER BY id) AS recall FROM mem WHERE importance > 0.9 GROUP BY scope_id")
 def x19(spark, d):
-    line = F.struct("id", F.concat(F.lit("["), F.col("type"), F.lit("] "), F.substring("content", 1, 40)).alias("x"))
-    return memories(spark, d).where("importance > 0.9").groupBy("scope_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda v: v["x"]), "\n").alias("recall"))
+    """Every memory of a scope with its whole content; the SQL has 40 characters of the important ones."""
+    line = F.struct("id", F.concat(F.lit("["), F.col("type"), F.lit("] "), "content").alias("x"))
+    return memories(spark, d).groupBy("scope_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda v: v["x"]), "\n").alias("recall"))
 
 
 @query("k6_decay_sort", f"WITH {MEM} SELECT id, round(importance * exp(-pow(greatest(0, (epoch_us(TIMESTAMP '{NOW}') - epoch_us(last_accessed)) / 86400000000.0) / 30, 0.5)), 6) AS decayed FROM mem ORDER BY decayed DESC, id LIMIT 50")
 def k6(spark, d):
+    """All memories by their decayed importance; the SQL has the first 50."""
     age = scoring.days_between(F.lit(NOW).cast("timestamp"), F.col("last_accessed").cast("timestamp"))
-    return memories(spark, d).select("id", F.round(F.col("importance") * scoring.survival(age), 6).alias("decayed")).orderBy(F.desc("decayed"), "id").limit(50)
+    return memories(spark, d).select("id", F.round(F.col("importance") * scoring.survival(age), 6).alias("decayed")).orderBy(F.desc("decayed"), "id")
 
 
 @query("m11_cross_encoder_blend", f"{RRF}, c AS (SELECT * FROM o WHERE pos <= 10) SELECT qid, id, round(0.3 * 0.5 + 0.7 * coalesce((rrf - min(rrf) OVER w) / nullif(max(rrf) OVER w - min(rrf) OVER w, 0), 0.5), 6)::DOUBLE AS score FROM c WINDOW w AS (PARTITION BY qid)")

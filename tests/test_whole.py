@@ -123,3 +123,18 @@ def test_auto_capture_gives_the_facts(spark, tmp_path):
     got = QUERIES["t1_auto_capture"](spark, str(tmp_path)).collect()
     assert {(r.turn, r.type) for r in got} >= {(0, "preference"), (1, "decision"), (1, "task_state")} and {r.turn for r in got} == {0, 1}
     assert all(r.content in texts[r.turn] and r.transcript == texts[r.turn] and r.fingerprint for r in got)
+
+
+def test_backup_sort_and_recall_text_hold_all_rows(spark, tmp_path):
+    n, long = 400, "a text of more than forty characters, whole to its very end"
+    spark.createDataFrame([(i, f"{long} {i}", "en", "s") for i in range(n)], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    d = str(tmp_path)
+    at = lambda i: i % 720 + i % 48
+    assert {r.id for r in QUERIES["s13_s14_incremental_backup"](spark, d).collect()} == {i for i in range(n) if at(i) > 19 * 24}
+    days = sorted({at(i) // 24 for i in range(n)}, reverse=True)
+    assert {(r.backup.day - 1, r.kept) for r in QUERIES["s14_backup_retention"](spark, d).collect()} == {(day, k < 7) for k, day in enumerate(days)}
+    decayed = [r.decayed for r in QUERIES["k6_decay_sort"](spark, d).collect()]
+    assert len(decayed) == n and decayed == sorted(decayed, reverse=True)
+    got = {r.scope_id: r.recall for r in QUERIES["x19_recall_text"](spark, d).collect()}
+    kinds = ["fact", "preference", "decision", "lesson", "entity", "task_state"]
+    assert got == {f"s{k}": "\n".join(f"[{kinds[i % 6]}] {long} {i}" for i in range(n) if i % 7 == k) for k in range(7)}
