@@ -20,6 +20,12 @@ def postings(docs: DataFrame, id_col: str = "id", text_col: str = "content") ->
     return tokens.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
+def corpus_stats(docs: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
+    """term, df, n, avgdl: how many documents hold each term, and the totals of all documents, those without terms included."""
+    totals = docs.select(F.size(text.bm25_tokens(F.col(text_col))).alias("dl")).agg(F.count("*").alias("n"), F.avg(F.greatest("dl", F.lit(0))).alias("avgdl"))
+    return postings(docs, id_col, text_col).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, id_col: str = "id", text_col: str = "content") -> DataFrame:
     """qid, id, score for queries (qid, q). Only the queries' terms leave the scan; a term's frequency comes from those same rows.
 

@@ -138,3 +138,11 @@ def test_backup_sort_and_recall_text_hold_all_rows(spark, tmp_path):
     got = {r.scope_id: r.recall for r in QUERIES["x19_recall_text"](spark, d).collect()}
     kinds = ["fact", "preference", "decision", "lesson", "entity", "task_state"]
     assert got == {f"s{k}": "\n".join(f"[{kinds[i % 6]}] {long} {i}" for i in range(n) if i % 7 == k) for k in range(7)}
+
+
+def test_corpus_stats_have_every_term_and_the_totals(spark, small):
+    words = [re.findall("[a-z0-9]+", t) for t in TEXTS]
+    df = Counter(w for t in words for w in set(t))
+    got = QUERIES["a9_corpus_stats"](spark, small).collect()
+    assert {r.term: r.df for r in got} == df
+    assert {(r.n, round(r.avgdl, 9)) for r in got} == {(len(TEXTS), round(sum(map(len, words)) / len(words), 9))}
