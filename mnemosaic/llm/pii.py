@@ -2,7 +2,7 @@
 
 Base spans are the leftmost non-overlapping matches of a pattern for each kind, filtered (IP parts, Luhn, digit
 counts); they always stay. High-recall generators then propose further candidates that may overlap: phone numbers
-without a plus, e-mail addresses in disguise, spaced IPs, dotted card numbers. Features are patterns over the
+without a plus, e-mail addresses in disguise, spaced IPs, dotted card numbers, each from every place where one may start. Features are patterns over the
 candidate with its context; boosted trees of depth two, fitted on a small generated table, give integer scores; a threshold for
 each kind is calibrated on generated rows of its own. A candidate over it is added unless it overlaps a base span or a
 better candidate (higher score, then earlier start, then longer, then the kind listed first).
@@ -38,16 +38,29 @@ PROPOSE = {
     "card": r"[0-9]{4}[./][0-9]{4}[./][0-9]{4}[./][0-9]{4}",
     "phone": r"\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}(?:[\x20.-][0-9]{2,4}){1,2}",
 }
+_SEP, _AT, _DOT = r"[\x20.-]", r"(?:\x20?[\[({]at[\])}]\x20?|\x20at\x20)", r"(?:\x20?[\[({]dot[\])}]\x20?|\x20dot\x20|\.)"
+#: Proposed from every start, so nothing before a candidate swallows it, and for more than one end; they end where their run of digits or letters does.
+STARTS = (
+    ("email", rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}{_AT}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{1,4}}(?![A-Za-z0-9-])"),
+    ("email", rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}{_AT}[A-Za-z0-9-]{{1,63}}{_DOT}[A-Za-z0-9-]{{1,63}}(?![A-Za-z0-9-])"),
+    ("ip", r"(?<![0-9])[0-9]{1,3}(?:\x20\.\x20?|\.\x20)[0-9]{1,3}(?:\x20?\.\x20?[0-9]{1,3}){2}(?![0-9])"),
+    ("card", r"(?<![0-9])[0-9]{4}[./][0-9]{4}[./][0-9]{4}[./][0-9]{4}(?![0-9])"),
+    ("phone", rf"(?<![0-9])\(?[0-9]{{2,4}}\)?{_SEP}[0-9]{{3,4}}{_SEP}[0-9]{{2,4}}(?![0-9])"),
+    ("phone", rf"(?<![0-9])\(?[0-9]{{2,4}}\)?{_SEP}[0-9]{{3,4}}(?:{_SEP}[0-9]{{2,4}}){{2}}(?![0-9])"),
+    ("phone", r"(?<![0-9])[0-9]{9,15}(?![0-9])"),
+)
 #: What a text must hold for a kind's patterns to be run.
 HINT = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9]", "phone": "\\+[0-9]"}
-PROPOSE_HINT = {"email": r"[\[(]at[\])]", "ip": "[0-9]", "card": "[0-9]{4}[./][0-9]{4}", "phone": "[0-9]{3}"}
+PROPOSE_HINT = {"email": r"(?i)[\[({\x20]at[\])}\x20]", "ip": "[0-9]", "card": "[0-9]{4}[./][0-9]{4}", "phone": "[0-9]{3}"}
 #: Features: patterns over "context<candidate>context", the same to Java and to Python.
 FEATURES = (
     r"(?i)(?:phone|tel|call|mobile|fax|dial|whatsapp)[^<]*<", r"(?i)(?:mail|contact|write|reach)[^<]*<", r"(?i)(?:card|visa|credit|pay)[^<]*<",
     r"(?i)(?:host|server|addr|ip|ping)[^<]*<", r"(?i)(?:order|invoice|version|isbn|part|item|page|ref|no\.|#)[^<]*<", r"<(?:19|20)[0-9]{2}[-./ ]",
-    r"[-./ ](?:19|20)[0-9]{2}>", r"[0-9A-Za-z.,%/-]<", r">[0-9A-Za-z%/-]", r"<\(", r"[\[(]at[\])]", r"[\[(]dot[\])]", r"<[^>]*-[^>]*-",
+    r"[-./ ](?:19|20)[0-9]{2}>", r"[0-9A-Za-z.,%/-]<", r">[0-9A-Za-z%/-]", r"<\(", r"(?i)[\[({]at[\])}]", r"(?i)[\[({]dot[\])}]", r"<[^>]*-[^>]*-",
     r"<[^>]* [^>]* ", r"<[^>]*\.[^>]*\.", r"<(?:[^0-9>]*[0-9]){10,15}[^0-9>]*>", r"<(?:[^0-9>]*[0-9]){16}[^0-9>]*>", r"[$€]\x20?<",
-    r"<[^>]*(?:com|org|net|edu|io)>", r"<[0-9]{3}[^0-9][0-9]{3}[^0-9][0-9]{4}>",
+    r"(?i)<[^>]*(?:com|org|net|edu|io)>", r"<[0-9]{3}[^0-9][0-9]{3}[^0-9][0-9]{4}>",
+    r"<[0-9]+>", r"(?i)<[^>]*\x20at\x20", r"(?i)<[^>]*\x20dot\x20", r"<[^>]*[^0-9][0-9]{1,3}>",
+    r"<\(?(?:[0-9]+[^0-9>]+){3}[0-9]+>",
 )
 CONTEXT, ROUND = 24, 1000
 
@@ -78,6 +91,38 @@ def generated(seed: int, n: int = 600) -> list[tuple[str, str, int]]:
             before = r.choice(("order ", "invoice ", "isbn ", "version ", "page ", f"{word()} ", "$", "a-"))
         after = r.choice(("", ".", f" {word()}", ", ")) if y or r.random() < 0.7 else r.choice(("5", "%", "-x", "/3"))
         rows.append((kind, f"{before}<{span}>{after}", int(y)))
+    return rows + _more(random.Random(seed + 100), n // 2)
+
+
+def _more(r: random.Random, n: int) -> list[tuple[str, str, int]]:
+    """Rows of the forms that STARTS adds: words for at and dot, bare digits, and numbers with a neighbour taken in or cut off."""
+    d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    word = lambda: "".join(r.choice(("th", "er", "on", "an", "re", "in", "ed", "or")) for _ in range(r.randint(1, 4)))
+    calls, others = ("phone ", "call me: ", "tel ", "mobile ", "fax ", "call "), ("order ", "invoice ", "isbn ", "version ", "item ", "$", "", f"{word()} ")
+    rows = []
+    for _ in range(n):
+        form, y = r.randrange(3), r.random() < 0.5
+        after = r.choice(("", ".", f" {word()}", ", "))
+        if form == 0:
+            end = r.choice(("com", "org", "net", "edu", "io"))
+            if y:
+                span, before = f"{word()} at {word()} dot {end}", r.choice(("mail ", "contact ", "write to ", f"{word()} ", ""))
+            else:
+                span, before = r.choice((f"{word()} at {word()} dot {word()}", f"{word()} at {word()}.{word()}", f"{word()} at {word()}.{end}")), r.choice((f"{word()} ", "", "page ", "item "))
+            if not y and span.endswith(f".{end}") and r.random() < 0.5:
+                before, y = r.choice(("mail ", "contact: ", "write to ")), True
+            rows.append(("email", f"{before}<{span}>{after}", int(y)))
+        elif form == 1:
+            rows.append(("phone", f"{r.choice(calls if y else others)}<{d(10) if y else d(r.randint(9, 15))}>{after}", int(y)))
+        else:
+            sep = r.choice("-. ")
+            number = f"{d(3)}{sep}{d(3)}{sep}{d(4)}"
+            before = r.choice((*calls, f"{word()} ", ""))
+            if y:
+                rows.append(("phone", f"{before}{r.choice((d(2), '20' + d(2), d(2) + ' 20' + d(2)))} <{number}>{r.choice((after, ' ' + d(2)))}", 1))
+            else:
+                cut = f"<{d(2)} 20{d(2)} {number[:7]}>{number[7:11]}"
+                rows.append(("phone", before + r.choice((cut, f"<20{d(2)} {number}>{after}", f"<{d(2)} {number}>{after}", f"<{number} {d(2)}>{after}")), 0))
     return rows
 
 
@@ -146,6 +191,23 @@ def _spans(text: Column, pattern: str, kind: str, hint: str) -> Column:
     return F.when(text.rlike(hint), out).otherwise(empty)
 
 
+def _from_starts(text: Column, pattern: str, kind: str, hint: str) -> Column:
+    """Like _spans, with the match at each place where one starts, so they may overlap. The text is cut before each start, and the lengths give the places."""
+    empty = F.array().cast("array<struct<kind:string,s:int,e:int,m:string>>")
+
+    def add(acc: Column, pair: Column) -> Column:
+        s = acc["at"] + F.length(pair["before"])
+        return F.struct(s.alias("at"), F.concat(acc["out"], F.array(F.struct(F.lit(kind).alias("kind"), s.alias("s"), (s + F.length(pair["m"])).alias("e"), pair["m"].alias("m")))).alias("out"))
+
+    found = F.regexp_extract_all(text, F.lit(f"(?=({pattern}))"), F.lit(1))
+    pieces = F.split(text, f"(?={pattern})", -1)
+    # Java makes no empty piece before a start at the text's first place.
+    pieces = F.when(F.size(pieces) == F.size(found), F.concat(F.array(F.lit("")), pieces)).otherwise(pieces)
+    pairs = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda before, m: F.struct(before.alias("before"), m.alias("m")))
+    out = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), add)["out"]
+    return F.when(text.rlike(hint), out).otherwise(empty)
+
+
 def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
@@ -199,7 +261,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         base = base.withColumn(k, F.filter(_spans(F.col("text"), BASE[k], k, HINT[k]), _keeps(VALID[k])))
     base = base.withColumn("base", F.concat(*KINDS))
     text = F.col("text")
-    proposed = F.concat(*(_spans(text, PROPOSE[k], k, PROPOSE_HINT[k]) for k in KINDS))
+    proposed = F.array_distinct(F.concat(*(_spans(text, PROPOSE[k], k, PROPOSE_HINT[k]) for k in KINDS), *(_from_starts(text, p, k, PROPOSE_HINT[k]) for k, p in STARTS)))
     base = base.withColumn("found", F.filter(proposed, lambda c: ~F.exists("base", lambda b: _overlap(b, c))))
 
     def judged(c: Column) -> Column:

@@ -146,3 +146,18 @@ def test_corpus_stats_have_every_term_and_the_totals(spark, small):
     got = QUERIES["a9_corpus_stats"](spark, small).collect()
     assert {r.term: r.df for r in got} == df
     assert {(r.n, round(r.avgdl, 9)) for r in got} == {(len(TEXTS), round(sum(map(len, words)) / len(words), 9))}
+
+
+def test_pii_proposes_from_every_start(spark):
+    """in 2024 ...: the digits pass as a card, so it is a base span, and those stay."""
+    from mnemosaic.llm import pii
+
+    want = {
+        "call 12 2024 555-123-4567 now": "555-123-4567", "in 2023 555-123-4567": "555-123-4567", "in 2024 555-123-4567": "2024 555-123-4567", "555-123-4567 12": "555-123-4567", "mail joe at site dot com": "joe at site dot com",
+        "write to joe at site dot com please": "joe at site dot com", "joe (AT) site.com": "joe (AT) site.com", "tel 5551234567": "5551234567", "é𝄞 phone 5551234567 and tel 5559876543": "5551234567,5559876543",
+        "order 5551234567": "", "we met at noon dot now": "", "phone 555-123-4567 or joe (at) site.com": "joe (at) site.com,555-123-4567",
+    }
+    df = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    texts = list(want)
+    got = {texts[r.doc_id]: ",".join(texts[r.doc_id][int(s) : int(e)] for x in r.spans.split(",") if x for _, s, e in [x.split(":")]) for r in pii.find_pii(df).collect()}
+    assert got == want
