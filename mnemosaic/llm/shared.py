@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -12,20 +10,28 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master, as in tests, gets a folder of its own where it is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = os.path.join(tempfile.gettempdir(), "mnemosaic-checkpoints")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        import tempfile
+
+        where = f"{tempfile.gettempdir()}/mnemosaic-checkpoints"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/mnemosaic/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """df written as Parquet to the shared folder and read back: cuts lineage, and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/mnemosaic/{name}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, name)
     df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def needed(df: DataFrame, **columns: tuple[str, str]) -> DataFrame:
@@ -33,6 +39,14 @@ def needed(df: DataFrame, **columns: tuple[str, str]) -> DataFrame:
     return df.select(*(F.col(f"`{source}`").cast(kind).alias(name) for name, (source, kind) in columns.items()))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"{name}_"
+    return name
+
+
 def unsigned_hex(col: Column) -> Column:
     """16 lowercase hex digits of a long's bits."""
     return F.lower(F.lpad(F.hex(col), 16, "0"))

@@ -11,7 +11,8 @@ at most `sample_chars` characters); everything else covers all rows and whole te
 classes the model gives every text the score 0.
 
 Edge cases: null and empty texts have a score too, that of no words. Null doc_ids are never in the training sample. Repeated
-rows stay. A very long text is scored in slices, with the same maxima. Other columns are ignored.
+rows stay. A very long text is scored in slices that share words and hashes of divided words, so its score is that of one slice. A null doc_id
+is held out of nothing (held_out is false). Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .shared import needed
 
 BUCKET_BITS, DIM, WIDTHS, FILTERS = 16, 8, (1, 2, 3), 8
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 16
 LEAK = 0.1
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint64)
 IS_WORD = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
@@ -35,23 +36,39 @@ PAD = 1 << BUCKET_BITS
 POWERS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
 
 
-def word_buckets(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start offset and the two buckets of each word."""
-    raw = np.frombuffer(data, np.uint8)
+def _word_sums(raw: np.ndarray, length: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
+    """Start and sum of each word of raw, and the length of the word that its end cuts, if any. length: bytes that the first word already has."""
     inside = IS_WORD[raw]
-    edge = np.diff(inside.astype(np.int8), prepend=0)
-    starts = np.flatnonzero(edge == 1)
+    starts = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
     if not len(starts):
-        return starts, np.zeros(0, np.int32), np.zeros(0, np.int32)
-    word = np.cumsum(edge == 1) - 1
-    at = np.arange(len(raw)) - starts[np.maximum(word, 0)]
-    value = np.where(inside, (LOWER[raw] + np.uint64(1)) * POWERS[at & 63], np.uint64(0))
-    h = np.add.reduceat(value, starts)
-    h ^= h >> np.uint64(31)
+        return starts, np.zeros(0, np.uint64), 0
+    at = np.arange(len(raw), dtype=np.int32)
+    at[starts[0] :] -= np.repeat(starts, np.diff(starts, append=len(raw))).astype(np.int32)
+    first = 0
+    if length and inside[0]:
+        first = int(starts[1]) if len(starts) > 1 else len(raw)
+        at[:first] += length & 63
+    value = (LOWER[raw] + np.uint64(1)) * POWERS[at & 63]
+    value[~inside] = 0
+    tail = 0
+    if inside[-1]:
+        tail = len(raw) - int(starts[-1]) + (length if len(starts) == 1 and starts[0] == 0 else 0)
+    return starts, np.add.reduceat(value, starts), tail
+
+
+def _buckets_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two buckets of words with these sums."""
+    h = h ^ (h >> np.uint64(31))
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
     mask = np.uint64((1 << BUCKET_BITS) - 1)
-    return starts, (h & mask).astype(np.int32), ((h >> np.uint64(32)) & mask).astype(np.int32)
+    return (h & mask).astype(np.int32), ((h >> np.uint64(32)) & mask).astype(np.int32)
+
+
+def word_buckets(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start offset and the two buckets of each word."""
+    starts, sums, _ = _word_sums(np.frombuffer(data, np.uint8))
+    return starts, *_buckets_of(sums)
 
 
 def leaky(x: np.ndarray) -> np.ndarray:
@@ -75,16 +92,15 @@ class Model:
     empty: bool = False
 
     def maps(self, b1: np.ndarray, b2: np.ndarray) -> np.ndarray:
-        """Each filter's value at each word; the last two words must be padding. At padding it is 0, so a text doesn't see the next one's words."""
+        """Each filter's value at each word, as if padding came after the last. At padding it is 0, so a text doesn't see the next one's words."""
         e = np.concatenate([self.tables[0][b1], self.tables[1][b2]], axis=1)
-        out = []
-        for w, f in zip(WIDTHS, self.filters):
-            n = len(e)
-            a = e @ f[0]
-            for j in range(1, w):
+        n = len(e)
+        found = np.empty((n, len(WIDTHS) * FILTERS), np.float32)
+        for k, (w, f) in enumerate(zip(WIDTHS, self.filters)):
+            a = found[:, k * FILTERS : (k + 1) * FILTERS]
+            np.matmul(e, f[0], out=a)
+            for j in range(1, min(w, n)):
                 a[: n - j] += e[j:] @ f[j]
-            out.append(a)
-        found = np.concatenate(out, axis=1)
         found[b1 == PAD] = 0
         return found
 
@@ -102,41 +118,68 @@ def _padded(lots: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return b1, b2, np.concatenate([[0], np.cumsum([len(lot[0]) + 2 for lot in lots])])
 
 
+def _in_slices(text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Buckets of a long text's words, some SLICE_BYTES of text at a time, and whether they are the last.
+
+    Each lot begins with the two last words of the lot before it, and a word that a cut divides goes on in the next lot
+    with the hash it has so far, so the windows of all lots together are those of the whole text.
+    """
+    reach = max(WIDTHS) - 1
+    kept = [np.zeros(0, np.int32), np.zeros(0, np.int32)]
+    begun, length = np.uint64(0), 0  # of the word that the cut divides: its sum so far, and its bytes
+    for at in range(0, len(text), SLICE_BYTES):
+        final = at + SLICE_BYTES >= len(text)
+        raw = np.frombuffer(text, np.uint8, min(SLICE_BYTES, len(text) - at), at)
+        starts, sums, tail = _word_sums(raw, length)
+        if length and len(sums) and starts[0] == 0:
+            sums[:1] += begun
+        elif length:
+            sums = np.concatenate([[begun], sums])
+        begun, length = np.uint64(0), 0
+        if tail and not final:
+            begun, length, sums = sums[-1], tail, sums[:-1]
+        now = [np.concatenate([k, b]) for k, b in zip(kept, _buckets_of(sums))]
+        if final:
+            now = [np.concatenate([b, np.full(reach, PAD, np.int32)]) for b in now]
+        yield now[0], now[1], final
+        kept = [b[-reach:] for b in now]
+
+
+def _pooled_long(model: Model, text: bytes) -> np.ndarray:
+    reach = max(WIDTHS) - 1
+    best = np.full(len(WIDTHS) * FILTERS, -np.inf, np.float32)
+    for b1, b2, final in _in_slices(text):
+        if len(b1) > reach:
+            maps = model.maps(b1, b2)
+            best = np.maximum(best, maps.max(0) if final else maps[:-reach].max(0))
+        elif final:
+            best = np.maximum(best, model.maps(b1, b2).max(0))
+    return best
+
+
 def score_texts(model: Model, texts: list[bytes]) -> np.ndarray:
-    """Scores of whole texts, some SLICE_BYTES at a time."""
+    """Scores of whole texts; some SLICE_BYTES of text are held as numbers at a time."""
     pooled = np.full((len(texts), len(WIDTHS) * FILTERS), -np.inf, np.float32)
-    lot: list[tuple[int, bytes]] = []
+    lot: list[int] = []
     size = 0
 
     def settle() -> None:
         nonlocal lot, size
         if lot:
-            joined = b"\n".join(t for _, t in lot)
-            starts, b1, b2 = word_buckets(joined)
-            ends = np.cumsum([len(t) + 1 for _, t in lot])
-            cuts = np.searchsorted(starts, ends[:-1])
+            starts, b1, b2 = word_buckets(b"\n".join(texts[i] for i in lot))
+            cuts = np.searchsorted(starts, np.cumsum([len(texts[i]) + 1 for i in lot])[:-1])
             x, y, at = _padded(list(zip(np.split(b1, cuts), np.split(b2, cuts))))
-            best = np.maximum.reduceat(model.maps(x, y), at[:-1], axis=0)
-            for (i, _), row in zip(lot, best):
-                pooled[i] = np.maximum(pooled[i], row)
+            pooled[lot] = np.maximum.reduceat(model.maps(x, y), at[:-1], axis=0)
         lot, size = [], 0
 
     for i, text in enumerate(texts):
-        at = 0
-        while len(text) - at > SLICE_BYTES:  # slices end after a white space and share two words
-            cut = max(text.rfind(b" ", at, at + SLICE_BYTES), text.rfind(b"\n", at, at + SLICE_BYTES))
-            if cut <= at:
-                cut = at + SLICE_BYTES
-            lot.append((i, text[at:cut]))
-            settle()
-            back = cut
-            for _ in range(4):
-                back = max(text.rfind(b" ", at, max(back - 1, at)), at)
-            at = back if at < back < cut else cut
-        lot.append((i, text[at:]))
-        size += len(text) - at
-        if size > SLICE_BYTES:
+        if len(text) > SLICE_BYTES:
+            pooled[i] = _pooled_long(model, text)
+            continue
+        if size + len(text) > SLICE_BYTES:
             settle()
+        lot.append(i)
+        size += len(text) + 1
     settle()
     return model.score(model.logit(pooled))
 
@@ -276,7 +319,7 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     limit = F.lit(model.default_threshold)
     for name, t in sorted(model.thresholds.items()):
         limit = F.when(F.coalesce(F.col("lang"), F.lit("")) == name, F.lit(t)).otherwise(limit)
-    return scored.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), limit.alias("threshold"), (F.col("score") >= limit).alias("rejected"))
+    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), limit.alias("threshold"), (F.col("score") >= limit).alias("rejected"))
 
 
 def without_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
