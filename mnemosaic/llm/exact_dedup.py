@@ -9,7 +9,8 @@ different texts are told apart.
 
 Edge cases: a null text counts as empty, and empty texts equal each other and texts of white space only. A
 null doc_id sorts after all others and can stay itself. Of rows that tie even in doc_id one stays,
-the first in the scan's order. An empty table gives an empty result. Other columns are ignored.
+the first in the scan's order. An empty table gives an empty result. Other columns are ignored, and may have any name. Rows get
+numbers, and are stored with them before the two passes read them, so a task that runs again sees the same rows.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import needed, stored
+from .shared import free_name, stored
 
 WHITE = b" \t\n\x0b\x0c\r"
 KEY_BITS = 63
@@ -43,11 +44,11 @@ def _best(a: tuple, b: tuple) -> tuple:
 
 
 def _collapse(batches: Iterator[pa.RecordBatch], emit_docs: bool, emit_text: bool) -> Iterator[pa.RecordBatch]:
-    """Equal texts of this task become one entry; row and entry numbers repeat when the task is run again."""
+    """Equal texts of this task become one entry; entry numbers repeat when the task is run again over the stored rows."""
     base = TaskContext.get().partitionId() << 38
     entries: list[list] = []
     chains: dict[bytes, list[int]] = {}
-    row = made = held = 0
+    made = held = 0
 
     def flush() -> pa.RecordBatch:
         cols = [[e[i] for e in entries] for i in range(8)]
@@ -60,12 +61,11 @@ def _collapse(batches: Iterator[pa.RecordBatch], emit_docs: bool, emit_text: boo
         return pa.RecordBatch.from_pydict(arrays)
 
     for batch in batches:
-        ids, lengths, docs = batch.column(0).to_pylist(), batch.column(2).to_pylist(), []
-        for doc_id, text, length in zip(ids, batch.column(1), lengths):
+        ids, lengths, numbers, docs = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), []
+        for doc_id, text, length, rid in zip(ids, batch.column(1), lengths, numbers):
             norm = (text.as_py() or b"").translate(None, WHITE)
             sha = hashlib.sha256(norm).digest()
-            rid, mine = base + row, (length or 0, doc_id, base + row)
-            row += 1
+            mine = (length or 0, doc_id, rid)
             for i in chains.get(sha, ()):
                 if entries[i][5] == norm:
                     entries[i][3] += 1
@@ -163,10 +163,16 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(out)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 8, max_depth: int = 16, capacity: int = 20_000) -> DataFrame:
-    """Each row's group of equal texts: doc_id, keep_id, group_size, kept, text_sha256. See the module for edge cases."""
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 8, max_depth: int = 16, capacity: int = 20_000, row_col: str | None = None) -> DataFrame:
+    """Each row's group of equal texts: doc_id, keep_id, group_size, kept, text_sha256. See the module for edge cases.
+
+    row_col: the name of row numbers that are stored beside the rows; the result then has them too, as row.
+    """
     spark = docs.sparkSession
-    source = needed(docs, doc_id=(id_col, "long"), text=(text_col, "string")).select("doc_id", F.col("text").cast("binary").alias("text"), F.length("text").cast("long").alias("n"))
+    number = F.monotonically_increasing_id() if row_col is None else F.col(f"`{row_col}`").cast("long")
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), number.alias("rid"))
+    source = stored(source, "exact-rows") if row_col is None else source
+    source = source.select("doc_id", F.col("text").cast("binary").alias("text"), F.length("text").cast("long").alias("n"), "rid")
     narrow = stored(source.mapInArrow(_narrow, f"kind int, doc_id long, rid long, {ENTRIES}"), "exact-index", ["kind"])
     rows = narrow.where("kind = 0").select("doc_id", "rid", "entry")
     prefix = narrow.where("kind = 1").select(F.shiftrightunsigned("h", KEY_BITS - max_depth).alias("p"), "h").groupBy("p").agg(F.approx_count_distinct("h").alias("n"))
@@ -175,17 +181,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table = F.broadcast(spark.createDataFrame(list(enumerate(slots)), "slot long, bucket int"))
     entries = source.mapInArrow(_wide, f"{ENTRIES}, norm binary").withColumn("slot", F.shiftrightunsigned("h", KEY_BITS - deepest)).join(table, "slot")
     owned = stored(entries.repartition("bucket").sortWithinPartitions("h", "entry").mapInArrow(_own, OWNED), "exact-owned")
-    return rows.join(owned, "entry").select("doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), F.col("sha").alias("text_sha256"))
+    made = rows.join(owned, "entry").select(F.col("rid").alias("row"), "doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), F.col("sha").alias("text_sha256"))
+    return made if row_col else made.drop("row")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_dedup drops, with docs' own columns."""
-    from pyspark.sql import Window
-
-    found = exact_dedup(docs, id_col, text_col).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept")).where("not kept")
-    gone = found.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    sha = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", ""), 256)
-    with_sha = docs.withColumn("__sha2", sha)
-    left = with_sha.join(gone, with_sha[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.col("__sha2") == F.col("__sha")), "left_anti")
-    once = Window.partitionBy(F.col(id_col), F.col("__sha2")).orderBy(F.length(text_col).desc_nulls_last())
-    return left.withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n", "__sha2")
+    """docs without the rows that exact_dedup drops, with docs' own columns. Each row is kept or dropped by its own number."""
+    row, other = free_name(docs, "row"), free_name(docs, "other_row")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "exact-docs")
+    gone = exact_dedup(rows, id_col, text_col, row_col=row).where("not kept").select(F.col("row").alias(other))
+    return rows.join(gone, rows[row] == gone[other], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
