@@ -30,17 +30,35 @@ INTENT_WORDS = {
     "entity": ("认识", "朋友", "同事", "使用", "工具"),
 }
 SYNONYMS = {"经验": ("总结", "知道", "了解", "教训", "学"), "教训": ("错误", "失败", "问题", "反思"), "开发经验": ("开发", "代码", "编程", "开发过"), "擅长": ("会", "能", "精", "熟悉"), "不擅长": ("不会", "难以", "困难"), "做过": ("做", "完成", "进行", "参与")}
-_WHO, _END = "(?:用户|我)", "([^\\s，,。]+)"
+#: type, subtype, pattern.
 AUTO_RULES = (
-    ("fact", "location", f"{_WHO}(?:在|于|是|叫|住在){_END}"), ("fact", "work", f"{_WHO}(?:工作|任职|就职)于?{_END}"), ("fact", "tool", f"{_WHO}.*?(?:使用|用){_END}"),
-    ("fact", "age", f"{_WHO}{_END}(?:岁|年龄)"), ("fact", "education", f"{_WHO}(?:毕业[于]?){_END}"), ("fact", "profession", f"{_WHO}(?:从事|做){_END}"),
-    ("preference", "like", f"{_WHO}.*?喜欢{_END}"), ("preference", "dislike", f"{_WHO}.*?讨厌{_END}"), ("preference", "want", f"{_WHO}.*?想要{_END}"),
-    ("preference", "prefer", f"{_WHO}.*?倾向于{_END}"), ("preference", "not_like", f"{_WHO}.*?不(?:太?)?喜欢{_END}"), ("preference", "prefer", f"{_WHO}.*?(?:更?愿|比?较愿)意{_END}"),
-    ("decision", "decision", f"{_WHO}.*?决定{_END}"), ("decision", "decision", f"{_WHO}.*?选择{_END}"), ("decision", "adopted", f"{_WHO}.*?已[经]?采用{_END}"),
-    ("decision", "will_use", f"{_WHO}.*?(?:将|会)使用{_END}"), ("decision", "plan_use", f"{_WHO}.*?(?:准备|计划)(?:使用|采用){_END}"),
-    ("goal", "goal", f"{_WHO}.*?想要{_END}"), ("goal", "goal", f"{_WHO}.*?希望{_END}"), ("goal", "goal", f"{_WHO}.*?的目标是{_END}"), ("goal", "plan", f"{_WHO}.*?打算{_END}"), ("goal", "in_progress", f"{_WHO}.*?正(?:在|准备){_END}"),
-    ("lesson", "learned", f"{_WHO}.*?从{_END}中学到"), ("lesson", "discovered", f"{_WHO}.*?(?:意识[到]?|发现){_END}"), ("lesson", "mistake", f"{_WHO}.*?(?:犯错|失误|失败)(?:于|在){_END}"), ("lesson", "lesson", f"{_WHO}.*?(?:经验|教训)(?:是|：){_END}"),
-)
+    ("fact", "location", "(?:用户|我)(?:在|于|是|叫|住在)([^\\s，,。]+)"),
+    ("fact", "work", "(?:用户|我)(?:工作|任职|就职)于?([^\\s，,。]+)"),
+    ("fact", "tool", "(?:用户|我).*?(?:使用|用)([^\\s，,。]+)"),
+    ("fact", "age", "(?:用户|我)([^\\s，,。]+)(?:岁|年龄)"),
+    ("fact", "education", "(?:用户|我)(?:毕业[于]?)([^\\s，,。]+)"),
+    ("fact", "profession", "(?:用户|我)(?:从事|做)([^\\s，,。]+)"),
+    ("preference", "like", "(?:用户|我).*?喜欢([^\\s，,。]+)"),
+    ("preference", "dislike", "(?:用户|我).*?讨厌([^\\s，,。]+)"),
+    ("preference", "want", "(?:用户|我).*?想要([^\\s，,。]+)"),
+    ("preference", "prefer", "(?:用户|我).*?倾向于([^\\s，,。]+)"),
+    ("preference", "not_like", "(?:用户|我).*?不(?:太?)?喜欢([^\\s，,。]+)"),
+    ("preference", "prefer", "(?:用户|我).*?(?:更?愿|比?较愿)意([^\\s，,。]+)"),
+    ("decision", "decision", "(?:用户|我).*?决定([^\\s，,。]+)"),
+    ("decision", "decision", "(?:用户|我).*?选择([^\\s，,。]+)"),
+    ("decision", "adopted", "(?:用户|我).*?已[经]?采用([^\\s，,。]+)"),
+    ("decision", "will_use", "(?:用户|我).*?(?:将|会)使用([^\\s，,。]+)"),
+    ("decision", "plan_use", "(?:用户|我).*?(?:准备|计划)(?:使用|采用)([^\\s，,。]+)"),
+    ("goal", "goal", "(?:用户|我).*?想要([^\\s，,。]+)"),
+    ("goal", "goal", "(?:用户|我).*?希望([^\\s，,。]+)"),
+    ("goal", "goal", "(?:用户|我).*?的目标是([^\\s，,。]+)"),
+    ("goal", "plan", "(?:用户|我).*?打算([^\\s，,。]+)"),
+    ("goal", "in_progress", "(?:用户|我).*?正(?:在|准备)([^\\s，,。]+)"),
+    ("lesson", "learned", "(?:用户|我).*?从([^\\s，,。]+)中学到"),
+    ("lesson", "discovered", "(?:用户|我).*?(?:意识[到]?|发现)([^\\s，,。]+)"),
+    ("lesson", "mistake", "(?:用户|我).*?(?:犯错|失误|失败)(?:于|在)([^\\s，,。]+)"),
+    ("lesson", "lesson", "(?:用户|我).*?(?:经验|教训)(?:是|：)([^\\s，,。]+)"),
+)
 AUTO_CONFIDENCE = {"fact": 0.85, "preference": 0.80, "decision": 0.90, "goal": 0.75, "lesson": 0.80}
 QUICK_RULES = (
     ("preference", "(?:我|用户).*(?:喜欢|prefer|倾向|倾向于)(.+)"), ("preference", "(?:我|用户).*(?:讨厌|不喜欢|hate|dislike)(.+)"), ("preference", "(?:我|用户).*(?:用|使用|using|use)(.+?)(?:而不是|instead of|不)(.+)"),
@@ -48,26 +66,25 @@ QUICK_RULES = (
     ("decision", "(?:用|使用)(.+?)(?:吧|吧|好了|的)"), ("fact", "(?:我|用户).*(?:住在|位于|在)(.+?)(?:市|省|县|区)"), ("fact", "(?:我|用户).*(?:是|是一名|做)(.+?)(?:工程|开发|设计|产品|运营|市场)"),
     ("fact", "(?:我|用户).*(?:工作|任职|就职)(?:于|在)(.+)"), ("task_state", "截止.*?(?:是|到|在|为)(.+?[日周月年])"), ("task_state", "deadline.*?(is|:|到|是)(.+)"),
 )
-_HAN, _ANY = "[一-鿿]", "[一-鿿A-Za-z0-9]"
 #: relation, type, pattern, groups of subject (0: none) and object.
 GRAPH_RULES = (
-    ("works_at", "person_company", f"({_HAN}{{2,8}})(?:在|于|就职于|工作于)({_HAN}{{2,10}})(?:公司|集团|企业|工作室)", 1, 2),
-    ("is_company", "company", f"(?:在|于|就职于)({_HAN}{{2,10}})(?:公司|集团|企业)", 0, 1),
-    ("uses", "person_tool", r"(?:使用|采用|基于)(React|Vue|Angular|Python|Java|Go|Rust|JavaScript|TypeScript|\S+)", 0, 1),
-    ("is_a", "person_profession", f"({_HAN}{{2,4}})(?:是|担任)({_HAN}+)工程师", 1, 2),
-    ("likes", "preference", f"(?:喜欢|爱|偏好)({_ANY}+)", 0, 1),
-    ("worked_on", "project", f"(?:项目|做了)({_ANY}{{2,15}})", 0, 1),
-    ("works_at", "company", f"(?:在|于)({_HAN}{{2,10}})(?:公司|集团|企业)(?:工作|任职)", 0, 1),
-    ("mentioned", "tech_company", f"((?:字节跳动|阿里巴巴|腾讯|百度|京东|美团|滴滴|小米|华为|网易|新浪|搜狐|360|快手|拼多多|抖音|头条|微信|支付宝){_HAN}*)", 0, 1),
-    ("lives_in", "location", f"(?:住在|定居于|位于)({_HAN}{{2,10}})", 0, 1),
-    ("graduated_from", "education", f"(?:毕业于|就读于)({_HAN}{{2,15}})(?:大学|学院|学校)", 0, 1),
-    ("has_position", "position", f"(?:职位是|担任|当)({_HAN}{{2,8}})(?:工程|开发|设计|产品|运营|市场|销售|经理|总监| CTO| CEO| CFO| COO| VP)", 0, 1),
-    ("has_social", "social", f"(?:有|认识|结交了)({_HAN}{{1,5}})(?:朋友|同事|伙伴)", 0, 1),
-    ("dislikes", "dislike", f"(?:不喜欢|讨厌|厌恶|反感)({_ANY}+)", 0, 1),
-    ("allergic_to", "allergy", f"(?:对|过敏|敏感)({_ANY}+)(?:过敏|敏感)", 0, 1),
-    ("knows", "person_known", f"(?:朋友|同学|同事)({_HAN}{{1,5}})(?:叫|名|是)", 0, 1),
-    ("learned", "skill_acquired", f"(?:学过|学习过|掌握|精通)({_ANY}+)", 0, 1),
-)
+    ("works_at", "person_company", "([一-鿿]{2,8})(?:在|于|就职于|工作于)([一-鿿]{2,10})(?:公司|集团|企业|工作室)", 1, 2),
+    ("is_company", "company", "(?:在|于|就职于)([一-鿿]{2,10})(?:公司|集团|企业)", 0, 1),
+    ("uses", "person_tool", "(?:使用|采用|基于)(React|Vue|Angular|Python|Java|Go|Rust|JavaScript|TypeScript|\\S+)", 0, 1),
+    ("is_a", "person_profession", "([一-鿿]{2,4})(?:是|担任)([一-鿿]+)工程师", 1, 2),
+    ("likes", "preference", "(?:喜欢|爱|偏好)([一-鿿A-Za-z0-9]+)", 0, 1),
+    ("worked_on", "project", "(?:项目|做了)([一-鿿A-Za-z0-9]{2,15})", 0, 1),
+    ("works_at", "company", "(?:在|于)([一-鿿]{2,10})(?:公司|集团|企业)(?:工作|任职)", 0, 1),
+    ("mentioned", "tech_company", "((?:字节跳动|阿里巴巴|腾讯|百度|京东|美团|滴滴|小米|华为|网易|新浪|搜狐|360|快手|拼多多|抖音|头条|微信|支付宝)[一-鿿]*)", 0, 1),
+    ("lives_in", "location", "(?:住在|定居于|位于)([一-鿿]{2,10})", 0, 1),
+    ("graduated_from", "education", "(?:毕业于|就读于)([一-鿿]{2,15})(?:大学|学院|学校)", 0, 1),
+    ("has_position", "position", "(?:职位是|担任|当)([一-鿿]{2,8})(?:工程|开发|设计|产品|运营|市场|销售|经理|总监| CTO| CEO| CFO| COO| VP)", 0, 1),
+    ("has_social", "social", "(?:有|认识|结交了)([一-鿿]{1,5})(?:朋友|同事|伙伴)", 0, 1),
+    ("dislikes", "dislike", "(?:不喜欢|讨厌|厌恶|反感)([一-鿿A-Za-z0-9]+)", 0, 1),
+    ("allergic_to", "allergy", "(?:对|过敏|敏感)([一-鿿A-Za-z0-9]+)(?:过敏|敏感)", 0, 1),
+    ("knows", "person_known", "(?:朋友|同学|同事)([一-鿿]{1,5})(?:叫|名|是)", 0, 1),
+    ("learned", "skill_acquired", "(?:学过|学习过|掌握|精通)([一-鿿A-Za-z0-9]+)", 0, 1),
+)
 TECH = (
     "React", "Vue", "Angular", "Svelte", "jQuery", "HTML", "CSS", "Node.js", "Python", "Java", "Go", "Rust", "C++", "C#", "Ruby", "PHP", "MySQL", "PostgreSQL", "MongoDB", "Redis", "Elasticsearch",
     "AWS", "Azure", "GCP", "阿里云", "腾讯云", "TensorFlow", "PyTorch", "Keras", "scikit-learn", "OpenAI", "React Native", "Flutter", "Swift", "Kotlin", "Android", "iOS",
@@ -75,6 +92,11 @@ TECH = (
 COMPANY_WORDS = ("公司", "集团", "企业", "工作室", "医院", "学校", "银行")
 COMPANIES = ("字节跳动", "阿里巴巴", "腾讯", "百度", "京东", "美团", "小米", "华为", "网易", "新浪", "搜狐", "快手", "拼多多", "滴滴", "抖音", "微信", "支付宝")
 CITIES = ("北京", "上海", "深圳", "广州", "杭州", "南京", "成都", "武汉", "西安", "苏州", "天津", "重庆", "长沙", "郑州", "东莞", "青岛", "沈阳", "大连", "厦门", "福州")
+FORCED = ("(记得|记住|回忆|想起)", "(之前|上次|过去|曾经|以前).*说", "(我的|我之前|曾说过)")
+MEMORY_WORDS = ("记得", "之前", "上次", "过去", "曾经", "以前", "我的", "我之前", "我记得", "你记得吗", "曾经说", "过去说", "之前提到", "上次说", "remember", "before", "previously", "last time", "previously mentioned", "you said earlier", "my", "i previously", "i said before")
+NEGATED_WORDS = ("喜欢", "吃", "做")
+RECENT_WORDS = ("最近", "近期", "现在", "目前", "这周", "这月", "今天", "昨天", "当前", "进行中", "正在")
+PAST_WORDS = ("以前", "过去", "之前", "曾经", "早些", "当年", "那时", "曾经的", "过去的")
 #: A negation and the words of an earlier statement that it speaks against.
 CONTRADICTIONS = (("不喜欢", "喜欢"), ("不是", "是"), ("没有", "有"), ("从不", "偶尔"), ("讨厌", "喜欢"))
 CORRECTIONS = ("实际上", "其实", "不对", "错了", "更正", "纠正", "改口", "之前.*说错了", "不是.*而是", "之前说.*现在")
@@ -104,8 +126,9 @@ def denoise_reason(content: Column, importance: Column, confidence: Column, repe
 
 
 def is_noise(text: Column) -> Column:
+    """Short, a greeting, an acknowledgement or thanks alone, or without a letter, digit or underscore of any script."""
     t = stripped(text)
-    return (F.length(t) < 2) | t.rlike(f"(?i){any_of(NOISE)}") | ~t.rlike("[0-9A-Za-z_À-ɏ一-鿿]")
+    return (F.length(t) < 2) | t.rlike(f"(?i){any_of(NOISE)}") | ~t.rlike(r"[\p{L}\p{N}_]")
 
 
 def should_retrieve(query: Column) -> Column:
@@ -139,12 +162,17 @@ def intent_confidence(query: Column, name: Column) -> Column:
 
 
 def expand(query: Column) -> Column:
-    """The query and its rewrites, distinct, in order."""
-    low = F.lower(query)
-    made = [F.array(query)]
-    made += [F.when(low.contains(p), F.array(F.replace(low, F.lit(p), F.lit(h)))).otherwise(F.array().cast("array<string>")) for p, h in PINYIN.items()]
-    made += [F.when(query.contains(w), F.array(*(F.replace(query, F.lit(w), F.lit(s)) for s in syn))).otherwise(F.array().cast("array<string>")) for w, syn in SYNONYMS.items()]
-    return F.array_distinct(F.flatten(F.array(*made)))
+    """The query and its rewrites, in order: names in Hanzi, synonyms that are new, and for a negation its positive forms, which may repeat."""
+    low, negated = F.lower(query), query.rlike(any_of((*NEGATION_PATTERNS, *NEGATION)))
+    swap = lambda text, a, b: F.replace(text, F.lit(a), F.lit(b))
+    made = [(low.contains(p), swap(low, p, h), True) for p, h in PINYIN.items()]
+    made += [(query.contains(w), swap(query, w, s), False) for w, found in SYNONYMS.items() for s in found]
+    for word in NEGATED_WORDS:
+        made += [(negated & query.contains(word), swap(query, f"不{word}", word), True), (negated & query.contains(word), swap(query, "不喜欢", "喜欢"), True)]
+    made += [(negated & query.contains("不擅长"), swap(query, a, b), True) for a, b in (("不擅长", "擅长"), ("不擅长什么", "什么"))]
+    rows = F.array(*(F.struct(F.coalesce(c, F.lit(False)).alias("holds"), t.alias("text"), F.lit(always).alias("always")) for c, t, always in made))
+    add = lambda acc, r: F.when(r["holds"] & (r["always"] | ~F.array_contains(acc, r["text"])), F.concat(acc, F.array(r["text"]))).otherwise(acc)
+    return F.aggregate(rows, F.array(query), add)
 
 
 def bm25_tokens(text: Column) -> Column:
@@ -174,12 +202,14 @@ def cache_key(params: Column) -> Column:
 
 
 def fingerprint(text: Column) -> Column:
-    return F.substring(F.md5(F.regexp_replace(F.lower(text), r"[ \t\n\r，。！？、；：]", "")), 1, 16)
+    """A hash of the text in lower case without white space, full-width marks, brackets and double quotes."""
+    return F.substring(F.md5(F.regexp_replace(F.lower(text), r'[\s\p{Z}\x0b\x1c-\x1f\x85，。、！？；："（）\[\]【】]', "")), 1, 16)
 
 
-def is_valid(content: Column) -> Column:
-    low = F.lower(content)
-    return (F.length(content) >= 5) & ~(low.rlike(any_of(PLACEHOLDERS)) & (F.length(F.trim(low)) < 30))
+def is_valid(content: Column, summary: Column | None = None) -> Column:
+    """False for contents under 5 characters, and for short texts with a placeholder's word."""
+    both = F.trim(F.concat(F.lower(content), F.lit(" "), F.lower(F.coalesce(summary, F.lit(""))))) if summary is not None else F.trim(F.lower(content))
+    return (F.length(content) >= 5) & ~((F.length(both) < 30) & both.rlike(any_of(PLACEHOLDERS)))
 
 
 def auto_extract(text: Column) -> Column:
@@ -232,3 +262,47 @@ def weights_of(name: Column) -> Column:
     for k, w in CHANNEL_WEIGHTS.items():
         out = F.when(name == k, F.array(*map(F.lit, w))).otherwise(out)
     return out
+
+
+def temporal_match(query: Column, content: Column) -> Column:
+    """How a text's time words fit those of the query; null where the query has none, or where they don't fit (.3 and less)."""
+    words = lambda t, w: F.lower(t).rlike(any_of(w))
+    recent, past = words(query, RECENT_WORDS), words(query, PAST_WORDS)
+    new, old = words(content, RECENT_WORDS), words(content, PAST_WORDS)
+    score = (
+        F.when(recent & past, F.when(new, 0.9).when(old, 0.3).otherwise(0.5)).when(recent, F.when(new, 1.0).when(old, 0.1).otherwise(0.5))
+        .when(past, F.when(old, 1.0).when(new, 0.1).otherwise(0.5))
+    )
+    return F.when(score > 0.3, score)
+
+
+def linked_entities(text: Column) -> Column:
+    """array of (subject, relation, entity, type): X is Y, tools that are used, and employers; names of one character are left out."""
+    name = "[A-Za-z0-9一-鿿]+"
+    is_a = F.zip_with(_group(text, f"({name})是的?({name})", 1), _group(text, f"({name})是的?({name})", 2), lambda a, b: F.struct(a.alias("subject"), F.lit("is_a").alias("relation"), b.alias("entity"), F.lit("concept").alias("type")))
+    pairs = F.filter(is_a, lambda x: (F.length(x["subject"]) > 1) & (F.length(x["entity"]) > 1) & (x["subject"] != x["entity"]))
+    alone = lambda pattern, kind: F.transform(F.filter(_group(text, pattern, 1), lambda x: F.length(x) > 1), lambda x: F.struct(F.lit(None).cast("string").alias("subject"), F.lit(None).cast("string").alias("relation"), x.alias("entity"), F.lit(kind).alias("type")))
+    return F.concat(pairs, alone(f"使用({name})", "tool"), alone(f"在({name})工作", "company"))
+
+
+def _long_enough(query: Column) -> Column:
+    return (F.length(F.regexp_replace(query, "[^一-鿿]", "")) >= 6) | (F.size(F.regexp_extract_all(query, F.lit("[a-zA-Z]+"), F.lit(0))) >= 15)
+
+
+def retrieval_reason(query: Column) -> Column:
+    """Why a query is searched for, or isn't: empty, skip, forced, length, keyword or short."""
+    q = stripped(query)
+    skip = F.lower(q).rlike(any_of(SKIP)) | q.rlike("^[😀-🙏]+$")
+    return (
+        F.when(F.length(q) == 0, "empty").when(skip, "skip").when(q.rlike(any_of(FORCED)), "forced").when(_long_enough(q), "length")
+        .when(F.lower(q).rlike(any_of(MEMORY_WORDS)), "keyword").otherwise("short")
+    )
+
+
+def query_kind(query: Column) -> Column:
+    """greeting, command, confirm, simple_question, memory_recall, fact_query or other."""
+    low = F.lower(stripped(query))
+    return (
+        F.when(low.rlike("^(hi|hello|hey|你好|您好|嗨|哈喽)"), "greeting").when(low.startswith("/"), "command").when(low.rlike("^(ok|好|yes|yeah|yep|okay|好的|可以|没问题)"), "confirm")
+        .when(F.length(low) < 10, "simple_question").when(low.rlike(any_of(MEMORY_WORDS)), "memory_recall").when(_long_enough(low), "fact_query").otherwise("other")
+    )

@@ -12,6 +12,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemosaic.functions import text
+from mnemosaic.sources.io import staging
+
+
+#: Tokenizers and document lengths: words and runs with every occurrence counted, or with distinct tokens as the length.
+VARIANTS = {"module": (text.bm25_tokens, F.size, 0.0), "core": (text.core_tokens, lambda t: F.size(F.array_distinct(t)), None)}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out evenly where its files are fewer than the cores, as a file of one row group is one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def postings(docs: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
@@ -26,20 +37,41 @@ def corpus_stats(docs: DataFrame, id_col: str = "id", text_col: str = "content")
     return postings(docs, id_col, text_col).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, id_col: str = "id", text_col: str = "content") -> DataFrame:
-    """qid, id, score for queries (qid, q). Only the queries' terms leave the scan; a term's frequency comes from those same rows.
+def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, id_col: str = "id", text_col: str = "content", variant: str = "module") -> DataFrame:
+    """qid, id, score for queries (qid, q). Texts are split into words once; only the queries' terms, and a row for each text, leave that pass.
 
-    The queries' terms are broadcast only through Spark's own size check, so a large query table joins by sort-merge.
+    The queries' terms are broadcast only through Spark's own size check, so a large query table joins by sort-merge. A term in
+    many documents meets its queries in pieces of the documents' ids, so no task holds all of it.
     """
-    terms = queries.select("qid", F.explode(F.array_distinct(text.bm25_tokens(F.col("q")))).alias("term"))
-    tokens = docs.select(F.col(id_col).alias("id"), text.bm25_tokens(F.col(text_col)).alias("t"))
-    stats = tokens.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"))
-    hits = tokens.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    tokens_of, length, floor = VARIANTS[variant]
+    terms = queries.select("qid", F.explode(F.array_distinct(tokens_of(F.col("q")))).alias("term"))
+    tokens = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("x"))).select("id", tokens_of(F.col("x")).alias("t"))
+    rows = tokens.select("id", F.greatest(length(F.col("t")), F.lit(0)).alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.coalesce("t", F.array().cast("array<string>")))).alias("term"))
+    asked = terms.select(F.col("term").alias("asked")).distinct()
+    rows = rows.join(asked, F.col("term") == F.col("asked"), "left").where("term IS NULL OR asked IS NOT NULL")
+    hits = stored(rows.groupBy("id", "dl", "term").agg(F.count("*").alias("tf")))
+    stats = hits.where("term IS NULL").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # one row of totals
+    hits = hits.where("term IS NOT NULL")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    n, avgdl = F.col("n"), F.col("avgdl")  # one row of totals
-    idf = F.greatest(F.lit(0.0), F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
+    n, avgdl = F.col("n"), F.col("avgdl")
+    idf = F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    idf = idf if floor is None else F.greatest(F.lit(floor), idf)
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    return hits.join(df, "term").join(terms, "term").crossJoin(F.broadcast(stats)).groupBy("qid", "id").agg(F.sum(part).alias("score")).where("score > 0")
+    weighed = df.crossJoin(F.broadcast(stats)).select("term", "df", "n", "avgdl", F.ceil(F.col("df") / PIECE).alias("pieces"))
+    each = terms.join(weighed, "term").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"))
+    placed = hits.join(weighed.select("term", F.col("pieces").alias("of")), "term").withColumn("piece", F.pmod(F.xxhash64("id"), F.col("of")))
+    return placed.join(each, ["term", "piece"]).groupBy("qid", "id").agg(F.sum(part).alias("score")).where("score > 0")
+
+
+#: Documents of a term that meet its queries in one piece.
+PIECE = 100_000
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder, so what it costs is paid once."""
+    path = staging(df.sparkSession, "postings")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _blocks(vectors: DataFrame, id_col: str, vector_col: str, size: int) -> DataFrame:
@@ -56,22 +88,24 @@ def _blocks(vectors: DataFrame, id_col: str, vector_col: str, size: int) -> Data
     return rows.mapInArrow(pack, f"ids array<{ids}>, vs array<array<double>>")
 
 
-def _matrices(vs: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By length: the rows' places and the vectors at unit length (zero ones stay zero; a null component counts as 0)."""
+def _matrices(vs: list, unit: bool = True) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length: the rows' places and the vectors, at unit length unless told otherwise (zero ones stay zero; a null component counts as 0)."""
     places: dict[int, list[int]] = {}
     for i, v in enumerate(vs):
         places.setdefault(len(v), []).append(i)
     found = {}
     for n, at in places.items():
         m = np.nan_to_num(np.array([vs[i] for i in at], np.float64).reshape(len(at), n), nan=0.0, posinf=0.0, neginf=0.0)
-        norm = np.sqrt((m * m).sum(1, keepdims=True))
+        norm = np.sqrt((m * m).sum(1, keepdims=True)) if unit else np.ones((len(m), 1))
         found[n] = np.array(at), np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
     return found
 
 
-def vector_top(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "vector", block: int = 512) -> DataFrame:
+def vector_top(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "vector", block: int = 512, metric: str = "cosine") -> DataFrame:
     """qid, id, score, rank: the k best vectors of each query (qid, v) by cosine similarity, rounded to 9 digits; ties by id.
 
+    metric l2: by the square of the distance instead; score is 1 less that. Vectors of another length are no candidates then.
+
     Blocks of queries meet blocks of vectors (a block pair is one matrix product), and only a pair's k best leave it, so the shuffle
     carries k rows for each query and block of vectors instead of every pair. Spark broadcasts the query blocks under its size check.
     Similarity is 0 where lengths differ or a norm is 0; a null or non-finite component counts as 0; null vectors take no part.
@@ -85,16 +119,20 @@ def vector_top(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id
             for i in range(batch.num_rows):
                 ids, vs, qids, qs = (batch.column(c)[i].as_py() for c in ("ids", "vs", "qids", "qs"))
                 rank = np.argsort(np.argsort(np.array(ids), kind="stable"), kind="stable")
-                score = np.zeros((len(qids), len(ids)))
-                mine = _matrices(vs)
-                for n, (at, q) in _matrices(qs).items():
+                near = metric == "l2"
+                score = np.full((len(qids), len(ids)), -np.inf if near else 0.0)
+                mine = _matrices(vs, not near)
+                for n, (at, q) in _matrices(qs, not near).items():
                     if n in mine:
-                        score[np.ix_(at, mine[n][0])] = q @ mine[n][1].T
+                        product = q @ mine[n][1].T
+                        if near:
+                            product = 1 - ((q * q).sum(1)[:, None] + (mine[n][1] * mine[n][1]).sum(1)[None, :] - 2 * product)
+                        score[np.ix_(at, mine[n][0])] = product
                 score = np.round(score, 9) + 0.0
                 row = np.lexsort((np.broadcast_to(rank, score.shape), -score), axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(np.array(qids), row.shape[1])), pa.array(np.array(ids)[row].ravel()), pa.array(np.take_along_axis(score, row, 1).ravel())], names=["qid", "id", "score"]
-                )
+                best = np.take_along_axis(score, row, 1).ravel()
+                found = best > -np.inf
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(qids), row.shape[1])[found]), pa.array(np.array(ids)[row].ravel()[found]), pa.array(best[found])], names=["qid", "id", "score"])
 
     return top(met.mapInArrow(best, f"qid {types['qid']}, id {types['id']}, score double"), k)
 
@@ -137,27 +175,70 @@ def top(channel: DataFrame, k: int) -> DataFrame:
     return channel.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def rrf(channels: dict[str, DataFrame], weights: dict[str, float], k: int = 60) -> DataFrame:
-    """qid, id, rrf, channels: one shuffle over the union of ranked channels instead of outer joins."""
-    parts = [df.select("qid", "id", "rank", "score", F.lit(name).alias("channel"), F.lit(weights[name]).alias("w")) for name, df in channels.items()]
-    both = reduce(DataFrame.unionByName, parts)
+def _channel_rows(channels: dict[str, DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [df.select("qid", "id", "rank", F.col("score").cast("double").alias("score"), F.lit(name).alias("channel")) for name, df in channels.items()])
+
+
+def rrf(channels: dict[str, DataFrame], weights: dict[str, float] | DataFrame, k: int = 60) -> DataFrame:
+    """qid, id, rrf, channels: one shuffle over the union of ranked channels instead of outer joins.
+
+    weights: of the channels, or a table (qid, weights as a map) of them by query.
+    """
+    both = _channel_rows(channels)
+    if isinstance(weights, DataFrame):
+        both = both.join(weights, "qid").withColumn("w", F.coalesce(F.element_at("weights", F.col("channel")), F.lit(0.0)))
+    else:
+        both = both.withColumn("w", F.element_at(F.create_map(*(F.lit(x) for kv in weights.items() for x in kv)), F.col("channel")))
     return both.groupBy("qid", "id").agg(F.round(F.sum(F.col("w") / (k + F.col("rank"))), 6).alias("rrf"), F.array_sort(F.collect_list("channel")).alias("channels"))
 
 
+def merged(channels: dict[str, DataFrame]) -> DataFrame:
+    """qid, id and each channel's score (null where a channel doesn't have the row), the best of them and how many have it."""
+    both = _channel_rows(channels)
+    own = [F.max(F.when(F.col("channel") == name, F.col("score"))).alias(name) for name in channels]
+    return both.groupBy("qid", "id").agg(*own, F.count("*").alias("n_channels"))
+
+
+def best_lists(fused: DataFrame, order: list[Column], keep: int) -> DataFrame:
+    """The first `keep` rows of each query, with pos from 1."""
+    return fused.withColumn("pos", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(F.col("pos") <= keep)
+
+
+def graph_channel(queries: DataFrame, edges: DataFrame, named: DataFrame, k: int, entities: int = 5) -> DataFrame:
+    """qid, id, score, rank: memories that name an entity of the query, or a neighbour of one.
+
+    edges (src, dst) link names, named (name, id) says which memories name them. A query's first `entities` names (by code point) each
+    have a network of themselves and their neighbours; its size times .1, less at depth one, is the score of the memories of each.
+    """
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
+    names = edges.select(F.col("src").alias("name")).unionByName(edges.select(F.col("dst").alias("name"))).distinct()
+    own = mentions(queries, names, "q").select("qid", "name").distinct()
+    own = own.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("name"))).where(F.col("n") <= entities).select("qid", F.col("name").alias("src"))
+    size = both.groupBy("src").agg((F.lit(1) + 2 * F.count("*")).alias("size"))  # its nodes, and an edge to each neighbour
+    start = own.join(size, "src")
+    near = start.select("qid", F.col("src").alias("name"), (F.col("size") * 0.1).alias("score")).unionByName(start.join(both, "src").select("qid", F.col("dst").alias("name"), (F.col("size") * 0.1 / 1.5).alias("score")))
+    best = near.groupBy("qid", "name").agg(F.max("score").alias("score"))
+    return top(best.join(named, "name").groupBy("qid", "id").agg(F.round(F.max("score"), 6).alias("score")), k)
+
+
 def score_fusion(channels: dict[str, DataFrame], weights: dict[str, float]) -> DataFrame:
     """The weighted mean of scores over 61: fusion at a fixed rank of one."""
     parts = [df.select("qid", "id", (F.col("score") * weights[name]).alias("s"), F.lit(weights[name]).alias("w")) for name, df in channels.items()]
     return reduce(DataFrame.unionByName, parts).groupBy("qid", "id").agg(F.round(F.sum("s") / 61 / F.sum("w"), 6).alias("fused"))
 
 
-def mmr(candidates: DataFrame, k: int, balance: float = 0.5, limit: float = 0.85) -> DataFrame:
-    """Greedy choice of k rows of each query (qid, q, id, content): relevance against similarity to what is chosen. Candidates are few by construction (a top-k)."""
+def mmr(candidates: DataFrame, k: int, balance: float = 0.5, limit: float = 0.85, similarity=None, order: str = "id") -> DataFrame:  # noqa: ANN001
+    """Greedy choice of k rows of each query (qid, q, id, content): relevance against similarity to what is chosen; of equal values the first in the order of the column `order` wins.
+
+    similarity: of two sets of words; Jaccard's by default. Candidates are few by construction (a top-k).
+    """
+    jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 0.0
+    sim = similarity or jaccard
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", ignore_index=True)
+        pdf = pdf.sort_values(order, ignore_index=True)
         sets = [set(str(c).lower().split()) for c in pdf["content"]]
         query = set(str(pdf["q"].iloc[0]).lower().split())
-        sim = lambda a, b: len(a & b) / len(a | b) if a | b else 0.0
         left, chosen = list(range(len(pdf))), []
         while left and len(chosen) < k:
             value = []
@@ -174,4 +255,13 @@ def mmr(candidates: DataFrame, k: int, balance: float = 0.5, limit: float = 0.85
 
 
 def dedup_decision(cosine: Column, overlap: Column) -> Column:
+    """By rule: nothing near, or a near text with other words, is a new row."""
     return F.when(cosine.isNull() | (cosine < 0.7), "CREATE").when(overlap > 0.9, "SKIP").when(overlap > 0.7, "MERGE").otherwise("CREATE")
+
+
+def dedup_heuristic(cosine: Column, overlap: Column, category: Column) -> Column:
+    """The variant that looks at the category: profiles are merged, events and cases are always new."""
+    return (
+        F.when(cosine.isNull() | (cosine < 0.7), "CREATE").when(overlap > 0.8, "SKIP").when(category == "profile", "MERGE")
+        .when(category.isin("events", "cases"), "CREATE").when(cosine >= 0.85, "MERGE").otherwise("CREATE")
+    )

@@ -42,39 +42,60 @@ def f1_literals(spark, d):
     return rows.select("q", text.denoise_reason(F.col("q"), F.lit(0.6), F.lit(0.9), F.lit(0)).alias("reason"), text.is_noise(F.col("q")).alias("noise"))
 
 
-@query("f4_noise", rf"""WITH c AS (SELECT conv_id, turn, {_STRIP.format('text')} AS t FROM conversations)
-SELECT conv_id, turn, length(t) < 2 OR regexp_matches(t, '(?i){_re(text.NOISE)}') OR NOT regexp_matches(t, '[0-9A-Za-z_À-ɏ一-鿿]') AS noise FROM c""")
+NOISES = ["привет мир", "ありがとう", "안녕하세요", "你好!", "hello", "Hi there", "😀😀", "👍", "。。。", "???", "好的", "谢谢!", "thx", "a", "", "早上好", "知道了吗", "_x", "٣٤"]
+#: Written out here, apart from the constants of the code.
+_NOISE_SQL = r"""length(t) < 2 OR regexp_matches(t, '(?i)^(你好|您好|嗨|hi|hello|hey|早上好|下午好|晚上好|早安|晚安|好的|是的|嗯|ok|好|行|可以|没问题|收到|了解|明白|知道了|谢谢|感谢|多谢|thx|thanks)[\s,.!?]*$')
+ OR regexp_matches(t, '^[\s\x0b\x1c-\x1f\x{85}\p{Z}\p{P}\p{S}\p{M}\p{C}]*$')"""
+
+
+@query("f4_noise", rf"""WITH {literal_sql(NOISES)}, c AS (SELECT conv_id, turn, {_STRIP.format('text')} AS t FROM conversations UNION ALL SELECT NULL, NULL, {_STRIP.format('q')} FROM l)
+SELECT conv_id, turn, CASE WHEN conv_id IS NULL THEN t END AS said, {_NOISE_SQL} AS noise FROM c""")
 def f4(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", text.is_noise(F.col("text")).alias("noise"))
+    """Messages, and literals of several scripts."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "text", F.lit(None).cast("string").alias("said"))
+    more = literals(spark, NOISES).select(F.lit(None).cast("long").alias("conv_id"), F.lit(None).cast("long").alias("turn"), F.col("q").alias("text"), text.stripped(F.col("q")).alias("said"))
+    return rows.unionByName(more).select("conv_id", "turn", "said", text.is_noise(F.col("text")).alias("noise"))
+
 
+_KEYWORDS = "记得|之前|上次|过去|曾经|以前|我的|我之前|我记得|你记得吗|曾经说|过去说|之前提到|上次说|remember|before|previously|last time|previously mentioned|you said earlier|my|i previously|i said before"
+_FORCED = ("(记得|记住|回忆|想起)", "(之前|上次|过去|曾经|以前).*说", "(我的|我之前|曾说过)")
+_LONG = "(length(regexp_replace(t, '[^一-鿿]', '', 'g')) >= 6 OR len(regexp_extract_all(t, '[a-zA-Z]+')) >= 15)"
 
-@query("f5_f6_gate", rf"""WITH {literal_sql(Q)}, s AS (SELECT q, {_STRIP.format('q')} AS t FROM l)
-SELECT q, length(t) > 0 AND NOT regexp_matches(t, '(?i){_re(text.SKIP)}') AND NOT regexp_matches(t, '^[😀-🙏]+$') AS retrieve,
+
+@query("f5_f6_gate", rf"""WITH {literal_sql(Q)}, s AS (SELECT q, {_STRIP.format('q')} AS t FROM l UNION ALL SELECT text, {_STRIP.format('text')} FROM conversations),
+f AS (SELECT q, t, regexp_matches(lower(t), '^(hi|hello|hey|你好|您好|嗨|哈喽)|^/|^(ok|好|yes|yeah|yep|okay|好的|可以)|^(thanks|thank you|谢谢)|^[😀-🙏]+$') AS skip FROM s)
+SELECT q, length(t) > 0 AND NOT skip AS retrieve,
+CASE WHEN length(t) = 0 THEN 'empty' WHEN skip THEN 'skip' WHEN regexp_matches(t, '{"|".join(_FORCED)}') THEN 'forced' WHEN {_LONG} THEN 'length' WHEN regexp_matches(lower(t), '{_KEYWORDS}') THEN 'keyword' ELSE 'short' END AS reason,
 CASE WHEN regexp_matches(lower(t), '^(hi|hello|hey|你好|您好|嗨|哈喽)') THEN 'greeting' WHEN starts_with(t, '/') THEN 'command' WHEN regexp_matches(lower(t), '^(ok|好|yes|yeah|yep|okay|好的|可以|没问题)') THEN 'confirm'
-WHEN length(t) < 10 THEN 'simple_question' WHEN regexp_matches(t, '(记得|记住|回忆|想起)') THEN 'memory_recall' WHEN length(t) >= 15 OR length(regexp_replace(t, '[^一-鿿]', '', 'g')) >= 6 THEN 'fact_query' ELSE 'other' END AS kind FROM s""")
+WHEN length(t) < 10 THEN 'simple_question' WHEN regexp_matches(lower(t), '{_KEYWORDS}') THEN 'memory_recall' WHEN {_LONG.replace('(t,', '(lower(t),')} THEN 'fact_query' ELSE 'other' END AS kind FROM f""")
 def f5(spark, d):
-    t, low = text.stripped(F.col("q")), F.lower(text.stripped(F.col("q")))
-    kind = (
-        F.when(low.rlike("^(hi|hello|hey|你好|您好|嗨|哈喽)"), "greeting").when(t.startswith("/"), "command").when(low.rlike("^(ok|好|yes|yeah|yep|okay|好的|可以|没问题)"), "confirm")
-        .when(F.length(t) < 10, "simple_question").when(t.rlike("(记得|记住|回忆|想起)"), "memory_recall")
-        .when((F.length(t) >= 15) | (F.length(F.regexp_replace(t, "[^一-鿿]", "")) >= 6), "fact_query").otherwise("other")
-    )
-    return literals(spark, Q).select("q", text.should_retrieve(F.col("q")).alias("retrieve"), kind.alias("kind"))
+    """Whether a query is searched for, why, and what kind it is: literals and every message."""
+    rows = literals(spark, Q).unionByName(table(spark, d, "conversations").select(F.col("text").alias("q")))
+    return rows.select("q", text.should_retrieve(F.col("q")).alias("retrieve"), text.retrieval_reason(F.col("q")).alias("reason"), text.query_kind(F.col("q")).alias("kind"))
 
 
-@query("f8_f10_tenants", f"""WITH {MEM} SELECT id, scope = 'global' OR (scope = 'user' AND scope_id = 's3') AS visible,
-CASE WHEN scope = 'global' THEN true WHEN scope IN ('user','project','agent','session','channel') THEN scope_id = 's3' ELSE false END AS writable,
-substr(sha256(scope_id), 1, 16) AS scope_hash FROM mem WHERE scope = 'global' OR scope = 'user'""")
+@query("f8_f10_tenants", f"""WITH {MEM}, r(requested) AS (VALUES ('global'), ('user'), ('project')) SELECT requested, id, requested = 'global' OR scope = 'global' OR (scope = 'user' AND scope_id = 's3') OR (scope NOT IN ('global', 'user') AND scope_id = 's2') AS visible,
+CASE WHEN scope = 'global' THEN true WHEN scope = 'user' THEN scope_id = 's3' WHEN scope IN ('project','agent','session','channel') THEN scope_id = 's2' ELSE false END AS writable,
+substr(sha256(scope_id), 1, 16) AS scope_hash FROM mem, r""")
 def f8(spark, d):
-    m = memories(spark, d).where(F.col("scope").isin("global", "user"))
-    visible = (F.col("scope") == "global") | ((F.col("scope") == "user") & (F.col("scope_id") == "s3"))
-    writable = F.when(F.col("scope") == "global", True).when(F.col("scope").isin("user", "project", "agent", "session", "channel"), F.col("scope_id") == "s3").otherwise(False)
-    return m.select("id", visible.alias("visible"), writable.alias("writable"), F.substring(F.sha2("scope_id", 256), 1, 16).alias("scope_hash"))
+    """What user s3 in scope s2 may see and write, for each scope that may be asked for; scope ids leave as hashes, and transcripts don't leave."""
+    asked = F.explode(F.array(*map(F.lit, ("global", "user", "project")))).alias("requested")
+    own = F.when(F.col("scope") == "user", F.col("scope_id") == "s3").otherwise(F.col("scope_id") == "s2")
+    visible = (F.col("requested") == "global") | (F.col("scope") == "global") | own
+    writable = F.when(F.col("scope") == "global", True).when(F.col("scope").isin("user", "project", "agent", "session", "channel"), own).otherwise(False)
+    return memories(spark, d).select("*", asked).select("requested", "id", visible.alias("visible"), writable.alias("writable"), F.substring(F.sha2("scope_id", 256), 1, 16).alias("scope_hash"))
 
 
-@query("f11_placeholder", f"""WITH {MEM} SELECT id, length(content) >= 5 AND NOT (regexp_matches(lower(content), '{_re(text.PLACEHOLDERS)}') AND length(trim(lower(content))) < 30) AS valid FROM mem""")
+SHORTS = [("a test", "x"), ("fine words here", "todo"), ("abcd", ""), ("todo: something that is long enough to keep", ""), ("High Importance", None), ("用户喜欢川菜", "测试"), ("tmp", "a summary of more than thirty characters")]
+_SHORTS = "s(content, summary) AS (VALUES " + ", ".join(f"('{c}', {'NULL' if x is None else repr(x)})" for c, x in SHORTS) + ")"
+
+
+@query("f11_placeholder", f"""WITH {MEM}, {_SHORTS}, u AS (SELECT id, content, substr(content, 1, 20) AS summary FROM mem UNION ALL SELECT NULL, content, summary FROM s), t AS (SELECT *, trim(lower(content) || ' ' || lower(coalesce(summary, ''))) AS b FROM u)
+SELECT id, CASE WHEN id IS NULL THEN content END AS said, length(content) >= 5 AND NOT (length(b) < 30 AND regexp_matches(b, 'high importance|importance上限|测试重要性|test|测试|placeholder|todo|tmp')) AS valid FROM t""")
 def f11(spark, d):
-    return memories(spark, d).select("id", text.is_valid(F.col("content")).alias("valid"))
+    m = memories(spark, d).select("id", "content", F.substring("content", 1, 20).alias("summary"), F.lit(None).cast("string").alias("said"))
+    more = spark.createDataFrame([(None, c, x, c) for c, x in SHORTS], "id long, content string, summary string, said string")
+    return m.unionByName(more).select("id", "said", text.is_valid(F.col("content"), F.col("summary")).alias("valid"))
 
 
 @query("f12_f14_tiers", f"""WITH {MEM}, t AS (SELECT id, importance, CASE WHEN importance > 0.9 THEN 'HOT' WHEN importance > 0.7 THEN 'WARM' WHEN importance > 0.5 THEN 'COLD' ELSE 'ARCHIVED' END AS tier FROM mem)
@@ -99,7 +120,7 @@ def f21(spark, d):
 
 @query("x1_x6_hashes", rf"""WITH {MEM} SELECT id, length(regexp_replace(substr(content, 1, 50000), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g')) AS clean_length, {HASH} AS denoise_hash,
 sha256(lower(trim(content))) AS unify_hash, sha256(content) AS guard_hash, substr(sha256(content), 1, 12) AS version_hash,
-substr(md5(regexp_replace(lower(content), '[ \t\n\r，。！？、；：]', '', 'g')), 1, 16) AS fingerprint, substr(content, 1, 50) AS preview FROM mem""")
+substr(md5(regexp_replace(lower(content), '[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]|，|。|、|！|？|；|：|\"|（|）|\[|\]|【|】', '', 'g')), 1, 16) AS fingerprint, substr(content, 1, 50) AS preview FROM mem""")
 def x1(spark, d):
     c = F.col("content")
     clean = F.regexp_replace(F.substring(c, 1, 50000), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
@@ -126,15 +147,29 @@ FACTS = ["用户喜欢川菜", "用户讨厌川菜", "我使用Python", "用户
 
 
 @query("x7_x9_extract", f"""WITH {literal_sql(FACTS)}, f AS (SELECT q, list_distinct(flatten({_AUTO})) AS found FROM l), u AS (SELECT q, unnest(found) AS x FROM f)
-SELECT q, x.type AS type, x.content AS content, x.confidence AS confidence FROM u""")
+SELECT q, x.type AS type, x.content AS content, x.confidence AS confidence, length(x.content) >= 8 AS stored FROM u""")
 def x7(spark, d):
-    return literals(spark, FACTS).select("q", F.explode(text.auto_extract(F.col("q"))).alias("x")).select("q", "x.type", "x.content", "x.confidence")
+    return literals(spark, FACTS).select("q", F.explode(text.auto_extract(F.col("q"))).alias("x")).select("q", "x.type", "x.content", "x.confidence", text.denoise_reason(F.col("x.content"), F.col("x.confidence"), F.col("x.confidence"), F.lit(0)).isNull().alias("stored"))
+
+
+@query("x6_fingerprints", r"""WITH l(q, fingerprint) AS (VALUES ('用户说："我喜欢川菜"', substr(md5('用户说我喜欢川菜'), 1, 16)), ('（A）[b]【c】 d', substr(md5('abcd'), 1, 16)), ('it''s “so”', substr(md5('it''s“so”'), 1, 16)), ('a　b', substr(md5('ab'), 1, 16))) SELECT * FROM l""")
+def x6(spark, d):
+    """Quoted and bracketed texts; the expected values are hashes of the bare words."""
+    return literals(spark, ['用户说："我喜欢川菜"', "（A）[b]【c】 d", "it's “so”", "a　b"]).select("q", text.fingerprint(F.col("q")).alias("fingerprint"))
+
 
+_QUICK = "flatten([" + ", ".join(f"CASE WHEN regexp_matches(q, '(?i){p}') THEN [{{'pos': {n}, 'type': '{k}', 'content': trim(regexp_extract(q, '(?i){p}', 0))}}] ELSE [] END" for n, (k, p) in enumerate(text.QUICK_RULES)) + "])"
 
-@query("x7_quick_extract", None)
+
+@query("x7_u7_quick_extract", f"""WITH {literal_sql(FACTS)}, f AS (SELECT q, unnest({_QUICK}) AS x FROM l WHERE length(q) >= 2), g AS (SELECT q, x.pos AS pos, x.type AS type, x.content AS content,
+CASE WHEN regexp_matches(x.content, '(?i)deadline|截止') THEN 0.95 WHEN regexp_matches(x.content, '(?i)decided|决定') THEN 0.9 WHEN regexp_matches(x.content, '(?i)prefer|喜欢') THEN 0.8 ELSE 0.5 END::DOUBLE AS importance FROM f WHERE x.content <> '' AND q <> 'hello'),
+h AS (SELECT *, substr(md5(regexp_replace(lower(content), '[ ，。、！？；：（）]', '', 'g')), 1, 16) AS fingerprint FROM g)
+SELECT q, type, content, importance, fingerprint FROM (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY q, pos) AS n FROM h) WHERE n = 1""")
 def x7_quick(spark, d):
-    rows = literals(spark, FACTS).select("q", F.explode(text.quick_extract(F.col("q"))).alias("x")).select("q", "x.*")
-    return rows.withColumn("fingerprint", text.fingerprint(F.col("content"))).dropDuplicates(["fingerprint"])
+    """Facts of quick rules; of equal ones the first by text and rule stays."""
+    rows = literals(spark, FACTS).select("q", F.posexplode(text.quick_extract(F.col("q"))).alias("pos", "x")).select("q", "pos", "x.*")
+    rows = rows.withColumn("fingerprint", text.fingerprint(F.col("content")))
+    return windows.newest(rows, ["fingerprint"], [F.col("q"), F.col("pos")]).select("q", "type", "content", "importance", "fingerprint")
 
 
 _COUNT = lambda ws: " + ".join(f"contains(q, '{w}')::INT" for w in ws)
@@ -151,18 +186,36 @@ def x13(spark, d):
     return literals(spark, Q).select("q", name.alias("intent")).withColumn("confidence", text.intent_confidence(F.col("q"), F.col("intent")))
 
 
-@query("x14_expand", None)
+REWRITES = {
+    "hangzhou 天气": ["hangzhou 天气", "杭州 天气"], "用户不喜欢吃什么": ["用户不喜欢吃什么", "用户喜欢吃什么", "用户喜欢吃什么", "用户不喜欢吃什么", "用户喜欢吃什么"],
+    "学到什么教训": ["学到什么教训", "学到什么错误", "学到什么失败", "学到什么问题", "学到什么反思"], "咖啡": ["咖啡"], "BEIJING to Xian": ["BEIJING to Xian", "北京 to xian", "beijing to 西安"],
+    "他不擅长什么": ["他不擅长什么", "他不会什么", "他不能什么", "他不精什么", "他不熟悉什么", "他难以什么", "他困难什么", "他擅长什么", "他什么"],
+}
+
+
+@query("x14_expand", "SELECT * FROM (VALUES " + ", ".join(f"('{q}', {found})" for q, found in REWRITES.items()) + ") AS t(q, queries)")
 def x14(spark, d):
-    return literals(spark, Q).select("q", text.expand(F.col("q")).alias("queries"), text.weights_of(text.intent(F.col("q"))).alias("weights"))
+    """The queries that a query is searched as; the expected lists are written by hand."""
+    return literals(spark, list(REWRITES)).select("q", text.expand(F.col("q")).alias("queries"))
+
+
+MOMENTS = [("用户最近在做什么", "最近在学习"), ("用户最近在做什么", "以前在学习"), ("用户最近在做什么", "在学习"), ("以前住哪", "以前住杭州"), ("以前住哪", "现在住上海"), ("最近和以前", "过去的事"), ("最近和以前", "今天的事"), ("天气", "今天下雨")]
+
+
+@query("m14_temporal_match", "SELECT * FROM (VALUES ('用户最近在做什么', '最近在学习', 1.0::DOUBLE), ('用户最近在做什么', '在学习', 0.5), ('以前住哪', '以前住杭州', 1.0), ('最近和以前', '今天的事', 0.9)) AS t(q, content, score)")
+def m14_match(spark, d):
+    """Time words of a query against those of a text; scores up to .3 are left out."""
+    rows = spark.createDataFrame(MOMENTS, "q string, content string")
+    return rows.select("q", "content", text.temporal_match(F.col("q"), F.col("content")).alias("score")).where("score IS NOT NULL")
+
+
+LINKS = ["张三是的工程师", "我是我", "使用Spark和使用R", "他在字节跳动工作", "A是B", "项目是Memory"]
 
 
-@query("x20_x22_shapes", r"""SELECT event_id, regexp_matches(props, '(?i)[0-9a-f]{8}-') AS has_uuid, CASE WHEN value < 1024 THEN printf('%d B', floor(value)::BIGINT) ELSE printf('%d KB', floor(value / 1024)::BIGINT) END AS size_text,
-CASE WHEN contains(event_type, 'error') THEN 'error' WHEN contains(event_type, 'click') THEN 'click' ELSE 'other' END AS kind FROM events""")
-def x20(spark, d):
-    e = table(spark, d, "events")
-    kind = F.when(F.contains("event_type", F.lit("error")), "error").when(F.contains("event_type", F.lit("click")), "click").otherwise("other")
-    size = F.when(F.col("value") < 1024, F.format_string("%d B", F.floor("value"))).otherwise(F.format_string("%d KB", F.floor(F.col("value") / 1024)))
-    return e.select("event_id", F.col("props").rlike("(?i)[0-9a-f]{8}-").alias("has_uuid"), size.alias("size_text"), kind.alias("kind"))
+@query("x12_linked_entities", "SELECT * FROM (VALUES ('张三是的工程师', '张三', 'is_a', '工程师', 'concept'), ('使用Spark和使用R', NULL, NULL, 'Spark和使用R', 'tool'), ('他在字节跳动工作', NULL, NULL, '字节跳动', 'company'), ('项目是Memory', '项目', 'is_a', 'Memory', 'concept')) AS t(q, subject, relation, entity, type)")
+def x12(spark, d):
+    """The rules that link a memory's entities; the expected rows are written by hand."""
+    return literals(spark, LINKS).select("q", F.explode(text.linked_entities(F.col("q"))).alias("x")).select("q", "x.*")
 
 
 AGE = f"(epoch_us(TIMESTAMP '{NOW}') - epoch_us(last_accessed)) / 86400000000.0"

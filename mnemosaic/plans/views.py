@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The moment that counts as now, so results don't change from day to day.
 NOW = "2024-02-01 00:00:00"
@@ -44,6 +45,18 @@ def graph_edges(spark: SparkSession, d: str) -> DataFrame:
     return c.unionByName(n).unionByName(s)
 
 
+def name_graph(spark: SparkSession, d: str) -> DataFrame:
+    """src, dst: words of six letters or more that follow each other in a benchmark item, each pair once."""
+    names = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))
+    pairs = table(spark, d, "benchmark").select(names.alias("n")).where("size(n) > 1")
+    pairs = pairs.select(F.explode(F.zip_with("n", F.slice("n", 2, F.size("n") - 1), lambda a, b: F.struct(a.alias("src"), b.alias("dst")))).alias("x"))
+    return pairs.select("x.src", "x.dst").where("dst IS NOT NULL AND src <> dst").distinct()
+
+
+NAME_GRAPH = """nm AS (SELECT regexp_extract_all(lower(text), '[a-z]{6,}') AS ns FROM benchmark),
+ge AS (SELECT DISTINCT ns[i] AS src, ns[i + 1] AS dst FROM nm, range(1, 10000) t(i) WHERE i < len(ns) AND ns[i] <> ns[i + 1])"""
+
+
 EDGES = """e AS (SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst, 'lives_in' AS relation FROM customer
   UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'part_of' FROM nation
   UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'based_in' FROM supplier)"""

@@ -40,57 +40,6 @@ def test_entity_memories_searches_every_name(spark, small):
     assert got == {n: (len(ids), ids[0]) for n in names if (ids := [i for i, t in enumerate(TEXTS) if n in t])} and "lighthouse" in got
 
 
-def test_near_copies_go_by_row(spark):
-    from mnemosaic.llm import simhash_dedup
-
-    a, b, c, e = (" ".join(f"{w}{i}" for i in range(400)) for w in ("apple", "brick", "cloud", "eagle"))
-    # Null ids: a copy of a row with an id, a text of its own, and a group of null ids alone. Id 5: a copy and a text of its own.
-    rows = [(1, a), (None, a), (None, b), (None, c), (None, c), (5, a), (5, e), (7, "only once"), (8, None)]
-    df = spark.createDataFrame([(i, t, "en", "s", n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n int")
-    got = simhash_dedup.keep_one(df)
-    assert got.columns == df.columns
-    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == sorted([(1, a), (0, b), (0, c), (5, e), (7, "only once"), (8, "")])
-    assert simhash_dedup.keep_one(df.limit(0)).count() == 0
-
-
-def test_toxicity_of_a_text_is_its_own():
-    import numpy as np
-
-    from mnemosaic.llm import toxicity
-
-    rng = np.random.default_rng(1)
-    model = toxicity.train([b"good day friend", b"bad vile thing"] * 20, [0, 1] * 20, ["en"] * 40, [i % 5 == 4 for i in range(40)], epochs=2)
-    model.filters = [rng.normal(0, 1, f.shape).astype(np.float32) for f in model.filters]
-    model.tables = [np.vstack([rng.normal(0, 1, t[:-1].shape), t[-1:]]).astype(np.float32) for t in model.tables]
-    texts = [b"good day", b"", b"bad vile thing", b"a", b"good friend of mine", b"vile"]
-    alone = [toxicity.score_texts(model, [t])[0] for t in texts]
-    for order in (range(6), range(5, -1, -1), (1, 2, 0, 2, 3, 2, 1, 5, 4)):
-        assert np.allclose(toxicity.score_texts(model, [texts[i] for i in order]), [alone[i] for i in order], atol=1e-6)
-
-
-def test_toxicity_learns_from_a_text_alone(monkeypatch):
-    """Training with more padding between texts gives the same model."""
-    import numpy as np
-
-    from mnemosaic.llm import toxicity
-
-    texts = [f"{w} day{i}".encode() for i in range(20) for w in ("good", "vile")]
-    args = texts, [0, 1] * 20, ["en"] * 40, [i % 5 == 4 for i in range(40)]
-    padded = toxicity._padded
-
-    def far(lots):  # noqa: ANN001, ANN202
-        b1, b2, starts = padded(lots)
-        more = np.full(4, toxicity.PAD, np.int32)
-        parts = [(np.concatenate([b[s:e], more]), e - s + 4) for b in (b1, b2) for s, e in zip(starts[:-1], starts[1:])]
-        half = len(parts) // 2
-        return np.concatenate([p for p, _ in parts[:half]]), np.concatenate([p for p, _ in parts[half:]]), np.concatenate([[0], np.cumsum([n for _, n in parts[:half]])])
-
-    near = toxicity.train(*args, epochs=2, least_steps=5)
-    monkeypatch.setattr(toxicity, "_padded", far)
-    apart = toxicity.train(*args, epochs=2, least_steps=5)
-    assert all(np.allclose(x, y, atol=1e-5) for x, y in zip(near.filters + near.tables, apart.filters + apart.tables))
-
-
 def test_history_walk_goes_to_the_end(spark, tmp_path):
     import datetime as dt
 
@@ -146,18 +95,3 @@ def test_corpus_stats_have_every_term_and_the_totals(spark, small):
     got = QUERIES["a9_corpus_stats"](spark, small).collect()
     assert {r.term: r.df for r in got} == df
     assert {(r.n, round(r.avgdl, 9)) for r in got} == {(len(TEXTS), round(sum(map(len, words)) / len(words), 9))}
-
-
-def test_pii_proposes_from_every_start(spark):
-    """in 2024 ...: the digits pass as a card, so it is a base span, and those stay."""
-    from mnemosaic.llm import pii
-
-    want = {
-        "call 12 2024 555-123-4567 now": "555-123-4567", "in 2023 555-123-4567": "555-123-4567", "in 2024 555-123-4567": "2024 555-123-4567", "555-123-4567 12": "555-123-4567", "mail joe at site dot com": "joe at site dot com",
-        "write to joe at site dot com please": "joe at site dot com", "joe (AT) site.com": "joe (AT) site.com", "tel 5551234567": "5551234567", "é𝄞 phone 5551234567 and tel 5559876543": "5551234567,5559876543",
-        "order 5551234567": "", "we met at noon dot now": "", "phone 555-123-4567 or joe (at) site.com": "joe (at) site.com,555-123-4567",
-    }
-    df = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
-    texts = list(want)
-    got = {texts[r.doc_id]: ",".join(texts[r.doc_id][int(s) : int(e)] for x in r.spans.split(",") if x for _, s, e in [x.split(":")]) for r in pii.find_pii(df).collect()}
-    assert got == want
