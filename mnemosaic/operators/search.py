@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemosaic.functions import text
+from mnemosaic.functions import scoring, text
 from mnemosaic.sources.io import staging
 
 
@@ -265,3 +265,39 @@ def dedup_heuristic(cosine: Column, overlap: Column, category: Column) -> Column
         F.when(cosine.isNull() | (cosine < 0.7), "CREATE").when(overlap > 0.8, "SKIP").when(category == "profile", "MERGE")
         .when(category.isin("events", "cases"), "CREATE").when(cosine >= 0.85, "MERGE").otherwise("CREATE")
     )
+
+
+def result_columns(rows: DataFrame) -> DataFrame:
+    """What a caller sees of memories."""
+    return rows.select("id", "type", "content", "importance", "created_at", "source")
+
+
+def promoted(sessions: DataFrame, now: Column, hours: int = 24, forced: bool = False) -> DataFrame:
+    """Memories out of session states (conv_id, decisions, preferences, facts, updated) that are older than the hours, or all if forced; empty parts give none."""
+    old = sessions if forced else sessions.where(F.unix_micros(F.col("updated").cast("timestamp")) <= F.unix_micros(now.cast("timestamp")) - hours * 3_600_000_000)
+    part = lambda kind, column, weight: F.struct(F.lit(kind).alias("type"), F.col(column).alias("content"), F.lit(weight).alias("importance"))
+    rows = old.select("conv_id", F.explode(F.array(part("decision", "decisions", 0.9), part("preference", "preferences", 0.8), part("fact", "facts", 0.7))).alias("x"))
+    return rows.select("conv_id", "x.*", F.lit("session_state").alias("source")).where(F.col("content").isNotNull() & ~F.contains("content", F.lit("[None]")))
+
+
+def admitted(new: DataFrame, kept: DataFrame, vectors: DataFrame, recalled: DataFrame) -> DataFrame:
+    """new memories with outcome, class and match: what happens to each on its way into the table of those kept.
+
+    Contents are cut to 50,000 characters and cleaned of control characters; then a rule may turn them away, then a low importance, then a
+    recall of the same content (hashes in recalled), then an earlier copy among the new ones. The nearest kept memory by cosine of the
+    vectors (id, vector) decides by the words in common whether the rest are skipped, merged into it or created.
+    """
+    c = F.regexp_replace(F.substring("content", 1, 50_000), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
+    rows = new.withColumn("content", c).withColumn("hash", F.sha2("content", 256))
+    copy = F.row_number().over(Window.partitionBy("hash").orderBy("created_at", "id"))
+    rows = rows.withColumns({"copy": copy, "reason": text.denoise_reason(F.col("content"), F.col("importance"), F.lit(1.0), F.lit(0)), "class": scoring.keep_class(F.col("importance"))})
+    rows = rows.join(recalled.select("hash").distinct().withColumn("seen", F.lit(True)), "hash", "left")
+    asked = new.select("id").join(vectors, "id").select(F.col("id").alias("qid"), F.col("vector").alias("v"))
+    near = vector_top(vectors.join(kept.select("id"), "id", "left_semi"), asked, 1).select(F.col("qid").alias("id"), F.col("id").alias("match"), F.col("score").alias("cosine"))
+    rows = rows.join(near, "id", "left").join(kept.select(F.col("id").alias("match"), F.col("content").alias("other")), "match", "left")
+    decision = dedup_decision(F.col("cosine"), scoring.jaccard(scoring.words(F.col("content")), scoring.words(F.coalesce("other", F.lit("")))))
+    outcome = (
+        F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("class") == "discard", "discard").when(F.col("seen"), "recalled").when(F.col("copy") > 1, "repeated")
+        .when(decision == "SKIP", "skip").when(decision == "MERGE", "merge").otherwise("created")
+    )
+    return rows.withColumn("outcome", outcome).drop("copy", "reason", "seen", "other", "hash")

@@ -55,12 +55,6 @@ def f26(spark, d):
     return _chain(spark, d).where("valid_until IS NULL OR valid_until >= TIMESTAMP_NTZ '2001-08-01 00:00:00' - INTERVAL 90 DAY").agg(F.count("*").alias("kept"))
 
 
-@query("r1_r5_record_update", f"WITH {MEM} SELECT id, CASE WHEN abs(length(content) - 1000)::DOUBLE / greatest(length(content), 1) >= 0.3 THEN 'new_node' ELSE 'same_node' END AS change, substr(sha256(content), 1, 12) AS version FROM mem")
-def r1(spark, d):
-    n = F.length("content")
-    return memories(spark, d).select("id", F.when(F.abs(n - 1000) / F.greatest(n, F.lit(1)) >= 0.3, "new_node").otherwise("same_node").alias("change"), F.substring(F.sha2("content", 256), 1, 12).alias("version"))
-
-
 @query("s4_point_lookup", f"WITH {MEM} SELECT id, content, type FROM mem WHERE id = 7 LIMIT 1")
 def s4(spark, d):
     return memories(spark, d).where("id = 7").limit(1).select("id", "content", "type")
@@ -179,18 +173,6 @@ def r11_a24(spark, d):
     return t.read()
 
 
-@query("r16_r18_move_tiers", f"WITH {MEM}, t AS (SELECT id, CASE WHEN importance > 0.9 THEN 'HOT' WHEN importance > 0.7 THEN 'WARM' WHEN importance > 0.5 THEN 'COLD' ELSE 'ARCHIVED' END AS tier, CASE WHEN id % 4 = 0 THEN 'WARM' ELSE 'COLD' END AS current FROM mem) SELECT id, current, tier FROM t WHERE current <> tier")
-def r16(spark, d):
-    t = memories(spark, d).select("id", F.when(F.col("id") % 4 == 0, "WARM").otherwise("COLD").alias("current"), scoring.tier(F.col("importance")).alias("tier"))
-    return t.where("current <> tier")
-
-
-@query("r20_decay_info", f"WITH {MEM} SELECT id, importance AS original, round((epoch_us(TIMESTAMP '{NOW}') - epoch_us(created_at)) / 86400000000.0, 1) AS age_days FROM mem")
-def r20(spark, d):
-    age = scoring.days_between(F.lit(NOW).cast("timestamp"), F.col("created_at").cast("timestamp"))
-    return memories(spark, d).select("id", F.col("importance").alias("original"), F.round(age, 1).alias("age_days"))
-
-
 @query("s17_cold_roundtrip", f"WITH {MEM} SELECT id::VARCHAR AS id, content, type, importance, created_at FROM mem WHERE importance <= 0.5")
 def s17(spark, d):
     """Archived memories written to cold storage and brought back."""

@@ -9,11 +9,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemosaic.functions import files as fileinfo
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir; only a local master, as in tests, gets one of its own where that is unset."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = os.path.join(tempfile.gettempdir(), "mnemosaic-checkpoints")
+    return where.rstrip("/")
+
 
 def staging(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the cluster shares."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "mnemosaic-checkpoints")
-    return f"{base.rstrip('/')}/mnemosaic/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/mnemosaic/{name}-{uuid.uuid4().hex}"
 
 
 def json_roundtrip(df: DataFrame) -> DataFrame:
@@ -27,6 +38,75 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def append_lines(df: DataFrame, path: str) -> None:
+    """Rows added to a folder of JSON lines."""
+    df.write.mode("append").json(path)
+
+
+def tail(rows: DataFrame, n: int, at: str = "timestamp") -> DataFrame:
+    """The last n rows of a log."""
+    return rows.orderBy(F.desc(at)).limit(n)
+
+
+#: Side files, as JSON: the graph, decay states, feedback, versions, recalls and pools.
+SIDE_FILES = {
+    "kg_nodes": "name string, type string, properties map<string,string>, mention_count int, created_at string, last_seen string",
+    "kg_edges": "src string, dst string, relation string, weight double, created_at string",
+    "decay_states": "id string, initial_importance double, current_importance double, memory_type string, access_count int, created_at string, last_access string, next_decay_check string, boost_events array<struct<timestamp:string,days_elapsed:double,survival_before:double,decayed_importance:double,boost_applied:double,new_importance:double>>",
+    "feedback": "memory_id string, query string, position int, timestamp string, channel_scores map<string,double>",
+    "versions": "memory_id string, type string, valid_from string, valid_until string, version int, supersedes string, superseded_by string",
+    "recalls": "content_hash string, memory_id string, ts string, preview string",
+    "pools": "id string, pool string, source string, recalled_count int",
+}
+
+
+def read_side_file(spark: SparkSession, name: str, path: str) -> DataFrame:
+    return spark.read.schema(SIDE_FILES[name]).json(path)
+
+
+def write_side_file(df: DataFrame, name: str, path: str) -> None:
+    """df with the columns of the side file, cast to its types; what it lacks is null."""
+    kinds = df.sparkSession.createDataFrame([], SIDE_FILES[name]).schema
+    df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds)).write.mode("overwrite").json(path)
+
+
+# The parts of a session file, in order.
+SECTIONS = (("current_task", "Current Task"), ("key_context", "Key Context"), ("pending_actions", "Pending Actions"), ("recent_decisions", "Recent Decisions"), ("user_preferences", "User Preferences"), ("important_facts", "Important Facts"))
+EMPTY = {"current_task": "[None]", "pending_actions": "- [ ] None"}
+
+
+def session_text(sessions: DataFrame) -> DataFrame:
+    """path, value: a session file of each row (path and a column for each section)."""
+    parts = [F.concat(F.lit(f"## {title}\n"), F.coalesce(F.col(name), F.lit(EMPTY.get(name, "[None yet]"))), F.lit("\n")) for name, title in SECTIONS]
+    return sessions.select("path", F.concat(F.lit("# Session\n\n"), F.concat_ws("\n", *parts), F.lit("\n---\n")).alias("value"))
+
+
+def parsed_sessions(files: DataFrame) -> DataFrame:
+    """path and a column for each section of files (path, value); a section that is missing has the empty state's text."""
+    found = lambda title: F.trim(F.regexp_extract("value", rf"(?s)## {title}\s*\n(.*?)(?=\n## |\n?---)", 1))
+    has = lambda title: F.col("value").rlike(rf"(?s)## {title}\s*\n(.*?)(?=\n## |\n?---)")
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    return files.select("path", *(F.when(has(title), strip(found(title))).otherwise(F.lit(EMPTY.get(name, "[None yet]"))).alias(name) for name, title in SECTIONS))
+
+
+def notes(spark: SparkSession, path: str) -> DataFrame:
+    """path, value of the Markdown files of a folder, each whole."""
+    return spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(path).select(F.col("_metadata.file_name").alias("path"), "value")
+
+
+def attachments(spark: SparkSession, path: str) -> DataFrame:
+    """Files of a folder as attachments: name, bytes, hash, and what attached() says of them."""
+    files = spark.read.format("binaryFile").load(path)
+    return attached(files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("hash_sha256")))
+
+
+def attached(files: DataFrame) -> DataFrame:
+    """files (filename, size_bytes) with type, MIME type, size as text, and why a file isn't taken: its type, or its size."""
+    kind = fileinfo.file_type(F.col("filename"))
+    refused = F.when(F.col("file_type").isNull(), "type").when(F.col("size_bytes") > fileinfo.most_bytes(F.col("file_type")), "size")
+    return files.withColumn("file_type", kind).withColumns({"mime_type": fileinfo.mime_type(F.col("filename")), "size_text": fileinfo.size_text(F.col("size_bytes")), "refused": refused})
+
+
 def markdown_sections(files: DataFrame) -> DataFrame:
     """path, n, title, body: parts of (path, value) at headings; parts under 10 characters are left out."""
     parts = files.select("path", F.posexplode(F.split("value", r"(?m)^#{1,3}\s+")).alias("n", "part")).where(F.length(F.trim("part")) >= 10)
