@@ -52,6 +52,23 @@ def unsigned_hex(col: Column) -> Column:
     return F.lower(F.lpad(F.hex(col), 16, "0"))
 
 
+FILTER_BITS = 27
+
+
+def sifted(rows: DataFrame, column: str, wanted: DataFrame, wanted_column: str) -> DataFrame:
+    """rows whose value is in wanted, and few others: all but the former can be told by a join, which then has little to move.
+
+    A filter of 2**27 bits, however large the tables are: at most 2**21 words of it are broadcast, some 64 MB. Where it is too
+    full to keep much out, all rows still pass that must.
+    """
+    place = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    bit = F.col("bit_place")
+    words = wanted.select(place(wanted_column).alias("bit_place")).groupBy(F.shiftright(bit, 6).alias("bit_word"))
+    words = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(bit_place & 63 AS int))")).alias("bit_mask"))
+    met = rows.withColumn("bit_place", place(column)).withColumn("bit_word", F.shiftright(bit, 6)).join(F.broadcast(words), "bit_word")
+    return met.where(F.expr("shiftright(bit_mask, cast(bit_place & 63 AS int)) & 1 = 1")).select(*rows.columns)
+
+
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Connected components of an undirected graph, as (node, root): root is the smallest node of node's component.
 
