@@ -1,22 +1,21 @@
 """Token counts by a compiled finite-state transducer.
 
 A byte-fallback BPE vocabulary (a sentencepiece model with identity normalisation) is compiled to a deterministic
-automaton over classes of code points: its nodes are prefixes of pieces, its failure links make it total, and
-transitions are compiled when a text first needs them. The token that ends at a position is the one piece among
-the suffixes of the node whose pair with the token before it is stable (their joint encoding is just the two); for
-BPE it exists and is unique. So a transition emits the tokens up to the piece's start, plus one, less those up to
-the position before: with registers for the last tokens, as far back as the longest piece, the emitted count is a
-function of the state. The registers are kept beside the node, since as parts of one flat state they make
-tens of thousands of states for each million characters.
-
-Texts of a batch are laid end to end and cut into lanes of equal width. A lane's state map is its head (up
-to the first boundary that no merge crosses) and its body, whose result doesn't depend on the state that comes
-in. All bodies run in lock step; then the states are composed from lane to lane, as in a prefix scan: the head of a
-lane runs from the end state of the lane before it, and lanes without any boundary pass their map on. Memory is
-bounded by a tile of code points.
+transducer over classes of code points. A state is a node of the pieces' trie (failure links make it total) with registers
+for the positions where a piece may have begun: the last token that ends there, and the tokens up to there against
+those up to now. The token that ends at a position is the one piece among the suffixes of the node whose pair with the token before
+it is stable (their joint encoding is just the two); for BPE it exists and is unique. So each transition has the number of tokens that it adds,
+which may be negative where a merge takes tokens back. States and transitions are compiled when a text first needs them and kept in a
+table of bounded size, which starts anew when it is full.
+
+Texts of a tile are laid end to end and cut into chunks of equal width, which run in lock step through the table. What no merge
+crosses (a space after another character, the end of a text, a character outside the vocabulary) resets the state, so a chunk with
+a reset has a constant state map behind it, and its part before the reset runs from the state that the chunk before ends in. Chunks without any
+reset get their state maps over all states that can come in, found by running them from each state that another one ends in until
+none is new; these maps are composed by a parallel prefix scan. Memory is bounded by a tile of code points.
 
 Edge cases: null and empty texts have 0 tokens. Strings of special tokens are ordinary text, as by default in the
-library. A text of any length is counted whole. Other columns are ignored; an empty table gives an empty result.
+library. A text of any length is counted whole, tile by tile. Other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,13 +31,13 @@ from .shared import needed
 
 SPACE = "▁"
 SEP = 0x110000
-LANE, TILE, PAIR_CACHE = 256, 1 << 20, 1 << 21
-#: Transitions of characters below this code point are kept in a table; those of others are looked up.
-DENSE_CODES = 0x180
-#: So many words' state maps, and pairs, are kept; then that memo starts anew.
-MEMO = 400_000
-#: Fixed classes: keeps a state; text boundary; characters outside the vocabulary, of 1 to 4 bytes; the space mark.
-HOLD, BOUND, SPACE_CLASS, FIRST_CLASS = 0, 1, 6, 7
+LANE, TILE = 256, 1 << 20
+#: Slots of the transition table, the most transitions in it, and the most states kept before it starts anew.
+SLOTS, MOST_TRANSITIONS, MOST_STATES = 1 << 21, 1 << 20, 400_000
+#: The most incoming states of chunks without a reset that maps are made for; beyond it they run one after another.
+MOST_INCOMING = 64
+#: Fixed classes: text boundary; characters outside the vocabulary, of 1 to 4 bytes; the space mark.
+BOUND, SPACE_CLASS, FIRST_CLASS = 1, 6, 7
 
 
 class Vocabulary:
@@ -63,29 +62,57 @@ class Vocabulary:
                     self.piece.append(None)
                 at = self.child[at][c]
             self.piece[at] = p
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.split: dict[str, tuple[str, str] | None] = {}
 
     def encode(self, text: str) -> list[str]:
         """The library's merges: of neighbours that join to a piece, the best-ranked and leftmost first."""
-        parts = list(text)
+        return self.merged(text)[0]
+
+    def merged(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
+        """The parts that are left, and the two that the last merge joined."""
+        parts, last = list(text), None
         while True:
             best = min(((r, i) for i in range(len(parts) - 1) if (r := self.rank.get(parts[i] + parts[i + 1])) is not None), default=None)
             if best is None:
-                return parts
-            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+                return parts, last
+            last = parts[best[1]], parts[best[1] + 1]
+            parts[best[1] : best[1] + 2] = [last[0] + last[1]]
 
     def pair(self, a: str | None, b: str) -> bool:
+        """Whether b is a token of its own, and stays one after a: whether no merge joins an end of a with a beginning of b.
+
+        Both are taken apart in the order of their merges, last merge first; what stands at the border at one time must not join to a piece that
+        is better than the merge that comes next on either side.
+        """
+        if self.halves(b) is None and len(b) > 1:
+            return False
         if a is None:
-            return self.encode(b) == [b]
-        if (a, b) not in self.pairs:
-            if len(self.pairs) >= MEMO:
-                self.pairs.clear()
-            self.pairs[a, b] = self.encode(a + b) == [a, b]
-        return self.pairs[a, b]
+            return True
+        rank, limit = self.rank, float("inf")
+        while True:
+            joint = rank.get(a + b)
+            if joint is not None and joint < limit:
+                return False
+            x, y = (rank[a] if len(a) > 1 else -1), (rank[b] if len(b) > 1 else -1)
+            if x > y:
+                limit, a = x, self.halves(a)[1]
+            elif len(b) > 1:
+                limit, b = y + 0.5, self.halves(b)[0]
+            elif len(a) > 1:
+                limit, a = x, self.halves(a)[1]
+            else:
+                return True
+
+    def halves(self, piece: str) -> tuple[str, str] | None:
+        """The two parts that the last merge joins to the piece; None for one character, or where merges lead elsewhere."""
+        if piece not in self.split:
+            parts, last = self.merged(piece)
+            self.split[piece] = last if parts == [piece] else None
+        return self.split[piece]
 
 
 class Transducer:
-    """The compiled automaton over the pieces, with registers for the last tokens, run over many lanes at once."""
+    """The compiled transducer, run over many chunks at once."""
 
     def __init__(self, vocabulary: Vocabulary):
         v = self.v = vocabulary
@@ -97,25 +124,33 @@ class Transducer:
         for c in sorted(c for c in v.rank if len(c) == 1 and c != SPACE):
             self.code_class[ord(c)] = len(self.chars)
             self.chars.append(c)
-        self.dense = sum(c == "" or c == SPACE or ord(c) < DENSE_CODES for c in self.chars)
-        # Tokens by number; 0 is none. Each knows its length, the longest piece that is a proper suffix, and its ends.
+        # Tokens by number; 0 is none. Each knows its length and the longest piece that is a proper suffix.
         self.tokens = ["", *v.rank]
         number = {p: n for n, p in enumerate(self.tokens)}
-        self.length = np.array([len(p) for p in self.tokens], np.int32)
-        self.shorter = np.array([0, *(next((number[p[i:]] for i in range(1, len(p)) if p[i:] in number), 0) for p in self.tokens[1:])], np.int32)
-        self.opens = np.array([p[:1] == SPACE for p in self.tokens])
-        self.spaced = np.array([p[-1:] == SPACE for p in self.tokens])
-        self.longest = int(self.length.max())
-        # Failure links in breadth-first order, and the longest piece that ends in each node.
-        self.fail, ends, queue = [0] * len(v.child), [number.get(p, 0) if p else 0 for p in v.piece], [0]
+        self.shorter = [0, *(next((number[p[i:]] for i in range(1, len(p)) if p[i:] in number), 0) for p in self.tokens[1:])]
+        # Failure links in breadth-first order, the longest piece that ends in each node, and the nodes' depths.
+        self.fail, self.ends, self.depth, queue = [0] * len(v.child), [number.get(p, 0) if p else 0 for p in v.piece], [0] * len(v.child), [0]
         for node in queue:
             for c, to in v.child[node].items():
                 self.fail[to] = self.goto(self.fail[node], c) if node else 0
-                ends[to] = ends[to] or ends[self.fail[to]]
+                self.ends[to] = self.ends[to] or self.ends[self.fail[to]]
+                self.depth[to] = self.depth[node] + 1
                 queue.append(to)
-        self.ends = np.array(ends, np.int32)
-        self.table = np.zeros(len(v.child) * self.dense, np.int32)  # next state + 1; 0: not yet compiled
-        self.keys, self.good = np.full(PAIR_CACHE, -1, np.int64), np.zeros(PAIR_CACHE, bool)
+        # By node: for each position back to its depth, the place of its register before the node was reached; None where no piece can begin.
+        self.before: list[tuple[int | None, ...]] = [()] * len(v.child)
+        for node in queue[1:]:
+            at, begins = node, set()
+            while at:
+                begins.add(self.depth[at])
+                at = self.fail[at]
+            self.before[node] = tuple(k - 1 if k in begins else None for k in range(1, self.depth[node] + 1))
+        self.start_anew()
+
+    def start_anew(self) -> None:
+        self.states = [(0, (0,), (0,))]  # state 0: nothing before that a merge could reach
+        self.number = {self.states[0]: 0}
+        self.table = np.full((SLOTS, 2), -1, np.int64)  # state and class; next state and added tokens (and 128)
+        self.compiled = 0
 
     def goto(self, node: int, c: str) -> int:
         while c not in self.v.child[node]:
@@ -132,109 +167,130 @@ class Transducer:
             found[bad] = BOUND + 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
         return found
 
-    def step(self, state: np.ndarray, cls: np.ndarray) -> np.ndarray:
-        """Next nodes. Transitions are compiled when first needed; those of rare characters are looked up each time."""
-        at = state * self.dense + np.minimum(cls, self.dense - 1)
-        to = self.table[at] - 1
-        rare = cls >= self.dense
-        if rare.any():
-            to[rare] = -1
-        if to.min() < 0:
-            miss = np.flatnonzero(to < 0)
-            keys, back = np.unique(state[miss].astype(np.int64) << 32 | cls[miss], return_inverse=True)
-            found = np.array([self.goto(k >> 32, self.chars[k & 0xFFFFFFFF]) for k in keys.tolist()], np.int32)[back]
-            to[miss] = found
-            keep = ~rare[miss]
-            self.table[at[miss[keep]]] = found[keep] + 1
-        return to
-
-    def stable(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def resets(self, cls: np.ndarray) -> np.ndarray:
+        """Where the state that comes in doesn't matter. What comes before the first place counts as a boundary."""
+        spaces = cls == SPACE_CLASS
+        cut = cls < SPACE_CLASS
+        cut[1:] |= spaces[1:] & ~spaces[:-1]
+        cut[:1] = True
+        return cut
+
+    def stable(self, a: int, b: int) -> bool:
         """Whether token b may follow token a."""
-        a = np.where(self.opens[b] & ~self.spaced[a], 0, a)
-        key = a.astype(np.int64) << 20 | b
-        slot = (key * 0x9E3779B1 >> 12) & (PAIR_CACHE - 1)
-        miss = self.keys[slot] != key
-        good = self.good[slot]
-        if miss.any():
-            keys, back = np.unique(key[miss], return_inverse=True)
-            found = np.array([self.v.pair(self.tokens[k >> 20] or None, self.tokens[k & 0xFFFFF]) for k in keys.tolist()])[back]
-            good[miss] = found
-            self.keys[slot[miss]] = key[miss]
-            # Several keys may share a slot: the last one written stays, with its own value.
-            self.good[slot[miss]] = found
-        return good
-
-    def run(self, lanes: np.ndarray, state: np.ndarray, last: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Runs the columns of lanes in lock step and gives the end states.
-
-        last and count have self.longest rows of registers before the lanes' own: the last token of what precedes a position,
-        and the tokens up to there. Each transition's token count follows from the registers.
-        """
-        n, each = self.longest, np.arange(lanes.shape[1])
-        for k in range(len(lanes)):
-            cls, row = lanes[k], k + n
-            plain = cls >= SPACE_CLASS
-            last[row] = np.where(cls == HOLD, last[row - 1], 0)
-            count[row] = count[row - 1] + np.where(plain, 0, np.maximum(cls - BOUND, 0))
-            if not plain.any():
-                state = np.where(cls == HOLD, state, 0)
-                continue
-            if plain.all():
-                lane, state = each, self.step(state, cls)
-                at = state
-            else:
-                lane = np.flatnonzero(plain)
-                state = np.where(plain | (cls == HOLD), state, 0)
-                at = self.step(state[lane], cls[lane])
-                state[lane] = at
-            token = self.ends[at]
-            while len(lane):
-                start = row - self.length[token]
-                ok = self.stable(last[start, lane], token)
-                done = lane[ok]
-                last[row, done] = token[ok]
-                count[row, done] = count[start[ok], done] + 1
-                if len(done) == len(lane):
-                    break
-                lane, token = lane[~ok], self.shorter[token[~ok]]
-                if not token.all():
-                    raise AssertionError("no token ends here")
+        x, y = self.tokens[a], self.tokens[b]
+        if y[:1] == SPACE and x[-1:] != SPACE:
+            x = ""
+        return self.v.pair(x or None, y)
+
+    def transition(self, state: int, cls: int) -> tuple[int, int]:
+        """The next state and the tokens that it adds."""
+        if cls < SPACE_CLASS:
+            return 0, cls - BOUND
+        node, last, count = self.states[state]
+        if cls == SPACE_CLASS and last[0] and self.tokens[last[0]][-1] != SPACE:
+            node, last, count = self.states[0]
+        node = self.goto(node, self.chars[cls])
+        token = self.ends[node]
+        while not self.stable(last[len(self.tokens[token]) - 1], token):
+            token = self.shorter[token]
+            if not token:
+                raise AssertionError("no token ends here")
+        added = count[len(self.tokens[token]) - 1] + 1
+        key = (node, (token, *(last[k] if k is not None else 0 for k in self.before[node])), (0, *(count[k] - added if k is not None else 0 for k in self.before[node])))
+        if key not in self.number:
+            self.number[key] = len(self.states)
+            self.states.append(key)
+        return self.number[key], added
+
+    def step(self, state: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states and added tokens by the table; transitions that aren't in it yet are compiled."""
+        key = state.astype(np.int64) << 20 | cls
+        slot = (key * 0x9E3779B97F4A7C1 >> 18) & (SLOTS - 1)
+        held = self.table[slot]
+        odd = np.flatnonzero(held[:, 0] != key)
+        while len(odd):
+            free = odd[held[odd, 0] == -1]
+            if len(free):
+                keys, first = np.unique(key[free], return_index=True)
+                for k, place in zip(keys.tolist(), slot[free[first]].tolist()):
+                    self.compile(k, place)
+                held[free] = self.table[slot[free]]
+            odd = odd[held[odd, 0] != key[odd]]
+            slot[odd] = (slot[odd] + 1) & (SLOTS - 1)
+            held[odd] = self.table[slot[odd]]
+        value = held[:, 1]
+        return (value >> 8).astype(np.int32), ((value & 255) - 128).astype(np.int8)
+
+    def compile(self, key: int, place: int) -> None:
+        while self.table[place, 0] != -1:
+            if self.table[place, 0] == key:
+                return
+            place = (place + 1) & (SLOTS - 1)
+        to, added = self.transition(key >> 20, key & 0xFFFFF)
+        self.table[place] = key, to << 8 | (added + 128)
+        self.compiled += 1
+
+    def run(self, rows: np.ndarray, state: np.ndarray, adds: np.ndarray, lanes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Runs chunks from their begin to their end row in lock step, writes what they add, and gives the states they end in."""
+        state = state.copy()
+        if not len(lanes):
+            return state
+        for k in range(int(begin.min()), int(end.max())):
+            on = (begin <= k) & (k < end)
+            if on.all():
+                state, adds[k, lanes] = self.step(state, rows[k, lanes])
+            elif on.any():
+                at = np.flatnonzero(on)
+                state[at], adds[k, lanes[at]] = self.step(state[at], rows[k, lanes[at]])
         return state
 
+    def incoming(self, rows: np.ndarray, first: int, last: int, state: int) -> np.ndarray:
+        """States that come into chunks first..last, none of which has a reset, when `state` comes into the first: their maps, composed by a prefix scan."""
+        n, width = last - first, len(rows)
+        scratch = np.zeros(rows.shape, np.int8)
+        domain, outs = [state], []
+        while len(outs) < len(domain) <= MOST_INCOMING:
+            new = domain[len(outs) :]
+            lanes = np.repeat(np.arange(first, last), len(new))
+            out = self.run(rows, np.tile(np.array(new, np.int32), n), scratch, lanes, np.zeros(len(lanes), np.int64), np.full(len(lanes), width)).reshape(n, len(new))
+            outs += list(out.T)
+            domain += [x for x in np.unique(out).tolist() if x not in domain]
+        if len(domain) > MOST_INCOMING:
+            found = [state]
+            for lane in range(first, last - 1):
+                found.append(int(self.run(rows, np.array(found[-1:], np.int32), scratch, np.array([lane]), np.zeros(1, np.int64), np.full(1, width))[0]))
+            return np.array(found, np.int32)
+        order = np.argsort(domain)
+        maps = order[np.searchsorted(np.array(domain)[order], np.stack(outs, axis=1))]  # (chunks, states): the place of the state that comes out
+        shift = 1
+        while shift < n:  # after each round, a chunk's map is that of the 2 * shift chunks up to it
+            maps = np.concatenate([maps[:shift], np.take_along_axis(maps[shift:], maps[:-shift], axis=1)])
+            shift *= 2
+        return np.array(domain, np.int32)[np.concatenate([[0], maps[:-1, 0]])]
+
     def added(self, codes: np.ndarray) -> np.ndarray:
         """Tokens that each position of the text adds; what comes before the text counts as a boundary."""
+        if self.compiled > MOST_TRANSITIONS or len(self.states) > MOST_STATES:
+            self.start_anew()
         cls = self.classes(codes)
-        n, reach = len(cls), self.longest
+        n = len(cls)
         width = min(LANE, n)
         cls = np.concatenate([cls, np.full(-n % width, BOUND, np.int32)])
-        sp = cls == SPACE_CLASS
-        cut = (cls > HOLD) & (cls < SPACE_CLASS)
-        cut[1:] |= sp[1:] & ~sp[:-1]
-        cut[0] = True
-        cut, lanes = cut.reshape(-1, width), cls.reshape(-1, width)
-        m = len(lanes)
+        cut = self.resets(cls).reshape(-1, width)
+        m = len(cut)
+        rows = np.ascontiguousarray(cls.reshape(m, width).T)
         has = cut.any(1)
         first = np.where(has, cut.argmax(1), width)
-        before = np.arange(width) < first[:, None]
-        last, count = np.zeros((width + reach, m), np.int32), np.zeros((width + reach, m), np.int32)
-        ends = self.run(np.ascontiguousarray(np.where(before, HOLD, lanes).T), np.zeros(m, np.int32), last, count)
-        adds = np.diff(count[reach - 1 :], axis=0)
-        # The registers and states that lanes end with; those of lanes without a boundary are not known yet.
-        out_last, out_count = last[-reach:].copy(), count[-reach:] - count[-1]
-        heads = np.ascontiguousarray(np.where(before, lanes, HOLD).T)
-        known, todo = has.copy(), first > 0
-        while todo.any():
-            at = np.flatnonzero(todo & np.concatenate([[False], known[:-1]]))
-            depth = int(first[at].max())
-            h_last, h_count = np.zeros((depth + reach, len(at)), np.int32), np.zeros((depth + reach, len(at)), np.int32)
-            h_last[:reach], h_count[:reach] = out_last[:, at - 1], out_count[:, at - 1]
-            state = self.run(heads[:depth, at], ends[at - 1], h_last, h_count)
-            adds[:depth, at] += np.diff(h_count[reach - 1 :], axis=0)
-            whole = ~has[at]
-            if whole.any():
-                ends[at[whole]] = state[whole]
-                out_last[:, at[whole]], out_count[:, at[whole]] = h_last[-reach:, whole], h_count[-reach:, whole] - h_count[-1, whole]
-            known[at], todo[at] = True, False
+        adds = np.zeros((width, m), np.int8)
+        with_reset, without = np.flatnonzero(has), np.flatnonzero(~has)
+        ends, begins = np.zeros(m, np.int32), np.zeros(m, np.int32)
+        ends[with_reset] = self.run(rows, np.zeros(len(with_reset), np.int32), adds, with_reset, first[with_reset], np.full(len(with_reset), width))
+        for part in np.split(without, np.flatnonzero(np.diff(without) > 1) + 1) if len(without) else []:
+            at, end = int(part[0]), int(part[-1]) + 1
+            begins[at:end] = self.incoming(rows, at, end, int(ends[at - 1]))
+            ends[at:end] = self.run(rows, begins[at:end], adds, part, np.zeros(len(part), np.int64), np.full(len(part), width))
+        heads = np.flatnonzero(has & (first > 0))
+        self.run(rows, ends[heads - 1], adds, heads, np.zeros(len(heads), np.int64), first[heads])
         return adds.T.reshape(-1)[:n]
 
 
@@ -254,47 +310,12 @@ class Counter:
 
     def __init__(self, model_file: str):
         self.t = Transducer(Vocabulary(model_file))
-        self.memo: dict[str, int] = {}
 
     def tile(self, codes: np.ndarray) -> np.ndarray:
         return self.t.added(codes)
 
     def counts(self, texts: list[str]) -> list[int]:
-        """Tokens of each text. No merge crosses a single space, so the state map of a word, whatever stands before
-        it, is a constant: it is kept, and only words that are not known yet go through the lanes."""
-        out = [0] * len(texts)
-        lot: list[tuple[int, list[str]]] = []
-        odd: list[int] = []
-        size = 0
-
-        def settle() -> None:
-            nonlocal lot, size
-            new = list({w for _, words in lot for w in words if w not in self.memo})
-            if len(self.memo) + len(new) > MEMO:
-                self.memo.clear()
-                new = list({w for _, words in lot for w in words})
-            self.memo.update(zip(new, self.scanned(new)))
-            for i, words in lot:
-                out[i] = sum(map(self.memo.__getitem__, words))
-            lot, size = [], 0
-
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if SPACE in text or "  " in text or text[0] == " " or text[-1] == " ":
-                odd.append(i)
-                continue
-            lot.append((i, text.split(" ")))
-            size += len(text)
-            if size >= TILE:
-                settle()
-        settle()
-        for i, n in zip(odd, self.scanned([texts[i] for i in odd])):
-            out[i] = n
-        return out
-
-    def scanned(self, texts: list[str]) -> list[int]:
-        """Tokens of each text, by the lanes."""
+        """Tokens of each text."""
         out: list[int] = []
         lot: list[str] = []
         size = 0
@@ -356,10 +377,10 @@ def token_counts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
         c = counter(model_file)
         for batch in batches:
             text = batch.column(1)
-            for at in range(0, len(text), 512):
-                part = text.slice(at, 512)
+            for at in range(0, len(text), 2048):
+                part = text.slice(at, 2048)
                 n = c.counts(part.to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 512), pa.compute.binary_length(part.cast(pa.binary())).cast(pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 2048), pa.compute.binary_length(part.cast(pa.binary())).cast(pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     import pyarrow.compute  # noqa: F401
 
