@@ -90,3 +90,25 @@ def tier(importance: Column) -> Column:
 
 def keep_class(importance: Column) -> Column:
     return F.when(importance > 0.5, "warm").when(importance >= 0.3, "cold").otherwise("discard")
+
+
+def recall(hits: Column, relevant: Column, results: Column) -> Column:
+    """Share of the relevant rows found; without any, 1 if nothing was found, else 0."""
+    return F.when(relevant == 0, F.when(results == 0, 1.0).otherwise(0.0)).otherwise(hits / F.nullif(relevant, F.lit(0)))
+
+
+def explored(weights: Column, share: float = 0.1, most: float = 0.05, low: float = 0.05, high: float = 0.5, seed: int = 11) -> Column:
+    """An array of weights, some of them (by the share) moved a little at random, clamped and normalised."""
+    draw, moves = F.rand(seed), [F.rand(seed + 1 + n) for n in range(4)]
+    moved = F.array(*(F.greatest(F.lit(low), F.least(F.lit(high), weights[n] + (m * 2 - 1) * most)) for n, m in enumerate(moves)))
+    total = F.aggregate(moved, F.lit(0.0), lambda a, b: a + b)
+    return F.when(draw < share, F.transform(F.transform(F.arrays_zip(moved.alias("m"), F.array_repeat(total, 4).alias("t")), lambda x: x["m"] / x["t"]), lambda v: v)).otherwise(weights)
+
+
+def hop_score(hop: Column) -> Column:
+    """What a review gives answers over so many hops."""
+    return F.when(hop == 1, 0.85).otherwise(F.greatest(F.lit(0.0), 1 - (hop - 1) * 0.15))
+
+
+def hop_target(hop: Column) -> Column:
+    return F.when(hop == 1, 0.9).when(hop == 2, 0.75).otherwise(0.6)

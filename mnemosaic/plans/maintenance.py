@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mnemosaic.functions import scoring
-from mnemosaic.operators import windows
+from mnemosaic.operators import profiles, windows
 
 from .registry import query
 from .views import MEM, NOW, memories, table
@@ -89,12 +89,19 @@ def a20(spark, d):
     return s.selectExpr("learner", "clicks", "round(avg_rank, 6) as avg_rank", "top1", "top3", "top5", "round(v / (v + b + 0.4D), 6) as vector_weight", "round(b / (v + b + 0.4D), 6) as bm25_weight")
 
 
-@query("a22_click_weights", None)
+_SCORES = "[(event_id % 100) / 100.0, (event_id % 37) / 37.0, (event_id % 11) / 11.0, (event_id % 5) / 5.0]::DOUBLE[]"
+
+
+@query("a22_click_weights", f"""WITH RECURSIVE c AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, {_SCORES} AS x FROM events WHERE event_type = 'click'),
+p AS (SELECT user_id, n, CASE WHEN list_sum(x) = 0 THEN NULL ELSE list_transform(x, lambda v: v / list_sum(x)) END AS x FROM c), f AS (SELECT user_id, 0::BIGINT AS n, [0.40, 0.25, 0.20, 0.15]::DOUBLE[] AS w FROM (SELECT DISTINCT user_id FROM c)
+UNION ALL SELECT user_id, n, CASE WHEN x IS NULL THEN w ELSE list_transform(m, lambda v: v / list_sum(m)) END FROM (SELECT p.user_id, p.n, p.x, f.w, list_transform([1, 2, 3, 4], lambda i: greatest(0.05, least(0.8, f.w[i] + (p.x[i] - f.w[i]) * 0.1))::DOUBLE) AS m FROM f JOIN p ON p.user_id = f.user_id AND p.n = f.n + 1))
+SELECT user_id, round(w[1], 6) AS vector, round(w[2], 6) AS bm25, round(w[3], 6) AS importance, round(w[4], 6) AS kg FROM (SELECT user_id, arg_max(w, n) AS w FROM f GROUP BY user_id)""")
 def a22(spark, d):
-    """Order-dependent fold over each user's clicks: weight += .1 (contribution - weight), clamped to [.05, .8], normalised at the end."""
-    clicks = table(spark, d, "events").where("event_type = 'click'").selectExpr("user_id", "struct(ts, event_id, (event_id % 100) / 100D AS contribution) AS click")
-    fold = F.aggregate(F.array_sort(F.collect_list("click")), F.lit(0.25), lambda w, c: F.greatest(F.lit(0.05), F.least(F.lit(0.8), w + (c["contribution"] - w) * 0.1)))
-    return clicks.groupBy("user_id").agg(F.round(fold / (fold + 0.75), 6).alias("vector_weight"))
+    """Weights of four channels after each user's clicks, in their order: a tenth towards each click's shares, clamped to [.05, .8], normalised."""
+    scores = F.expr("array((event_id % 100) / 100D, (event_id % 37) / 37D, (event_id % 11) / 11D, (event_id % 5) / 5D)")
+    clicks = table(spark, d, "events").where("event_type = 'click'").select("user_id", "ts", "event_id", scores.alias("scores"))
+    w = windows.click_weights(clicks, "user_id", "ts", "event_id", "scores")
+    return w.select("user_id", *(F.round(F.col("weights")[n], 6).alias(c) for n, c in enumerate(("vector", "bm25", "importance", "kg"))))
 
 
 @query("a23_w11_performance", "SELECT event_type AS operation, count(*) AS n, round(sum(value), 4) AS total, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean, round(count(*) FILTER (value < 100) / count(*)::DOUBLE, 6) AS success_rate FROM events GROUP BY event_type")
@@ -103,21 +110,50 @@ def a23(spark, d):
     return table(spark, d, "events").groupBy(F.col("event_type").alias("operation")).agg(F.count("*").alias("n"), F.round(F.sum(v), 4).alias("total"), F.min(v).alias("low"), F.max(v).alias("high"), F.round(F.avg(v), 6).alias("mean"), F.round(F.count_if(v < 100) / F.count("*"), 6).alias("success_rate"))
 
 
+@query("a17_unify_report", f"""WITH {MEM}, s AS (SELECT sha256(lower(trim(content))) AS hash, 'memory' AS origin FROM mem UNION ALL SELECT sha256(lower(trim(text))), 'session' FROM conversations UNION ALL SELECT sha256(lower(trim(html))), 'page' FROM pages),
+h AS (SELECT hash, count(*) AS n, list(DISTINCT origin) AS origins FROM s GROUP BY hash), t AS (SELECT sum(n)::BIGINT AS total, count(*) AS uniq FROM h) SELECT origin, count(*) AS unique_rows, any_value(total) AS total, any_value(uniq) AS unique_total, round((1 - any_value(uniq)::DOUBLE / any_value(total)) * 100, 4)::DOUBLE AS duplicate_rate FROM (SELECT unnest(origins) AS origin FROM h), t GROUP BY origin""")
+def a17(spark, d):
+    """All sources together: how many rows, how many are unique, and how many of those each source has."""
+    norm = lambda df, c, name: df.select(F.sha2(F.lower(F.trim(c)), 256).alias("hash"), F.lit(name).alias("origin"))
+    s = norm(memories(spark, d), "content", "memory").unionByName(norm(table(spark, d, "conversations"), "text", "session")).unionByName(norm(table(spark, d, "pages"), "html", "page"))
+    h = s.groupBy("hash").agg(F.count("*").alias("n"), F.collect_set("origin").alias("origins"))
+    t = h.agg(F.sum("n").alias("total"), F.count("*").alias("unique_total"))
+    by = h.select(F.explode("origins").alias("origin")).groupBy("origin").agg(F.count("*").alias("unique_rows"))
+    return by.crossJoin(F.broadcast(t)).withColumn("duplicate_rate", F.round((1 - F.col("unique_total") / F.col("total")) * 100, 4))
+
+
+STATES = [(0, 0, 0, 0, 0, 0, 0.0), (100, 0, 0, 10, 20, 30, 0.05), (100, 5, 0, 40, 2, 30, 0.15), (100, 0, 7, 30, 2, 60, 0.3), (10, 0, 0, 3, 0, 0, 0.0)]
+
+
+@query("a7_suggestions", "SELECT * FROM (VALUES (0, ['empty']), (1, ['healthy']), (2, ['stale', 'low', 'few_preferences', 'decaying']), (3, ['orphaned', 'few_preferences', 'mostly_facts', 'forgetting']), (4, ['healthy'])) AS t(n, advice)")
+def a7(spark, d):
+    """Six rules over the figures of a store; the expected rows are written by hand."""
+    rows = spark.createDataFrame([(n, *r) for n, r in enumerate(STATES)], "n int, total int, stale int, orphaned int, low int, preferences int, facts int, forget_ratio double")
+    return rows.select("n", profiles.suggestions().alias("advice"))
+
+
 @query("a24_a25_totals", "SELECT user_id % 5 AS kind, count(*) AS n, sum(length(props)) AS bytes, max(ts) AS last_ts FROM events GROUP BY 1")
 def a24(spark, d):
     return table(spark, d, "events").groupBy((F.col("user_id") % 5).alias("kind")).agg(F.count("*").alias("n"), F.sum(F.length("props")).alias("bytes"), F.max("ts").alias("last_ts"))
 
 
-@query("a28_profile", "SELECT conv_id, list_slice(list_sort(list(DISTINCT substr(text, strpos(text, 'the'), 50))), 1, 20) AS snippets FROM conversations WHERE contains(text, 'the') AND role = 'user' GROUP BY conv_id")
+SAID = [("u1", "fact", "用户喜欢川菜，也擅长编程"), ("u1", "fact", "用户住在杭州,在公司工作"), ("u1", "preference", "用户觉得咖啡比茶好"), ("u1", "preference", "喜欢红色"), ("u2", "fact", "懂一点法语"), ("u2", "task_state", "喜欢"), ("u2", "fact", "")]
+
+
+@query("a28_x17_profile", """SELECT * FROM (VALUES ('u1', ['喜欢川菜，也擅长编程'], ['觉得咖啡比茶好'], ['擅长编程'], ['住在杭州,在公司工作', '在杭州,在公司工作'], ''), ('u2', [], [], ['懂一点法语'], [], NULL)) AS t(user_id, interests, preferences, skills, locations, work)""")
 def a28(spark, d):
-    c = table(spark, d, "conversations").where(F.col("text").contains("the") & (F.col("role") == "user"))
-    return c.groupBy("conv_id").agg(F.slice(F.array_sort(F.collect_set(F.expr("substr(text, instr(text, 'the'), 50)"))), 1, 20).alias("snippets"))
+    """A profile out of memories: what follows the words of each category; the expected rows are written by hand."""
+    rows = spark.createDataFrame(SAID, "user_id string, type string, content string")
+    return profiles.profile(rows).select("user_id", "interests", "preferences", "skills", "locations", "work")
 
 
-@query("a29_preference_timeline", "SELECT o_custkey, count(*) AS n, list(o_orderkey ORDER BY o_orderdate DESC, o_orderkey) AS timeline FROM orders GROUP BY o_custkey")
+@query("a29_preference_timeline", "WITH v AS (SELECT o_custkey, o_orderkey, o_orderdate, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS until FROM orders) SELECT o_custkey, count(*) AS n, count(*) FILTER (until IS NULL OR until > TIMESTAMP '2001-01-01') AS n_current, list(o_orderkey ORDER BY o_orderdate DESC, o_orderkey) AS timeline FROM v GROUP BY o_custkey")
 def a29(spark, d):
-    rows = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct((-F.unix_micros(F.col("o_orderdate").cast("timestamp"))).alias("t"), "o_orderkey"))).alias("x"))
-    return rows.select("o_custkey", "n", F.transform("x", lambda v: v["o_orderkey"]).alias("timeline"))
+    """Each key's versions, newest first, and how many still hold."""
+    v = windows.version_chain(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], "o_orderdate", "o_orderkey")
+    holds = F.col("valid_until").isNull() | (F.col("valid_until") > F.expr("TIMESTAMP_NTZ '2001-01-01 00:00:00'"))
+    rows = v.groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_if(holds).alias("n_current"), F.array_sort(F.collect_list(F.struct((-F.unix_micros(F.col("o_orderdate").cast("timestamp"))).alias("t"), "o_orderkey"))).alias("x"))
+    return rows.select("o_custkey", "n", "n_current", F.transform("x", lambda v: v["o_orderkey"]).alias("timeline"))
 
 
 @query("a32_a33_review", "WITH s AS (SELECT lang, avg(quality) AS quality, 1 - avg(toxic) AS safety, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY lang) SELECT lang, n, round((quality + safety + 1.0) / 3, 6) AS score FROM s")
@@ -132,10 +168,17 @@ def w1(spark, d):
     return windows.repeats_before(e, "k", "ts").select("event_id", "repeats")
 
 
-@query("w3_w4_last_rows", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 4) AS last10, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING) AS prior100, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 7) AS running_avg, max(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running_max FROM events")
+@query("w3_w4_last_rows", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 4) AS last10, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING) AS prior100 FROM events")
 def w3(spark, d):
-    u, t = Window.partitionBy("user_id").orderBy("ts", "event_id"), Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "events").select("event_id", F.round(F.sum("value").over(u.rowsBetween(-9, 0)), 4).alias("last10"), F.count("*").over(u.rowsBetween(-100, -1)).alias("prior100"), F.round(F.avg("value").over(t), 7).alias("running_avg"), F.max("value").over(t).alias("running_max"))
+    u = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return table(spark, d, "events").select("event_id", F.round(F.sum("value").over(u.rowsBetween(-9, 0)), 4).alias("last10"), F.count("*").over(u.rowsBetween(-100, -1)).alias("prior100"))
+
+
+@query("w11_running_stats", "SELECT event_id, count(*) OVER w AS running_n, min(value) OVER w AS running_min, max(value) OVER w AS running_max, round(avg(value) OVER w, 6) AS running_avg FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+def w11(spark, d):
+    """Smallest, largest and mean duration of an operation up to each row."""
+    rows = windows.running_stats(table(spark, d, "events").select("event_id", "event_type", "ts", "value"), "event_type", "ts", "event_id", "value")
+    return rows.select("event_id", "running_n", "running_min", "running_max", F.round("running_avg", 6).alias("running_avg"))
 
 
 @query("w5_w8_newest", "SELECT user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 3")

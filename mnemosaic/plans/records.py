@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mnemosaic.functions import scoring
+from mnemosaic.functions import files, scoring
 from mnemosaic.operators import windows
 from mnemosaic.sources import io
 from mnemosaic.sources.transactions import SnapshotTable
 
 from .registry import query
-from .views import MEM, NOW, memories, table
+from .views import MEM, NOW, literals, memories, table
 
 CHAIN = "v AS (SELECT o_orderkey AS id, o_custkey AS key, o_orderdate AS valid_from, row_number() OVER w AS version, lag(o_orderkey) OVER w AS supersedes, lead(o_orderkey) OVER w AS superseded_by, lead(o_orderdate) OVER w AS valid_until FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))"
 
@@ -108,10 +108,93 @@ def s18(spark, d):
     return memories(spark, d).where("scope_id <> 's4'").select("id", F.when(F.col("scope_id") == "s2", "[removed]").otherwise(F.col("content")).alias("content"), "scope")
 
 
-@query("s19_attachments", "SELECT CASE WHEN regexp_matches(url, '\\.html') THEN 'html' ELSE 'other' END AS file_type, count(*) AS n, sum(strlen(html)) AS bytes FROM pages GROUP BY 1")
+_EXT = "lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1))"
+_KIND = f"CASE WHEN {_EXT} IN ('png','jpg','jpeg','gif','webp','bmp') THEN 'image' WHEN {_EXT} IN ('pdf','doc','docx','txt','md') THEN 'document' WHEN {_EXT} IN ('py','js','ts','java','cpp','go','rs','sh','yaml','json') THEN 'code' END"
+
+
+@query("s19_a25_attachments", f"WITH f AS (SELECT page_id, regexp_replace(url, '.*/', '') || CASE page_id % 4 WHEN 0 THEN '.PDF' WHEN 1 THEN '.py' WHEN 2 THEN '.exe' ELSE '.png' END AS url, strlen(html) * CASE WHEN page_id % 7 = 0 THEN 3000 ELSE 1 END AS size FROM pages), k AS (SELECT {_KIND} AS file_type, size FROM f) SELECT coalesce(file_type, 'other') AS file_type, count(*) AS n, count(*) FILTER (file_type IS NULL OR size > CASE file_type WHEN 'image' THEN 20 WHEN 'document' THEN 50 ELSE 5 END * 1048576) AS refused, sum(size)::BIGINT AS bytes FROM k GROUP BY 1")
 def s19(spark, d):
-    kind = F.when(F.col("url").rlike(r"\.html"), "html").otherwise("other")
-    return table(spark, d, "pages").groupBy(kind.alias("file_type")).agg(F.count("*").alias("n"), F.sum(F.octet_length("html")).alias("bytes"))
+    """Files by type, with those that aren't taken."""
+    ending = F.element_at(F.array(*map(F.lit, (".PDF", ".py", ".exe", ".png"))), (F.col("page_id") % 4 + 1).cast("int"))
+    files = table(spark, d, "pages").select(F.concat(F.regexp_replace("url", ".*/", ""), ending).alias("filename"), (F.octet_length("html") * F.when(F.col("page_id") % 7 == 0, 3000).otherwise(1)).cast("long").alias("size_bytes"))
+    rows = io.attached(files)
+    return rows.groupBy(F.coalesce("file_type", F.lit("other")).alias("file_type")).agg(F.count("*").alias("n"), F.count_if(F.col("refused").isNotNull()).alias("refused"), F.sum("size_bytes").alias("bytes"))
+
+
+NAMES = [("Report.PDF", 512), ("a.tar.gz", 1280), ("photo.jpeg", 1048576), ("noext", 1024), ("x.py", 6 * 1024 * 1024), ("v.mp4", 5 * 1024**4), ("m.unknown", 1023)]
+
+
+@query("x21_file_facts", "SELECT * FROM (VALUES ('Report.PDF', 'document', 'application/pdf', '512.0B', NULL), ('a.tar.gz', 'archive', 'application/gzip', '1.2KB', NULL), ('photo.jpeg', 'image', 'image/jpeg', '1.0MB', NULL), ('noext', NULL, 'application/octet-stream', '1.0KB', 'type'), ('x.py', 'code', 'text/x-python', '6.0MB', 'size'), ('v.mp4', 'video', 'video/mp4', '5.0TB', 'size'), ('m.unknown', NULL, 'application/octet-stream', '1023.0B', 'type')) AS t(filename, file_type, mime_type, size_text, refused)")
+def x21(spark, d):
+    """The expected rows are written by hand."""
+    return io.attached(spark.createDataFrame(NAMES, "filename string, size_bytes long")).select("filename", "file_type", "mime_type", "size_text", "refused")
+
+
+@query("x20_uuids", "SELECT event_id, regexp_full_match(CASE WHEN event_id % 3 = 0 THEN substr(md5(event_id::VARCHAR), 1, 8) || '-' || substr(md5(event_id::VARCHAR), 9, 4) || '-' || substr(md5(event_id::VARCHAR), 13, 4) || '-' || substr(md5(event_id::VARCHAR), 17, 4) || '-' || upper(substr(md5(event_id::VARCHAR), 21, 12)) ELSE md5(event_id::VARCHAR) || '-' END, '(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}') AS ok FROM events")
+def x20(spark, d):
+    m = F.md5(F.col("event_id").cast("string"))
+    made = F.concat_ws("-", F.substring(m, 1, 8), F.substring(m, 9, 4), F.substring(m, 13, 4), F.substring(m, 17, 4), F.upper(F.substring(m, 21, 12)))
+    return table(spark, d, "events").select("event_id", files.is_uuid(F.when(F.col("event_id") % 3 == 0, made).otherwise(F.concat(m, F.lit("-")))).alias("ok"))
+
+
+ERRORS = ["Connection refused", "ollama is down", "LanceDB: no table", "database locked", "read timeout", "division by zero", "Connection timeout"]
+
+
+@query("x22_error_classes", "SELECT * FROM (VALUES ('Connection refused', 'not_connected'), ('ollama is down', 'not_connected'), ('LanceDB: no table', 'not_initialized'), ('database locked', 'not_initialized'), ('read timeout', 'search_failed'), ('division by zero', 'unknown'), ('Connection timeout', 'not_connected')) AS t(q, class)")
+def x22(spark, d):
+    return literals(spark, ERRORS).select("q", files.error_class(F.col("q")).alias("class"))
+
+
+@query("s21_sessions", "SELECT * FROM (VALUES ('a.md', 'write', 'k: v', '- [ ] one\n- [ ] two', '[None yet]', 'tea', 'fact one'), ('b.md', '[None]', '[None yet]', '- [ ] None', 'spark', '[None yet]', '[None yet]')) AS t(path, current_task, key_context, pending_actions, recent_decisions, user_preferences, important_facts)".replace("\\n", "' || chr(10) || '"))
+def s21(spark, d):
+    """Session files written and read again; the expected rows are written by hand."""
+    rows = [("a.md", "write", "k: v", "- [ ] one\n- [ ] two", None, "tea", "fact one"), ("b.md", None, None, None, "spark", None, None)]
+    made = io.session_text(spark.createDataFrame(rows, "path string, current_task string, key_context string, pending_actions string, recent_decisions string, user_preferences string, important_facts string"))
+    return io.parsed_sessions(made)
+
+
+@query("s8_side_files", f"WITH {MEM} SELECT id::VARCHAR AS id, importance AS initial_importance, importance / 2 AS current_importance, type AS memory_type, access_count FROM mem")
+def s8(spark, d):
+    """States of decay in their side file, written and read."""
+    path = io.staging(spark, "side")
+    io.write_side_file(memories(spark, d).selectExpr("id", "importance AS initial_importance", "importance / 2 AS current_importance", "type AS memory_type", "access_count"), "decay_states", path)
+    return io.read_side_file(spark, "decay_states", path).select("id", "initial_importance", "current_importance", "memory_type", "access_count")
+
+
+@query("s9_audit_tail", "SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') || '/' || event_id AS timestamp, event_type AS operation, 'add' AS action, (event_id % 100)::INT AS record_count FROM events ORDER BY 1 DESC LIMIT 20")
+def s9(spark, d):
+    """A log that is added to twice, and its last twenty rows."""
+    path = io.staging(spark, "audit")
+    e = table(spark, d, "events").select(F.concat_ws("/", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.col("event_id").cast("string")).alias("timestamp"), F.col("event_type").alias("operation"), F.lit("add").alias("action"), (F.col("event_id") % 100).cast("int").alias("record_count"), "event_id")
+    for part in (0, 1):
+        io.append_lines(e.where(F.col("event_id") % 2 == part).drop("event_id"), path)
+    return io.tail(io.audit_log(spark, path), 20)
+
+
+@query("s18_export_delete", f"WITH {MEM} SELECT id, type, CASE WHEN scope_id = 's2' THEN '[removed]' ELSE substr(content, 1, 30) END AS content, CASE WHEN scope_id = 's2' THEN '[removed]' ELSE lang END AS summary, CASE WHEN scope_id <> 's2' THEN source END AS transcript FROM mem WHERE scope_id <> 's4' AND id <> 12")
+def s18_more(spark, d):
+    """What a person may ask for: rows of s4 deleted, one memory deleted, those of s2 made anonymous, and the rest given out."""
+    m = memories(spark, d).withColumns({"summary": F.col("lang"), "transcript": F.col("source")}).where("scope_id <> 's4' AND id <> 12")
+    return io.anonymized(m, F.col("scope_id") == "s2").select("id", "type", F.when(F.col("scope_id") == "s2", F.col("content")).otherwise(F.substring("content", 1, 30)).alias("content"), "summary", "transcript")
+
+
+@query("s4_checked_lookup", "SELECT '0b7a3c10-1111-4222-8333-944445555666' AS id, true AS found")
+def s4_checked(spark, d):
+    """Lookups by id: what isn't a UUID finds nothing, whatever it says."""
+    rows = spark.createDataFrame([("0b7a3c10-1111-4222-8333-944445555666",), ("x' OR 1=1",), ("0b7a3c10",)], "id string")
+    asked = spark.createDataFrame([("0b7a3c10-1111-4222-8333-944445555666",), ("x' OR 1=1",)], "id string")
+    return rows.join(asked.where(files.is_uuid(F.col("id"))), "id").select("id", F.lit(True).alias("found"))
+
+
+@query("j20_m19_recall", f"WITH {MEM}, r AS (SELECT lang, id, row_number() OVER (PARTITION BY lang ORDER BY importance DESC, id) AS rank FROM mem), g AS (SELECT doc_id AS id FROM labels WHERE quality = 1), x AS (SELECT lang, count(*) FILTER (g.id IS NOT NULL) AS relevant, count(*) AS results, count(*) FILTER (g.id IS NOT NULL AND rank <= 10) AS hits FROM r LEFT JOIN g ON g.id = r.id GROUP BY lang UNION ALL VALUES ('none', 0, 5, 0), ('nothing', 0, 0, 0)) SELECT lang, round(CASE WHEN relevant = 0 THEN CASE WHEN results = 0 THEN 1.0 ELSE 0.0 END ELSE hits::DOUBLE / relevant END, 6)::DOUBLE AS recall10 FROM x")
+def j20_recall(spark, d):
+    """Recall in the first ten; without relevant rows it is 1 if nothing was found, else 0."""
+    best = windows.newest(memories(spark, d).select("lang", "id", "importance"), ["lang"], [F.desc("importance"), F.col("id")], 10).select("id", F.lit(True).alias("first"))
+    good = table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("id"), F.lit(True).alias("good"))
+    m = memories(spark, d).select("lang", "id").join(good, "id", "left").join(best, "id", "left")
+    x = m.groupBy("lang").agg(F.count_if("good").alias("relevant"), F.count("*").alias("results"), F.count_if(F.col("good") & F.col("first")).alias("hits"))
+    x = x.unionByName(spark.createDataFrame([("none", 0, 5, 0), ("nothing", 0, 0, 0)], "lang string, relevant long, results long, hits long"))
+    return x.select("lang", F.round(scoring.recall(F.col("hits"), F.col("relevant"), F.col("results")), 6).alias("recall10"))
 
 
 @query("j12_f25_decay_state", f"WITH {MEM}, s AS (SELECT id, max(importance) * 0.5 AS current FROM mem WHERE id % 3 = 0 GROUP BY id) SELECT m.id, coalesce(s.current, m.importance) AS current, coalesce(s.current, m.importance) < 0.2 AS cold FROM mem m LEFT JOIN s ON m.id = s.id")

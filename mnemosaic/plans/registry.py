@@ -21,4 +21,4 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from . import graphs, language, lifecycle, maintenance, records, retrieval, rules, streams  # noqa: E402, F401
+from . import graphs, language, lifecycle, maintenance, records, retrieval, reviews, rules, streams  # noqa: E402, F401

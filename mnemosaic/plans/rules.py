@@ -244,15 +244,10 @@ def m10(spark, d):
     return spark.range(0, 91).select(F.col("id").cast("int").alias("day"), F.round(F.exp(-F.pow(t / 30, F.lit(0.5))), 6).alias("a"), F.round(F.greatest(0.5 * F.exp(-F.pow(t / 30, F.lit(1.5))), F.lit(0.15)), 6).alias("b"))
 
 
-@query("m13_hash_embedding", None)
-def m13(spark, d):
-    return memories(spark, d).select("id", scoring.hash_embedding(F.col("content")).alias("vector"))
-
-
-@query("m14_m17_formulas", """WITH {0} SELECT id, round(60 / (5 * importance + 0.5), 6) AS effective_k, abs(length(content) - access_count * 100)::DOUBLE / greatest(length(content), 1) >= 0.30 AS new_node,
+@query("m14_m17_formulas", """WITH {0} SELECT id, round(60 / (5 * importance + 0.5), 6) AS effective_k, abs(length(content) - access_count * 100)::DOUBLE / greatest(length(content), access_count * 100, 1) >= 0.30 AS new_node,
 CASE WHEN age <= 1 THEN 1.0 WHEN age <= 7 THEN 0.9 WHEN age <= 30 THEN 0.5 WHEN age <= 90 THEN 0.3 ELSE 0.1 END::DOUBLE AS temporal FROM (SELECT *, {1} AS age FROM mem)""".format(MEM, AGE))
 def m14(spark, d):
     m = memories(spark, d).withColumn("age", scoring.days_between(F.lit(NOW).cast("timestamp"), F.col("last_accessed").cast("timestamp")))
     n = F.length("content")
     near = F.when(F.col("age") <= 1, 1.0).when(F.col("age") <= 7, 0.9).when(F.col("age") <= 30, 0.5).when(F.col("age") <= 90, 0.3).otherwise(0.1)
-    return m.select("id", F.round(scoring.effective_k(F.col("importance")), 6).alias("effective_k"), (F.abs(n - F.col("access_count") * 100) / F.greatest(n, F.lit(1)) >= 0.3).alias("new_node"), near.alias("temporal"))
+    return m.select("id", F.round(scoring.effective_k(F.col("importance")), 6).alias("effective_k"), (F.abs(n - F.col("access_count") * 100) / F.greatest(n, F.col("access_count") * 100, F.lit(1)) >= 0.3).alias("new_node"), near.alias("temporal"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from mnemosaic.operators import windows
 from mnemosaic.streaming import jobs
 
 from .registry import query
@@ -11,7 +12,9 @@ from .registry import query
 
 @query("t1_auto_capture", None)
 def t1(spark, d):
-    return jobs.drained(jobs.capture(jobs.source(spark, f"{d}/conversations.parquet")))
+    """Facts of messages; those whose content an earlier message gave are left out, for ever."""
+    facts = jobs.drained(jobs.capture(jobs.source(spark, f"{d}/conversations.parquet")))
+    return windows.newest(facts, ["fact_fingerprint"], [F.col("conv_id"), F.col("turn")])
 
 
 @query("t2_windowed_counts", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

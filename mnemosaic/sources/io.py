@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemosaic.functions import files as fileinfo
@@ -133,3 +133,28 @@ def read_cold(spark: SparkSession, path: str) -> DataFrame:
     of = lambda name: F.regexp_extract(note, rf"(?m)^{name}: (.*)$", 1)
     rows = spark.read.text(path).where(note.rlike(r"^---\n(?s:.*?)\n---\n"))
     return rows.select(of("id").alias("id"), F.regexp_replace(note, r"^---\n(?s:.*?)\n---\n", "").alias("content"), of("type").alias("type"), of("importance").cast("double").alias("importance"), of("created_at").cast("timestamp_ntz").alias("created_at"))
+
+
+def anonymized(rows: DataFrame, which: Column) -> DataFrame:
+    """Memories whose content and summary are taken out where the condition holds, and whose transcript is null there."""
+    return rows.withColumns({"content": F.when(which, "[removed]").otherwise(F.col("content")), "summary": F.when(which, "[removed]").otherwise(F.col("summary")), "transcript": F.when(~which, F.col("transcript"))})
+
+
+def backup(df: DataFrame, path: str, name: str) -> None:
+    """df as JSON lines under the name, all of it."""
+    df.write.mode("overwrite").json(f"{path}/name={name}")
+
+
+def list_backups(spark: SparkSession, path: str) -> DataFrame:
+    """name, n: the backups under a path and their rows."""
+    return spark.read.json(path).groupBy("name").agg(F.count("*").alias("n"))
+
+
+def restore_backup(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return spark.read.json(f"{path}/name={name}")
+
+
+def delete_backup(spark: SparkSession, path: str, name: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(f"{path}/name={name}")
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

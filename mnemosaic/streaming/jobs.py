@@ -24,6 +24,14 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def tiered(stream: DataFrame) -> DataFrame:
+    """Batches written by tier, to the end of what is there."""
+    spark, out, state = stream.sparkSession, staging(stream.sparkSession, "tiers"), staging(stream.sparkSession, "stream-state")
+    q = stream.writeStream.foreachBatch(lambda df, n: df.write.mode("append").partitionBy("tier").parquet(out)).option("checkpointLocation", state).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
 def source(spark: SparkSession, path: str) -> DataFrame:
     """A stream of a table that is one file or a folder of files: as a glob, a path may be either."""
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
@@ -32,7 +40,7 @@ def source(spark: SparkSession, path: str) -> DataFrame:
 def capture(messages: DataFrame) -> DataFrame:
     """The facts that each message which isn't noise gives, a row each, with the message's fingerprint and its first 200 characters as transcript; stateless."""
     kept = messages.where(~text.is_noise(F.col("text"))).withColumn("fact", F.explode(text.quick_extract(F.col("text"))))
-    return kept.select("conv_id", "turn", text.fingerprint(F.col("text")).alias("fingerprint"), "fact.type", "fact.content", "fact.importance", F.substring("text", 1, 200).alias("transcript"))
+    return kept.select("conv_id", "turn", text.fingerprint(F.col("text")).alias("fingerprint"), "fact.type", "fact.content", "fact.importance", F.substring("text", 1, 200).alias("transcript"), text.fingerprint(F.col("fact.content")).alias("fact_fingerprint"))
 
 
 def windowed_counts(events: DataFrame, every: str = "1 day", late: str = "1 hour") -> DataFrame:
