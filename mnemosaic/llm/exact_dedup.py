@@ -173,7 +173,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), number.alias("rid"))
     source = stored(source, "exact-rows") if row_col is None else source
     source = source.select("doc_id", F.col("text").cast("binary").alias("text"), F.length("text").cast("long").alias("n"), "rid")
-    narrow = stored(source.mapInArrow(_narrow, f"kind int, doc_id long, rid long, {ENTRIES}"), "exact-index", ["kind"])
+    narrow = stored(source.mapInArrow(_narrow, f"kind int, doc_id long, rid long, {ENTRIES}"), "exact-index")
     rows = narrow.where("kind = 0").select("doc_id", "rid", "entry")
     prefix = narrow.where("kind = 1").select(F.shiftrightunsigned("h", KEY_BITS - max_depth).alias("p"), "h").groupBy("p").agg(F.approx_count_distinct("h").alias("n"))
     deepest, slots = directory({r.p: r.n for r in prefix.collect()}, depth, max_depth, capacity)
