@@ -55,6 +55,12 @@ def g3(spark, d):
     return graph_edges(spark, d).where("dst = 'n3' AND relation = 'lives_in'").where(F.contains(F.lower("src"), F.lit("c1"))).select("src", "relation")
 
 
+@query("f20_by_type", f"WITH {EDGES}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e) SELECT node FROM n WHERE substr(node, 1, 1) = 'n' ORDER BY node LIMIT 10")
+def f20(spark, d):
+    """The first ten entities of a type, by name."""
+    return _nodes(graph_edges(spark, d)).where("type = 'n'").orderBy("node").limit(10).select("node")
+
+
 @query("g4_j6_network", f"WITH RECURSIVE {EDGES}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), b AS (SELECT 'n3' AS node, 0 AS depth UNION SELECT u.dst, b.depth + 1 FROM b JOIN u ON u.src = b.node WHERE b.depth < 3) SELECT node, min(depth)::INT AS depth FROM b GROUP BY node")
 def g4(spark, d):
     return graph.network(graph_edges(spark, d), "n3", 3)

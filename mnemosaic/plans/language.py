@@ -14,10 +14,19 @@ from .views import EDGES, NOW, graph_edges, literal_sql, literals
 TIMES = ["昨天和张三在杭州开会", "大后天交报告，后天复习", "2024年3月5日发布了新版本", "2023年12月总结", "3月8日放假", "上周去了上海", "下个月搬家", "去年毕业", "今晚看电影", "下午三点", "周五提交", "刚才吃饭", "正月初一回家", "2月30日", "没有时间词", ""]
 
 
-@query("x15_x16_time_expressions", None)
+_EXPECTED = [
+    ("昨天和张三在杭州开会", 0, "昨天", "day", "2024-01-31 00:00:00", "2024-01-31 23:59:59"), ("大后天交报告，后天复习", 0, "大后天", "day", "2024-02-04 00:00:00", "2024-02-04 23:59:59"), ("大后天交报告，后天复习", 7, "后天", "day", "2024-02-03 00:00:00", "2024-02-03 23:59:59"),
+    ("2024年3月5日发布了新版本", 0, "2024年3月5日", "date", "2024-03-05 00:00:00", "2024-03-05 23:59:59"), ("2023年12月总结", 0, "2023年12月", "date", "2023-12-01 00:00:00", "2023-12-31 23:59:59"), ("3月8日放假", 0, "3月8日", "date", "2024-03-08 00:00:00", "2024-03-08 23:59:59"),
+    ("上周去了上海", 0, "上周", "week", "2024-01-22 00:00:00", "2024-01-28 23:59:59"), ("下个月搬家", 0, "下个月", "month", "2024-03-01 00:00:00", "2024-03-31 23:59:59"), ("去年毕业", 0, "去年", "year", "2023-01-01 00:00:00", "2023-12-31 23:59:59"),
+    ("今晚看电影", 0, "今晚", "part_of_day", "2024-02-01 18:00:00", "2024-02-01 23:59:59"), ("下午三点", 0, "下午", "part_of_day", "2024-02-01 13:00:00", "2024-02-01 18:00:00"), ("周五提交", 0, "周五", "weekday", "2024-02-02 00:00:00", "2024-02-02 23:59:59"),
+    ("刚才吃饭", 0, "刚才", "moment", "2024-02-01 00:00:00", "2024-02-01 23:59:59"), ("正月初一回家", 0, "正月初一", "lunar", None, None), ("2月30日", 0, "2月30日", "date", None, None),
+]
+
+
+@query("x15_x16_time_expressions", "SELECT q, pos::INT AS pos, text, category, start::TIMESTAMP AS start, until::TIMESTAMP AS until FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else str(v) if isinstance(v, int) else f"'{v}'" for v in r) + ")" for r in _EXPECTED) + ") AS t(q, pos, text, category, start, until)")
 def x15(spark, d):
     found = literals(spark, TIMES).select("q", F.explode(temporal.time_expressions(F.col("q"), F.lit(NOW).cast("timestamp"))).alias("x"))
-    return found.select("q", "x.pos", "x.text", "x.category", F.col("x.range.start").cast("timestamp_ntz").alias("start"), F.col("x.range.end").cast("timestamp_ntz").alias("end"), "x.event")
+    return found.select("q", "x.pos", "x.text", "x.category", F.col("x.range.start").cast("timestamp_ntz").alias("start"), F.col("x.range.end").cast("timestamp_ntz").alias("until"))
 
 
 _RULES = ", ".join(

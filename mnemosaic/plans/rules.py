@@ -36,10 +36,17 @@ def f1(spark, d):
     return m.select("id", "repeats", "reason", "class", (F.col("reason").isNull() & (F.col("class") != "discard")).alias("stored"))
 
 
-@query("f1_denoise_literals", None)
+DENOISED = {
+    "[HEARTBEAT] system ok": "heartbeat", "scheduled: run the jobs": "heartbeat", "好的": "short", "You are a helpful assistant": "system_prompt", "note that this is long enough": "system_prompt", "请问现在几点了，谢谢你": "time_query",
+    "What time is it over there?": "time_query", "用户喜欢川菜和粤菜的味道": None, "用户不喜欢吃什么": None, "学到什么教训": "short", "/help": "short", "": "short", "hello there friend": None,
+}
+
+
+@query("f1_denoise_literals", "SELECT * FROM (VALUES " + ", ".join("('" + q + "', " + ("NULL" if r is None else f"'{r}'") + ")" for q, r in DENOISED.items()) + ") AS t(q, reason)")
 def f1_literals(spark, d):
-    rows = literals(spark, ["[HEARTBEAT] system ok", "好的", "You are a helpful assistant", "请问现在几点了，谢谢你", "用户喜欢川菜和粤菜的味道", *Q])
-    return rows.select("q", text.denoise_reason(F.col("q"), F.lit(0.6), F.lit(0.9), F.lit(0)).alias("reason"), text.is_noise(F.col("q")).alias("noise"))
+    """The expected reasons are written by hand."""
+    rows = literals(spark, list(DENOISED))
+    return rows.select("q", text.denoise_reason(F.col("q"), F.lit(0.6), F.lit(0.9), F.lit(0)).alias("reason"))
 
 
 NOISES = ["привет мир", "ありがとう", "안녕하세요", "你好!", "hello", "Hi there", "😀😀", "👍", "。。。", "???", "好的", "谢谢!", "thx", "a", "", "早上好", "知道了吗", "_x", "٣٤"]
@@ -137,9 +144,11 @@ def x2(spark, d):
     return m.select("id", F.size("a").alias("n_core"), F.size("b").alias("n_module"), F.md5(F.array_join("b", " ")).alias("digest"))
 
 
-@query("x3_token_literals", None)
+@query("x3_token_literals", """SELECT * FROM (VALUES ('用户ab', ['ab', '户', '用户'], ['用户', 'ab']), ('用户名ab', ['ab', '名', '户名', '用户'], ['用户', '户名', '用户名', 'ab']), ('hangzhou 天气', ['hangzhou', '天气', '气'], ['天气', 'hangzhou']),
+('学到什么教训', ['么教', '什么', '到什', '学到', '教训', '训'], ['学到', '到什', '什么', '么教', '教训', '学到什', '到什么', '什么教', '么教训']), ('Snake_case x2', ['snake_case', 'x2'], ['snake', 'case', 'x2']), ('', [], [])) AS t(q, core, module)""")
 def x3(spark, d):
-    return literals(spark, ["用户ab", "用户名ab", *Q]).select("q", F.array_sort(F.array_distinct(text.core_tokens(F.col("q")))).alias("core"), text.bm25_tokens(F.col("q")).alias("module"))
+    """Both tokenizers; the expected tokens are written by hand."""
+    return literals(spark, ["用户ab", "用户名ab", "hangzhou 天气", "学到什么教训", "Snake_case x2", ""]).select("q", F.array_sort(F.array_distinct(text.core_tokens(F.col("q")))).alias("core"), text.bm25_tokens(F.col("q")).alias("module"))
 
 
 _AUTO = "[" + ", ".join(f"[{{'type': '{k}', 'content': '用户{s}: ' || x, 'confidence': {text.AUTO_CONFIDENCE[k]}::DOUBLE}} for x in regexp_extract_all(q, '{p}', 1) if length(x) > 1]" for k, s, p in text.AUTO_RULES) + "]"

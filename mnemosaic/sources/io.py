@@ -110,7 +110,7 @@ def attached(files: DataFrame) -> DataFrame:
 def markdown_sections(files: DataFrame) -> DataFrame:
     """path, n, title, body: parts of (path, value) at headings; parts under 10 characters are left out."""
     parts = files.select("path", F.posexplode(F.split("value", r"(?m)^#{1,3}\s+")).alias("n", "part")).where(F.length(F.trim("part")) >= 10)
-    return parts.select("path", "n", F.substring(F.element_at(F.split("part", "\n"), 1), 1, 100).alias("title"), F.substring(F.trim("part"), 1, 500).alias("body"))
+    return parts.select("path", "n", F.substring(F.element_at(F.split("part", "\n"), 1), 1, 100).alias("title"), F.substring(F.regexp_replace("part", r"^\s+|\s+$", ""), 1, 500).alias("body"))
 
 
 def audit_log(spark: SparkSession, path: str) -> DataFrame:

@@ -9,7 +9,6 @@ import pytest
 from mnemosaic.plans.registry import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"
-SOME = ["f1_f3_denoise", "a3_a4_health", "a10_bm25", "search_rrf", "k1_m1_vector_topk", "j15_w9_asof", "w6_r6_versions", "w1_repeat_24h", "m4_m9_decay", "x7_x9_extract", "x13_x14_intent", "g4_j6_network", "a16_a17_unify", "m12_rerank", "t2_windowed_counts", "s6_s7_delete_update", "a5_a7_dashboard", "t8_sessions", "f5_f6_gate", "x10_x12_graph_extract", "x11_entity_types", "j17_contradictions", "m11_cross_encoder_blend", "m20_dedup_decision", "j4_a26_diversity", "j11_entity_memories", "t2_repeat_limiter", "s17_cold_roundtrip", "r15_cache_keys", "r11_a24_transaction", "m15_graph_scores", "a9_corpus_stats", "a10_bm25_core", "k1_l2_distance", "a34_channel_hits", "a12_score_fusion", "j2_merged_scores", "r22_parallel_search", "x19_recall_text", "k6_decay_sort", "j16_history_walk", "s14_backup_retention", "t3_t4_recall_guard", "f4_noise", "f7_search_filter", "f8_f10_tenants", "f11_placeholder", "x1_x6_hashes", "x6_fingerprints", "x7_u7_quick_extract", "x14_expand", "m14_temporal_match", "x12_linked_entities"]
 
 
 def norm(v):
@@ -37,7 +36,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, duck, name):
     df = QUERIES[name](spark, DIR)
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
