@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .mixing import word_count
-from .shared import needed, stored
+from .shared import free_name, stored
 
 LENGTHS = (512, 1024, 2048, 4096)
 #: What a bin costs beyond its length: the work for each sequence.
@@ -57,24 +57,46 @@ def pack(lengths: list[int], permitted: tuple[int, ...] = LENGTHS, overhead: int
     return bin_of, offset, [next(c for c in permitted if c >= u) for u in used]
 
 
-def best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: Column | None = None, permitted: tuple[int, ...] = LENGTHS, overhead: int = OVERHEAD, shard_pieces: int = 2048) -> DataFrame:
-    """Pieces with their places: doc_id, piece, start, length, bin_id, offset, capacity, bin_used."""
+def best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: Column | None = None, permitted: tuple[int, ...] = LENGTHS, overhead: int = OVERHEAD, shard_pieces: int = 2048, row_col: str | None = None) -> DataFrame:
+    """Pieces with their places: doc_id, piece, start, length, bin_id, offset, capacity, bin_used; and row, if the rows have numbers."""
     most = max(permitted)
-    rows = needed(docs, doc_id=(id_col, "long"), text=(text_col, "string")).select("doc_id", (word_count(F.col("text")) if length is None else length).cast("long").alias("n"))
+    number = F.monotonically_increasing_id() if row_col is None else F.col(f"`{row_col}`").cast("long")
+    size = word_count(F.col(f"`{text_col}`").cast("string")) if length is None else length
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), size.cast("long").alias("n"), number.alias("row"))
     last = F.greatest(F.lit(0), F.ceil(F.col("n") / most).cast("long") - 1)
-    pieces = rows.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"))
-    pieces = stored(pieces.select("doc_id", "piece", (F.col("piece") * most).alias("start"), F.least(F.lit(most), F.col("n") - F.col("piece") * most).cast("int").alias("length")), "pieces")
+    pieces = rows.select("row", "doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"))
+    pieces = stored(pieces.select("row", "doc_id", "piece", (F.col("piece") * most).alias("start"), F.least(F.lit(most), F.col("n") - F.col("piece") * most).cast("int").alias("length")), "pieces")
     shards = max(1, -(-pieces.count() // shard_pieces))
-    # The place in the stored table tells rows apart that are alike, so a hot id is spread too.
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(shards)))
+    # The row's number tells rows apart that are alike, so a hot id is spread too.
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "row"), F.lit(shards)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "piece"], kind="stable", ignore_index=True)
+        pdf = pdf.sort_values(["doc_id", "piece", "row"], kind="stable", ignore_index=True)
         bins, offsets, sizes = pack(pdf["length"].tolist(), permitted, overhead)
-        out = pdf[["doc_id", "piece", "start", "length"]].copy()
+        out = pdf[["row", "doc_id", "piece", "start", "length"]].copy()
         out["bin_id"] = (int(pdf["shard"].iloc[0]) << 24) + pd.Series(bins)
         out["offset"], out["capacity"] = offsets, [sizes[b] for b in bins]
         out["bin_used"] = out.groupby("bin_id")["length"].transform("sum")
         return out
 
-    return dealt.groupBy("shard").applyInPandas(run, "doc_id long, piece long, start long, length int, bin_id long, offset int, capacity int, bin_used int")
+    made = dealt.groupBy("shard").applyInPandas(run, "row long, doc_id long, piece long, start long, length int, bin_id long, offset int, capacity int, bin_used int")
+    return made if row_col else made.drop("row")
+
+
+def packed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", permitted: tuple[int, ...] = LENGTHS, overhead: int = OVERHEAD) -> DataFrame:
+    """best_fit's pieces with row (a number for each row of docs, so repeated and cut documents are told apart) and text: the piece's own words, as they stand.
+
+    The pieces of a row, in order, are the row's text.
+    """
+    row, other = free_name(docs, "row"), free_name(docs, "other_row")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "packed-docs")
+    found = best_fit(rows, id_col, text_col, None, permitted, overhead, row_col=row)
+    texts = rows.select(F.col(row).alias(other), F.col(f"`{text_col}`").cast("string").alias("whole"))
+    both = found.join(texts, F.col("row") == F.col(other))
+    words = F.regexp_extract_all("whole", F.lit(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"), F.lit(0))
+    last = F.regexp_extract("whole", r"([\x20\x09-\x0D]*+)$", 1)
+    cut = F.array_join(F.slice(words, (F.col("start") + 1).cast("int"), F.col("length")), "")
+    # The row's last piece keeps what white space the text ends in.
+    whole = F.col("length") < max(permitted)
+    text = F.when((F.col("piece") == 0) & whole, F.coalesce("whole", F.lit(""))).when(whole, F.concat(cut, last)).otherwise(cut)
+    return both.select("row", "doc_id", "piece", "start", "length", "bin_id", "offset", "capacity", "bin_used", text.alias("text"))
