@@ -30,7 +30,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.best_fit(docs)
+    return packing.packed_texts(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -41,7 +41,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("best_fit_packing", pack_sequences),
 ]
 
-#: The classifier is not expressible in SQL; tests hold the stages against brute-force versions.
+#: The classifier is not expressible in SQL; tests/llm/test_pipeline.py holds each stage, and all of them, against brute-force versions.
 ORACLE_SQL: str | None = None
 
 
