@@ -140,16 +140,19 @@ def vector_top(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id
 def mentions(docs: DataFrame, names: DataFrame, text_col: str = "content", most: int = 50_000) -> DataFrame:
     """docs with each name (of a table of names) that their text contains, whatever its case.
 
-    Up to `most` names make one Aho-Corasick automaton, so a text is read once, however many they are; more names are joined, and Spark
-    chooses the side to move. Null names and null texts match nothing; an empty name is in every text.
+    Names come in lots of at most `most`; a lot is one Aho-Corasick automaton, so a text is read once for each lot, however many names it has.
+    Null names and null texts match nothing; an empty name is in every text.
     """
-    low = names.select("name", F.lower("name").alias("low")).where("low is not null").distinct()
-    listed = [(r["low"], r["name"]) for r in low.limit(most + 1).collect()]
-    if len(listed) > most:
-        return docs.join(low, F.contains(F.lower(text_col), F.col("low"))).drop("low")
-    by_low: dict[str, list[str]] = {}
-    for key, name in listed:
-        by_low.setdefault(key, []).append(name)
+    low = stored(names.select("name", F.lower("name").alias("low")).where("low is not null").groupBy("low").agg(F.collect_set("name").alias("names")))
+    found, after = None, None
+    while lot := (low if after is None else low.where(F.col("low") > after)).orderBy("low").limit(most).collect():
+        after = lot[-1]["low"]
+        part = _mentions_of(docs, {r["low"]: sorted(r["names"]) for r in lot}, text_col)
+        found = part if found is None else found.unionByName(part)
+    return docs.withColumn("name", F.lit(None).cast("string")).limit(0) if found is None else found
+
+
+def _mentions_of(docs: DataFrame, by_low: dict[str, list[str]], text_col: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(by_low)
 
     @F.pandas_udf("array<string>")
@@ -159,12 +162,12 @@ def mentions(docs: DataFrame, names: DataFrame, text_col: str = "content", most:
         auto = ahocorasick.Automaton()
         for key, own in shared.value.items():
             if key:
-                auto.add_word(key, own)
+                auto.add_word(key, (key, own))
         if len(auto):
             auto.make_automaton()
         always = shared.value.get("", [])
         for part in texts:
-            yield pd.Series([None if t is None else always + [n for own in {own[0]: own for _, own in (auto.iter(t) if len(auto) else ())}.values() for n in own] for t in part])
+            yield pd.Series([None if t is None else always + [n for own in dict(v for _, v in (auto.iter(t) if len(auto) else ())).values() for n in own] for t in part])
 
     return docs.withColumn("name", F.explode(found(F.lower(text_col))))
 
