@@ -40,14 +40,18 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         one.add_argument("folder")
         for a in extra:
             one.add_argument(a, **({"type": int, "default": 10} if a == "-n" else {}))
+        if name in ("export", "import"):
+            one.add_argument("--md", action="store_true", help="notes with a front matter instead of JSON lines")
     a = p.parse_args(argv)
     spark = spark or SparkSession.builder.appName("mnemosaic").getOrCreate()
     if a.what == "import":
-        io.append(spark.read.schema(spark.read.parquet(a.folder).schema).json(a.source), a.folder)
+        kept = spark.read.parquet(a.folder)
+        rows = io.read_cold(spark, a.source) if a.md else spark.read.schema(kept.schema).json(a.source)
+        io.append(io.shaped(rows, kept.schema), a.folder)
         return 0
     memories = spark.read.parquet(a.folder)
     if a.what == "export":
-        memories.write.json(a.to)
+        io.write_cold(memories, a.to) if a.md else memories.write.json(a.to)
     elif a.what == "delete":  # to a new folder: a table can't be overwritten while it is read
         memories.where(F.col("id").cast("string") != a.id).write.parquet(a.to)
     else:

@@ -91,3 +91,14 @@ def time_expressions(text: Column, now: Column) -> Column:
         return F.struct(pos.alias("pos"), x.alias("text"), category(x).alias("category"), time_range(x, now).alias("range"), event_context(before, after).alias("event"))
 
     return F.zip_with(found, starts, one)
+
+
+def parsed_time(value: Column) -> Column:
+    """A UTC timestamp out of ISO text (with a Z, an offset or neither) or milliseconds since 1970; null for other text."""
+    iso = F.try_to_timestamp(F.regexp_replace(F.trim(value), "Z$", "+00:00"))
+    millis = F.timestamp_millis(F.when(value.rlike("^[0-9]{11,14}$"), value.try_cast("long")))
+    return F.coalesce(millis, F.when(value.rlike(r"^\s*[0-9]{4}-[0-9]{2}-[0-9]{2}"), iso))
+
+
+def to_millis(at: Column) -> Column:
+    return F.unix_millis(at.cast("timestamp"))

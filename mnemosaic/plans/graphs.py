@@ -73,6 +73,12 @@ def g4_edges(spark, d):
     return among.join(nodes.toDF("src", "src_depth"), "src").join(nodes.toDF("dst", "dst_depth"), "dst").select("src", "dst", "relation", "src_depth", "dst_depth")
 
 
+@query("g13_search_by_entity", f"WITH {EDGES}, s AS (SELECT 'n3' AS node UNION SELECT src FROM e WHERE dst = 'n3' UNION SELECT dst FROM e WHERE src = 'n3') SELECT src, dst, relation FROM e WHERE src IN (SELECT node FROM s) AND dst IN (SELECT node FROM s)")
+def g13(spark, d):
+    """What an entity is linked with, and the links among those."""
+    return graph.network_edges(graph_edges(spark, d), "n3", 1)[1].select("src", "dst", "relation")
+
+
 @query("g5_j7_paths", f"WITH {EDGES}, p AS (SELECT [a.src, a.dst] AS path FROM e a WHERE a.src = 'c7' AND a.dst LIKE 'r%' UNION ALL SELECT [a.src, a.dst, b.dst] FROM e a JOIN e b ON a.dst = b.src WHERE a.src = 'c7' AND b.dst LIKE 'r%') SELECT path, 1.0::DOUBLE / (len(path) - 1) AS score FROM p")
 def g5(spark, d):
     e = graph_edges(spark, d)

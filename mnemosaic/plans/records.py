@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mnemosaic.functions import files, scoring
+from mnemosaic.functions import files, scoring, temporal
 from mnemosaic.operators import windows
 from mnemosaic.sources import io
 from mnemosaic.sources.transactions import SnapshotTable
@@ -263,3 +263,23 @@ def s17(spark, d):
     path = io.staging(spark, "cold")
     io.write_cold(memories(spark, d).where("importance <= 0.5"), path)
     return io.read_cold(spark, path)
+
+
+@query("s1_open_or_create", f"WITH {MEM} SELECT id::VARCHAR AS id, type, importance, 1 AS access_count, NULL::DOUBLE AS decay_rate FROM mem WHERE id % 4 = 0")
+def s1(spark, d):
+    """A table that is made on the first call, opened on the second, and added to."""
+    path = io.staging(spark, "memories")
+    schema = io.open_or_create(spark, path).schema
+    io.append(io.shaped(memories(spark, d).where("id % 4 = 0").select("id", "type", "content", "importance", F.lit(1).alias("access_count")), schema), path)
+    return io.open_or_create(spark, path).select("id", "type", "importance", "access_count", "decay_rate")
+
+
+TIMES = ["2024-01-15T10:30:00Z", "2024-01-15T10:30:00+02:00", "2024-01-15 10:30:00", "2024-01-15", "1705314600000", "not a time", "", "12"]
+
+
+@query("date_parsing", "SELECT * FROM (VALUES ('2024-01-15T10:30:00Z', TIMESTAMP '2024-01-15 10:30:00', 1705314600000), ('2024-01-15T10:30:00+02:00', TIMESTAMP '2024-01-15 08:30:00', 1705307400000), ('2024-01-15 10:30:00', TIMESTAMP '2024-01-15 10:30:00', 1705314600000), ('2024-01-15', TIMESTAMP '2024-01-15 00:00:00', 1705276800000), ('1705314600000', TIMESTAMP '2024-01-15 10:30:00', 1705314600000), ('not a time', NULL, NULL), ('', NULL, NULL), ('12', NULL, NULL)) AS t(q, parsed, millis)")
+def dates(spark, d):
+    """Times as text, in UTC; the expected rows are written by hand."""
+    at = temporal.parsed_time(F.col("q"))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    return literals(spark, TIMES).select("q", F.to_utc_timestamp(at, F.lit(zone)).cast("timestamp_ntz").alias("parsed") if zone != "UTC" else at.cast("timestamp_ntz").alias("parsed"), temporal.to_millis(at).alias("millis"))

@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from mnemosaic.functions import files as fileinfo
 
@@ -91,7 +92,7 @@ def parsed_sessions(files: DataFrame) -> DataFrame:
 
 def notes(spark: SparkSession, path: str) -> DataFrame:
     """path, value of the Markdown files of a folder, each whole."""
-    return spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(path).select(F.col("_metadata.file_name").alias("path"), "value")
+    return spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True).select(F.col("_metadata.file_name").alias("path"), "value")
 
 
 def attachments(spark: SparkSession, path: str) -> DataFrame:
@@ -158,3 +159,23 @@ def delete_backup(spark: SparkSession, path: str, name: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(f"{path}/name={name}")
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+#: The table of memories.
+MEMORIES = (
+    "id string, type string, content string, summary string, importance double, source string, transcript string, tags array<string>, scope string, scope_id string, vector array<float>, created_at timestamp_ntz, "
+    "updated_at timestamp_ntz, last_accessed timestamp_ntz, access_count int, revision_chain array<string>, superseded_by string, decay_score double, decay_rate double"
+)
+
+
+def open_or_create(spark: SparkSession, path: str) -> DataFrame:
+    """The table of memories at a path, which is made, empty, where there is none."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        spark.createDataFrame([], MEMORIES).write.parquet(path)
+    return spark.read.schema(MEMORIES).parquet(path)
+
+
+def shaped(rows: DataFrame, schema: StructType) -> DataFrame:
+    """rows with the columns of a schema: cast where they are there, null where they aren't."""
+    return rows.select(*((F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema))

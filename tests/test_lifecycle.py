@@ -137,3 +137,27 @@ def test_common_terms_meet_queries_in_pieces(spark, monkeypatch):
     whole = {(r.qid, r.id): round(r.score, 9) for r in search.bm25(docs, queries).collect()}
     monkeypatch.setattr(search, "PIECE", 5)
     assert whole == {(r.qid, r.id): round(r.score, 9) for r in search.bm25(docs, queries).collect()} and len(whole) == 120
+
+
+def test_notes_out_and_in_by_the_command_line(spark, tmp_path):
+    from mnemosaic import cli
+
+    rows = [("a", "用户喜欢川菜\nin two lines", "preference", 0.8), ("b", "---\nodd", "fact", 0.4)]
+    df = spark.createDataFrame(rows, "id string, content string, type string, importance double").withColumn("created_at", F.expr("TIMESTAMP_NTZ '2024-01-02 03:04:05'"))
+    df.write.parquet(f"{tmp_path}/m")
+    df.limit(0).write.parquet(f"{tmp_path}/n")
+    assert cli.main(["export", f"{tmp_path}/m", f"{tmp_path}/notes", "--md"], spark) == 0
+    assert cli.main(["import", f"{tmp_path}/n", f"{tmp_path}/notes", "--md"], spark) == 0
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/n").collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_attachments_and_notes_of_a_folder(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "a.md").write_text("## Current Task\nwrite\n\n---\n")
+    (tmp_path / "b.exe").write_bytes(b"x" * 2048)
+    got = {r.filename: r for r in io.attachments(spark, str(tmp_path)).collect()}
+    assert got["a.md"].refused is None and got["a.md"].file_type == "document" and got["b.exe"].refused == "type" and got["b.exe"].size_text == "2.0KB"
+    assert got["b.exe"].hash_sha256 == hashlib.sha256(b"x" * 2048).hexdigest()
+    parsed = io.parsed_sessions(io.notes(spark, str(tmp_path))).collect()
+    assert [(r.path, r.current_task, r.key_context) for r in parsed] == [("a.md", "write", "[None yet]")]
