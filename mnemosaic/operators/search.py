@@ -37,30 +37,120 @@ def corpus_stats(docs: DataFrame, id_col: str = "id", text_col: str = "content")
     return postings(docs, id_col, text_col).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, id_col: str = "id", text_col: str = "content", variant: str = "module") -> DataFrame:
-    """qid, id, score for queries (qid, q). Texts are split into words once; only the queries' terms, and a row for each text, leave that pass.
+def _hits(docs: DataFrame, terms: DataFrame, variant: str, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """id, dl, term, tf of the terms asked for, and one row of totals (n, avgdl). Texts are split into words once; only those terms, and a row for each text, leave that pass.
 
-    The queries' terms are broadcast only through Spark's own size check, so a large query table joins by sort-merge. A term in
-    many documents meets its queries in pieces of the documents' ids, so no task holds all of it.
+    The terms are broadcast only through Spark's own size check, so a large query table joins by sort-merge.
     """
-    tokens_of, length, floor = VARIANTS[variant]
-    terms = queries.select("qid", F.explode(F.array_distinct(tokens_of(F.col("q")))).alias("term"))
+    tokens_of, length, _ = VARIANTS[variant]
     tokens = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("x"))).select("id", tokens_of(F.col("x")).alias("t"))
     rows = tokens.select("id", F.greatest(length(F.col("t")), F.lit(0)).alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.coalesce("t", F.array().cast("array<string>")))).alias("term"))
     asked = terms.select(F.col("term").alias("asked")).distinct()
     rows = rows.join(asked, F.col("term") == F.col("asked"), "left").where("term IS NULL OR asked IS NOT NULL")
     hits = stored(rows.groupBy("id", "dl", "term").agg(F.count("*").alias("tf")))
-    stats = hits.where("term IS NULL").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # one row of totals
-    hits = hits.where("term IS NOT NULL")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    n, avgdl = F.col("n"), F.col("avgdl")
-    idf = F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    return hits.where("term IS NOT NULL"), hits.where("term IS NULL").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+
+
+def _weight(variant: str, k1: float, b: float) -> Column:
+    """What a term adds to the score of a document that has it, from tf, dl, df, n and avgdl."""
+    floor = VARIANTS[variant][2]
+    idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     idf = idf if floor is None else F.greatest(F.lit(floor), idf)
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
+    return idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, id_col: str = "id", text_col: str = "content", variant: str = "module") -> DataFrame:
+    """qid, id, score of every pair above 0, for queries (qid, q).
+
+    A term in many documents meets its queries in pieces of the documents' ids, so no task holds all of it.
+    """
+    terms = queries.select("qid", F.explode(F.array_distinct(VARIANTS[variant][0](F.col("q")))).alias("term"))
+    hits, stats = _hits(docs, terms, variant, id_col, text_col)
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
     weighed = df.crossJoin(F.broadcast(stats)).select("term", "df", "n", "avgdl", F.ceil(F.col("df") / PIECE).alias("pieces"))
     each = terms.join(weighed, "term").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"))
     placed = hits.join(weighed.select("term", F.col("pieces").alias("of")), "term").withColumn("piece", F.pmod(F.xxhash64("id"), F.col("of")))
-    return placed.join(each, ["term", "piece"]).groupBy("qid", "id").agg(F.sum(part).alias("score")).where("score > 0")
+    return placed.join(each, ["term", "piece"]).groupBy("qid", "id").agg(F.sum(_weight(variant, k1, b)).alias("score")).where("score > 0")
+
+
+#: Queries that are scored at once: a bound for what travels with the tasks.
+QUERIES_AT_ONCE = 512
+
+
+def bm25_top(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, id_col: str = "id", text_col: str = "content", variant: str = "module", digits: int = 4) -> DataFrame:
+    """qid, id, score (rounded), rank: the k best documents of each query; ties by id.
+
+    A task holds the terms' weights of its own documents, and multiplies them with a lot of queries at a time; only its k best of each
+    query are shuffled, so no pair of a query and a document is ever a row.
+    """
+    terms = stored(queries.select("qid", F.explode(F.array_distinct(VARIANTS[variant][0](F.col("q")))).alias("term")))
+    hits, stats = _hits(docs, terms, variant, id_col, text_col)
+    df = hits.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))
+    weights = stored(hits.join(df, "term").select("id", "term", _weight(variant, k1, b).alias("w")).repartition("id").sortWithinPartitions("id"))
+    kinds = {c: d.schema[c].dataType.simpleString() for c, d in (("qid", terms), ("id", weights))}
+    names, after, found = terms.select("qid").distinct(), None, None
+    while lot := (names if after is None else names.where(F.col("qid") > after)).orderBy("qid").limit(QUERIES_AT_ONCE).collect():
+        first, after = lot[0].qid, lot[-1].qid
+        asked = terms.where(F.col("qid").between(first, after)).collect()
+        part = _best_products(weights, [(r.qid, r.term) for r in asked], k, digits, f"qid {kinds['qid']}, id {kinds['id']}, score double")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = weights.select(F.lit(None).cast(kinds["qid"]).alias("qid"), "id", F.col("w").alias("score")).limit(0)
+    return top(found, k)
+
+
+def _best_products(weights: DataFrame, asked: list[tuple], k: int, digits: int, schema: str) -> DataFrame:
+    """The k best (qid, id, score) of each partition of weights (id, term, w), whose rows of a document stand together."""
+    qids, vocabulary = sorted({q for q, _ in asked}), sorted({t for _, t in asked})
+    column, place = {t: n for n, t in enumerate(vocabulary)}, {q: n for n, q in enumerate(qids)}
+    shared = weights.sparkSession.sparkContext.broadcast((qids, vocabulary, [(column[t], place[q]) for q, t in asked]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+
+        qids, vocabulary, cells = shared.value
+        wanted = np.zeros((len(vocabulary), len(qids)))
+        wanted[tuple(np.array(cells).T)] = 1
+        known = pa.array(vocabulary, pa.string())
+        best_ids, best = np.zeros((0, len(qids)), object), np.zeros((0, len(qids)))
+        last, part = None, np.zeros(len(qids))  # a document that may go on in the next batch
+
+        def merge(ids: list, scores: np.ndarray) -> None:
+            nonlocal best_ids, best
+            scores = np.round(scores, digits)
+            every_id, every = np.concatenate([best_ids, np.repeat(np.array(ids, object)[:, None], len(qids), 1)]), np.concatenate([best, scores])
+            number = {x: n for n, x in enumerate(sorted(set(every_id.ravel().tolist())))}
+            rank = np.array([number[x] for x in every_id.ravel().tolist()], np.int64).reshape(every.shape)
+            order = np.lexsort((rank, -every), axis=0)[:k]
+            best_ids, best = np.take_along_axis(every_id, order, 0), np.take_along_axis(every, order, 0)
+
+        for batch in batches:
+            col = pc.index_in(batch.column(1), known)
+            keep = np.flatnonzero(pc.is_valid(col).to_numpy(zero_copy_only=False))
+            if not len(keep):
+                continue
+            ids = batch.column(0).take(pa.array(keep)).to_pylist()
+            col, w = col.take(pa.array(keep)).to_numpy(), batch.column(2).take(pa.array(keep)).to_numpy()
+            change = np.concatenate([[0], 1 + np.flatnonzero([x != y for x, y in zip(ids[1:], ids[:-1])])]).astype(np.int64)
+            own = [ids[i] for i in change.tolist()]
+            m = np.zeros((len(own), len(vocabulary)))
+            m[np.repeat(np.arange(len(own)), np.diff(change, append=len(ids))), col] = w
+            scores = m @ wanted
+            if last is not None:
+                if own[0] == last:
+                    scores[0] += part
+                else:
+                    merge([last], part[None, :])
+            last, part = own[-1], scores[-1].copy()
+            if len(own) > 1:
+                merge(own[:-1], scores[:-1])
+        if last is not None:
+            merge([last], part[None, :])
+        i, j = np.nonzero(best > 0)
+        if len(i):
+            yield pa.RecordBatch.from_arrays([pa.array([qids[x] for x in j.tolist()]), pa.array(best_ids[i, j].tolist()), pa.array(best[i, j])], names=["qid", "id", "score"])
+
+    return weights.mapInArrow(run, schema)
 
 
 #: Documents of a term that meet its queries in one piece.

@@ -33,7 +33,7 @@ _RANKED = "SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY s
 
 
 def _bm25_top(spark, d, k: int = 30, variant: str = "module"):  # noqa: ANN001, ANN202
-    return search.top(search.bm25(memories(spark, d), _queries(spark, d), variant=variant).withColumn("score", F.round("score", 4)), k)
+    return search.bm25_top(memories(spark, d), _queries(spark, d), k, variant=variant)
 
 
 @query("a10_bm25", f"WITH {BM25}, r AS ({_RANKED}) SELECT qid, id, rank, score FROM r WHERE rank <= 30")

@@ -131,6 +131,21 @@ def test_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
         io.shared_dir(Session())
 
 
+def test_best_bm25_equals_all_pairs_cut(spark, monkeypatch):
+    rnd = random.Random(9)
+    word = lambda: rnd.choice(("ab", "cd", "ef", "gh", "x1", "y_2", "zz"))
+    docs = spark.createDataFrame([(f"d{i}", " ".join(word() for _ in range(rnd.randrange(0, 9)))) for i in range(80)] + [("n", None)], "id string, content string")
+    queries = spark.createDataFrame([(i, " ".join(word() for _ in range(3))) for i in range(11)] + [(50, "unknown"), (51, "")], "qid long, q string")
+    for variant in ("module", "core"):
+        whole = search.top(search.bm25(docs, queries, variant=variant).withColumn("score", F.round("score", 4)), 5)
+        want = sorted((r.qid, r["rank"], r.id, r.score) for r in whole.collect())
+        for at_once in (512, 3):
+            monkeypatch.setattr(search, "QUERIES_AT_ONCE", at_once)
+            got = search.bm25_top(docs, queries, 5, variant=variant).collect()
+            assert sorted((r.qid, r["rank"], r.id, r.score) for r in got) == want and want
+    assert search.bm25_top(docs, queries.limit(0), 5).count() == 0
+
+
 def test_common_terms_meet_queries_in_pieces(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"common word{i % 7} text") for i in range(60)], "id long, content string")
     queries = spark.createDataFrame([(1, "common word3"), (2, "text")], "qid long, q string")
