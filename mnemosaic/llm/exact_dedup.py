@@ -171,7 +171,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     number = F.monotonically_increasing_id() if row_col is None else F.col(f"`{row_col}`").cast("long")
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), number.alias("rid"))
-    source = stored(source, "exact-rows") if row_col is None else source
+    source = stored(source, "exact-rows", texts=True) if row_col is None else source
     source = source.select("doc_id", F.col("text").cast("binary").alias("text"), F.length("text").cast("long").alias("n"), "rid")
     narrow = stored(source.mapInArrow(_narrow, f"kind int, doc_id long, rid long, {ENTRIES}"), "exact-index")
     rows = narrow.where("kind = 0").select("doc_id", "rid", "entry")
@@ -188,6 +188,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_dedup drops, with docs' own columns. Each row is kept or dropped by its own number."""
     row, other = free_name(docs, "row"), free_name(docs, "other_row")
-    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "exact-docs")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "exact-docs", texts=True)
     gone = exact_dedup(rows, id_col, text_col, row_col=row).where("not kept").select(F.col("row").alias(other))
     return rows.join(gone, rows[row] == gone[other], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -375,7 +375,7 @@ def _links(lines: DataFrame, capacity: int) -> DataFrame:
 def _indexed(docs: DataFrame, id_col: str, text_col: str, row_col: str | None) -> DataFrame:
     row = F.lit(None) if row_col is None else F.col(f"`{row_col}`")
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"), row.cast("long").alias("row"))
-    return stored(source.mapInArrow(_index, INDEX), "line-index")
+    return stored(source.mapInArrow(_index, INDEX), "line-index", texts=True)
 
 
 def line_links(docs: DataFrame, text_col: str = "text", capacity: int = 256) -> DataFrame:
@@ -413,7 +413,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the dropped lines taken out of the text, each row its own. Rows get numbers, which are stored beside them."""
     row, other, gone = (free_name(docs, x) for x in ("row", "other_row", "gone"))
-    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "line-docs")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "line-docs", texts=True)
     lost = dedup_lines(rows, id_col, text_col, row).where(F.size("dropped") > 0).select(F.col("row").alias(other), F.col("dropped").alias(gone))
     joined = rows.join(lost, rows[row] == lost[other], "left")
     kept = F.filter(F.split(F.col(f"`{text_col}`"), "\n", -1), lambda x, i: ~F.array_contains(F.col(gone), i))

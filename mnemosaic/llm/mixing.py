@@ -108,7 +108,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     Each row follows its own plan, by a number that is stored beside it.
     """
     row, other, size, taken, copy = (free_name(docs, x) for x in ("row", "other_row", "size", "taken", "copy"))
-    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "mix-docs")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "mix-docs", texts=True)
     plan = mix(rows, id_col, text_col, source_col, row_col=row).where("taken > 0")
     plan = plan.select(F.col("row").alias(other), F.col("size").alias(size), F.col("taken").alias(taken))
     times = F.ceil(F.col(taken) / F.col(size)).cast("int")

@@ -89,7 +89,7 @@ def packed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     The pieces of a row, in order, are the row's text.
     """
     row, other = free_name(docs, "row"), free_name(docs, "other_row")
-    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "packed-docs")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "packed-docs", texts=True)
     found = best_fit(rows, id_col, text_col, None, permitted, overhead, row_col=row)
     texts = rows.select(F.col(row).alias(other), F.col(f"`{text_col}`").cast("string").alias("whole"))
     both = found.join(texts, F.col("row") == F.col(other))

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,10 +25,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/mnemosaic/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
-    """df written as Parquet to the shared folder and read back: cuts lineage, and survives lost executors."""
+def stored(df: DataFrame, name: str, texts: bool = False) -> DataFrame:
+    """df written as Parquet to the shared folder and read back: cuts lineage, and survives lost executors. texts: most of it is text that hardly repeats."""
     path = shared_path(df.sparkSession, name)
-    df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.enable.dictionary", str(not texts).lower()).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -69,7 +67,7 @@ def sifted(rows: DataFrame, column: str, wanted: DataFrame, wanted_column: str)
     return met.where(F.expr("shiftright(bit_mask, cast(bit_place & 63 AS int)) & 1 = 1")).select(*rows.columns)
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph, as (node, root): root is the smallest node of node's component.
 
     edges has columns a and b; loops, repeats and both directions are allowed; nodes without a real edge
@@ -92,10 +90,9 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         return moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
 
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    for _ in range(max_rounds):
+    while True:
         # Done when each larger node has one edge, and no root has an edge to something smaller.
         facts = now.groupBy("a").agg(F.count("*").alias("n"))
         if not facts.where("n > 1").limit(1).count() and not now.join(now.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count():
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         now = stored(small(star(now)), "edges")
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

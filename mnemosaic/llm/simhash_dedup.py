@@ -255,7 +255,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     Row numbers are given once and stored beside the rows, so ids may be null or repeated.
     """
     number, other = free_name(docs, "row"), free_name(docs, "other_row")
-    numbered = stored(docs.withColumn(number, F.monotonically_increasing_id()), "simhash-docs")
+    numbered = stored(docs.withColumn(number, F.monotonically_increasing_id()), "simhash-docs", texts=True)
     rows = stored(fingerprints(numbered, id_col, text_col, k, number), "simhash-rows")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     best = rows.groupBy("fp").agg(F.min(first).alias("first"))
