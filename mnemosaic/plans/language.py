@@ -9,7 +9,7 @@ from mnemosaic.operators import windows
 
 from .registry import query
 from .rules import FACTS
-from .views import EDGES, NOW, graph_edges, literal_sql, literals
+from .views import EDGES, NOW, graph_edges, literal_sql, literals, said, said_sql
 
 TIMES = ["昨天和张三在杭州开会", "大后天交报告，后天复习", "2024年3月5日发布了新版本", "2023年12月总结", "3月8日放假", "上周去了上海", "下个月搬家", "去年毕业", "今晚看电影", "下午三点", "周五提交", "刚才吃饭", "正月初一回家", "2月30日", "没有时间词", ""]
 
@@ -36,11 +36,11 @@ _RULES = ", ".join(
 _TECH = "[" + ", ".join(f"'{w}'" for w in text.TECH) + "]"
 
 
-@query("x10_x12_graph_extract", f"""WITH {literal_sql(FACTS)}, f AS (SELECT q, flatten([{_RULES}, list_transform(list_filter({_TECH}, lambda w: contains(lower(q), lower(w))), lambda w: {{'relation': 'mentioned', 'type': 'technology', 'subject': NULL::VARCHAR, 'entity': w}})]) AS found FROM l),
+@query("x10_x12_graph_extract", f"""WITH {said_sql(FACTS)}, f AS (SELECT q, flatten([{_RULES}, list_transform(list_filter({_TECH}, lambda w: contains(lower(q), lower(w))), lambda w: {{'relation': 'mentioned', 'type': 'technology', 'subject': NULL::VARCHAR, 'entity': w}})]) AS found FROM l),
 u AS (SELECT q, unnest(found) AS x, generate_subscripts(found, 1) AS n FROM f), w AS (SELECT q, x, row_number() OVER (PARTITION BY q, x.entity ORDER BY n) AS k FROM u)
 SELECT q, x.relation AS relation, x.type AS type, x.subject AS subject, x.entity AS entity FROM w WHERE k = 1""")
 def x10(spark, d):
-    return literals(spark, FACTS).select("q", F.explode(text.graph_entities(F.col("q"))).alias("x")).select("q", "x.*")
+    return said(spark, d, FACTS).select("q", F.explode(text.graph_entities(F.col("q"))).alias("x")).select("q", "x.*")
 
 
 NAMES = ["字节跳动", "人民医院", "杭州市", "PostgreSQL", "postgresql 15", "川菜", "", "北京银行", "Spark"]

@@ -221,9 +221,15 @@ def j14(spark, d):
 
 @query("j20_m19_mrr", f"WITH {MEM}, r AS (SELECT lang, id, row_number() OVER (PARTITION BY lang ORDER BY importance DESC, id) AS rank FROM mem), g AS (SELECT doc_id AS id FROM labels WHERE quality = 1) SELECT lang, round(1.0 / min(CASE WHEN g.id IS NOT NULL THEN rank END), 6)::DOUBLE AS mrr, count(*) FILTER (rank <= 10 AND g.id IS NOT NULL) AS hits10 FROM r LEFT JOIN g ON r.id = g.id GROUP BY lang")
 def j20(spark, d):
-    r = memories(spark, d).select("lang", "id", F.row_number().over(windows.Window.partitionBy("lang").orderBy(F.desc("importance"), "id")).alias("rank"))
-    g = table(spark, d, "labels").where("quality = 1").selectExpr("doc_id AS id", "true AS good")
-    return r.join(g, "id", "left").groupBy("lang").agg(F.round(1.0 / F.min(F.when(F.col("good"), F.col("rank"))), 6).alias("mrr"), F.count_if((F.col("rank") <= 10) & F.coalesce("good", F.lit(False))).alias("hits10"))
+    """The rank of each language's best relevant row is one more than the rows before it: counted, not numbered."""
+    m = memories(spark, d).select("lang", "id", F.struct((-F.col("importance")).alias("i"), F.col("id").alias("k")).alias("place"))
+    good = table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
+    relevant = m.join(good, "id", "left_semi")
+    first = relevant.groupBy(F.col("lang").alias("l")).agg(F.min("place").alias("first"))
+    before = m.join(first, m.lang.eqNullSafe(first["l"]), "left").groupBy("lang").agg(F.count_if(F.col("place") <= F.col("first")).alias("rank"))
+    top10 = windows.newest(m, ["lang"], [F.col("place")], 10).join(good, "id", "left_semi").groupBy(F.col("lang").alias("l")).agg(F.count("*").alias("hits10"))
+    both = before.join(top10, before.lang.eqNullSafe(top10["l"]), "left")
+    return both.select("lang", F.round(1.0 / F.nullif("rank", F.lit(0)), 6).alias("mrr"), F.coalesce("hits10", F.lit(0)).alias("hits10"))
 
 
 @query("j21_r8_clicks", f"WITH {MEM}, c AS (SELECT event_id, event_id % 100 AS id, event_id % 8 + 1 AS position FROM events WHERE event_type = 'click') SELECT c.event_id, c.position, m.type FROM c JOIN mem m ON m.id = c.id")

@@ -8,7 +8,7 @@ from mnemosaic.functions import scoring, text
 from mnemosaic.operators import windows
 
 from .registry import query
-from .views import MEM, NOW, literal_sql, literals, memories, table
+from .views import MEM, NOW, literal_sql, literals, memories, said, said_sql, table
 
 Q = ["用户不喜欢吃什么", "用户最近在做什么", "hangzhou 天气", "用户的名字叫什么", "老板的朋友的公司", "学到什么教训", "为什么选择它", "平时的习惯", "/help", "hello", "", "咖啡", "记得我的生日吗", "hello there friend", "好的", "谢谢!", "weather"]
 
@@ -155,10 +155,10 @@ _AUTO = "[" + ", ".join(f"[{{'type': '{k}', 'content': '用户{s}: ' || x, 'conf
 FACTS = ["用户喜欢川菜", "用户讨厌川菜", "我使用Python", "用户住在杭州市", "我决定使用Spark", "用户的目标是学习", "我从失败中学到坚持", "张三在字节公司工作", "hello", "项目截止日期是下周", "用户对花生过敏"]
 
 
-@query("x7_x9_extract", f"""WITH {literal_sql(FACTS)}, f AS (SELECT q, list_distinct(flatten({_AUTO})) AS found FROM l), u AS (SELECT q, unnest(found) AS x FROM f)
+@query("x7_x9_extract", f"""WITH {said_sql(FACTS)}, f AS (SELECT q, list_distinct(flatten({_AUTO})) AS found FROM l), u AS (SELECT q, unnest(found) AS x FROM f)
 SELECT q, x.type AS type, x.content AS content, x.confidence AS confidence, length(x.content) >= 8 AS stored FROM u""")
 def x7(spark, d):
-    return literals(spark, FACTS).select("q", F.explode(text.auto_extract(F.col("q"))).alias("x")).select("q", "x.type", "x.content", "x.confidence", text.denoise_reason(F.col("x.content"), F.col("x.confidence"), F.col("x.confidence"), F.lit(0)).isNull().alias("stored"))
+    return said(spark, d, FACTS).select("q", F.explode(text.auto_extract(F.col("q"))).alias("x")).select("q", "x.type", "x.content", "x.confidence", text.denoise_reason(F.col("x.content"), F.col("x.confidence"), F.col("x.confidence"), F.lit(0)).isNull().alias("stored"))
 
 
 @query("x6_fingerprints", r"""WITH l(q, fingerprint) AS (VALUES ('用户说："我喜欢川菜"', substr(md5('用户说我喜欢川菜'), 1, 16)), ('（A）[b]【c】 d', substr(md5('abcd'), 1, 16)), ('it''s “so”', substr(md5('it''s“so”'), 1, 16)), ('a　b', substr(md5('ab'), 1, 16))) SELECT * FROM l""")
@@ -170,13 +170,13 @@ def x6(spark, d):
 _QUICK = "flatten([" + ", ".join(f"CASE WHEN regexp_matches(q, '(?i){p}') THEN [{{'pos': {n}, 'type': '{k}', 'content': trim(regexp_extract(q, '(?i){p}', 0))}}] ELSE [] END" for n, (k, p) in enumerate(text.QUICK_RULES)) + "])"
 
 
-@query("x7_u7_quick_extract", f"""WITH {literal_sql(FACTS)}, f AS (SELECT q, unnest({_QUICK}) AS x FROM l WHERE length(q) >= 2), g AS (SELECT q, x.pos AS pos, x.type AS type, x.content AS content,
+@query("x7_u7_quick_extract", f"""WITH {said_sql(FACTS)}, f AS (SELECT q, unnest({_QUICK}) AS x FROM l WHERE length(q) >= 2), g AS (SELECT q, x.pos AS pos, x.type AS type, x.content AS content,
 CASE WHEN regexp_matches(x.content, '(?i)deadline|截止') THEN 0.95 WHEN regexp_matches(x.content, '(?i)decided|决定') THEN 0.9 WHEN regexp_matches(x.content, '(?i)prefer|喜欢') THEN 0.8 ELSE 0.5 END::DOUBLE AS importance FROM f WHERE x.content <> '' AND q <> 'hello'),
 h AS (SELECT *, substr(md5(regexp_replace(lower(content), '[ ，。、！？；：（）]', '', 'g')), 1, 16) AS fingerprint FROM g)
 SELECT q, type, content, importance, fingerprint FROM (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY q, pos) AS n FROM h) WHERE n = 1""")
 def x7_quick(spark, d):
     """Facts of quick rules; of equal ones the first by text and rule stays."""
-    rows = literals(spark, FACTS).select("q", F.posexplode(text.quick_extract(F.col("q"))).alias("pos", "x")).select("q", "pos", "x.*")
+    rows = said(spark, d, FACTS).select("q", F.posexplode(text.quick_extract(F.col("q"))).alias("pos", "x")).select("q", "pos", "x.*")
     rows = rows.withColumn("fingerprint", text.fingerprint(F.col("content")))
     return windows.newest(rows, ["fingerprint"], [F.col("q"), F.col("pos")]).select("q", "type", "content", "importance", "fingerprint")
 
@@ -186,13 +186,13 @@ _SC = {k: f"(({_COUNT(w)}) * {2 if k in ('habit', 'skill', 'goal', 'health', 'wo
 _BEST = f"greatest({', '.join(_SC.values())})"
 
 
-@query("x13_x14_intent", f"""WITH {literal_sql(Q)}, i AS (SELECT q, CASE WHEN regexp_matches(q, '{_re((*text.NEGATION_PATTERNS, *text.NEGATION))}') THEN 'negation' WHEN regexp_matches(q, '{_re(text.MULTIHOP)}') THEN 'multihop'
+@query("x13_x14_intent", f"""WITH {said_sql(Q)}, i AS (SELECT q, CASE WHEN regexp_matches(q, '{_re((*text.NEGATION_PATTERNS, *text.NEGATION))}') THEN 'negation' WHEN regexp_matches(q, '{_re(text.MULTIHOP)}') THEN 'multihop'
  WHEN regexp_matches(q, '{_re(text.LESSON)}') THEN 'lesson' WHEN regexp_matches(q, '{_re(text.TEMPORAL)}') THEN 'temporal' WHEN regexp_matches(lower(q), '{_re(tuple(text.PINYIN))}') THEN 'fuzzy' WHEN regexp_matches(q, '{_re(text.DECISION)}') THEN 'decision'
  {' '.join(f"WHEN {_BEST} > 0 AND {_SC[k]} = {_BEST} THEN '{k}'" for k in ('habit', 'skill', 'goal', 'health', 'work', 'fact'))} ELSE 'fact' END AS intent FROM l)
 SELECT q, intent, CASE WHEN intent = 'negation' THEN 0.9 WHEN intent IN ('multihop','lesson','temporal') THEN 0.85 WHEN intent IN ('fuzzy','decision') THEN 0.8 WHEN {_BEST} > 0 AND {_BEST} IN ({', '.join(_SC[k] for k in ('habit', 'skill', 'goal', 'health', 'work', 'fact'))}) THEN 0.75 ELSE 0.5 END::DOUBLE AS confidence FROM i""")
 def x13(spark, d):
     name = text.intent(F.col("q"))
-    return literals(spark, Q).select("q", name.alias("intent")).withColumn("confidence", text.intent_confidence(F.col("q"), F.col("intent")))
+    return said(spark, d, Q).select("q", name.alias("intent")).withColumn("confidence", text.intent_confidence(F.col("q"), F.col("intent")))
 
 
 REWRITES = {

@@ -67,6 +67,15 @@ def literals(spark: SparkSession, values: list[str]) -> DataFrame:
     return spark.createDataFrame([(v,) for v in values], "q string")
 
 
+def said(spark: SparkSession, d: str, values: list[str]) -> DataFrame:
+    """q: literals and every message's text, each once."""
+    return literals(spark, values).unionByName(table(spark, d, "conversations").select(F.col("text").alias("q")).where("q IS NOT NULL")).distinct()
+
+
+def said_sql(values: list[str]) -> str:
+    return literal_sql(values)[:-1].replace("SELECT * FROM (VALUES", "SELECT q FROM (VALUES", 1) + " UNION SELECT text FROM conversations WHERE text IS NOT NULL)"
+
+
 def literal_sql(values: list[str]) -> str:
     return "l AS (SELECT * FROM (VALUES " + ", ".join("('" + v.replace("'", "''") + "')" for v in values) + ") AS t(q))"
 
