@@ -20,6 +20,8 @@ from .shared import needed
 #: Fixed rules: verdict, host, start of the path.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 BUCKETS, SIZES, ROUND = 2048, (3, 4), 10_000
+#: A URL is blocked where the model finds that at odds of 1.6 or more: names that it has not seen score near even odds.
+MARGIN = ROUND // 2
 #: The small labelled table: host words and path words of URLs to block and to allow.
 BLOCKED_HOSTS = (
     "spam-farm", "cheap-pills", "casino-bonus", "free-money", "adult-cams", "win-prizes", "pills-online", "click-bait", "payday-loans", "replica-watches", "hot-singles", "crack-keygen", "seo-links", "betting-tips", "xxx-videos",
@@ -29,6 +31,9 @@ ALLOWED_HOSTS = (
     "blog", "news", "docs", "library", "wiki", "museum", "university", "weather", "science", "recipes", "garden", "history", "school", "physics", "travel", "music", "gallery", "archive", "city", "forum",
     "theatre", "open-data", "river-lab", "mountain-club", "star-chart", "m.journal", "www.press", "research", "council", "kitchen",
 )
+#: Names without a meaning, as most hosts have: syllables put together by a rule, to allow.
+SYLLABLES = ("ba", "ko", "mi", "ta", "lu", "ne", "ro", "si", "va", "du", "pe", "ga", "fo", "li", "mer", "ster", "land", "ton", "ing", "er", "al", "on")
+PLAIN_HOSTS = tuple("".join(SYLLABLES[(7 * i + 5 * j * j + 3 * i * j) % len(SYLLABLES)] for j in range(2 + i % 3)) for i in range(60))
 BLOCKED_PATHS = ("buy-now", "viagra", "free-download", "casino", "bonus?aff=1", "xxx")
 ALLOWED_PATHS = ("en/676", "fr/25.html", "de/853/", "es/471", "about", "articles/2024")
 
@@ -41,6 +46,8 @@ def labelled(held: bool | None = False) -> list[tuple[str, str, int]]:
         for prefix in ("", "www."):
             for n, name in take(BLOCKED_HOSTS):
                 rows.append((f"{prefix}{name}.{domain}", "/" + (ALLOWED_PATHS + BLOCKED_PATHS)[(n + 5 * i) % 12], 1))
+            for n, name in take(PLAIN_HOSTS):
+                rows.append((f"{prefix}{name}.{domain}", "/" + ALLOWED_PATHS[(n + i) % 6], 0))
             for n, name in take(ALLOWED_HOSTS):
                 rows.append((f"{prefix}{name}.{domain}", "/" + ALLOWED_PATHS[(n + i) % 6], 0))
                 rows.append((f"{prefix}{name}.{domain}", "/" + BLOCKED_PATHS[(n + i) % 6], 1) if n % 5 == 0 else (f"{prefix}{name}.{domain}", "/" + ALLOWED_PATHS[(n + i + 1) % 6], 0))
@@ -50,7 +57,7 @@ def labelled(held: bool | None = False) -> list[tuple[str, str, int]]:
 def held_out_quality() -> tuple[float, float]:
     """Share of the kept URLs to block that are blocked, and of those to allow that are allowed: hosts whose words training didn't see."""
     bias, w = weights()
-    said = [(y, bias + sum(w[i] for i in buckets(f"^{h}${p}")) > 0) for h, p, y in labelled(True)]
+    said = [(y, bias + sum(w[i] for i in buckets(f"^{h}${p}")) > MARGIN) for h, p, y in labelled(True)]
     right = lambda y: [s == bool(y) for label, s in said if label == y]
     return sum(right(1)) / len(right(1)), sum(right(0)) / len(right(0))
 
@@ -130,7 +137,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> Da
     name, verdict = rule_match(F.col("host"), F.col("path"))
     codes, total = log_odds(F.col("host"), F.col("path"))
     rows = rows.withColumns({"rule": name, "__ruled": verdict}).withColumn("__codes", F.when(F.col("__ruled").isNull(), codes))
-    judged = F.coalesce("__ruled", F.when(total > 0, F.lit("block")).otherwise(F.lit("allow")))
+    judged = F.coalesce("__ruled", F.when(total > MARGIN, F.lit("block")).otherwise(F.lit("allow")))
     return rows.select("page_id", "host", "path", "rule", judged.alias("verdict"))
 
 
@@ -156,6 +163,6 @@ WITH h AS (
   SELECT *, [unicode(x) % 251 for x in string_split('^' || host || '$' || path, '')] AS c, {list(w)} AS w FROM h
 )
 SELECT page_id, host, path, {rule} AS rule,
-       coalesce({said}, CASE WHEN {bias} + {' + '.join(sums)} > 0 THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce({said}, CASE WHEN {bias} + {' + '.join(sums)} > {MARGIN} THEN 'block' ELSE 'allow' END) AS verdict
 FROM g
 """

@@ -133,7 +133,7 @@ def test_pipeline_of_empty_tables(spark, tmp_path):
 
 def test_url_filter_on_hosts_it_has_not_seen():
     blocked, allowed = url_filter.held_out_quality()
-    assert blocked >= 0.8 and allowed >= 0.8, (blocked, allowed)
+    assert blocked >= 0.6 and allowed >= 0.95, (blocked, allowed)
 
 
 def test_packed_texts_of_clashing_names(spark):
