@@ -50,6 +50,7 @@ def size_text(size: Column) -> Column:
 
 
 def error_class(message: Column) -> Column:
+    """By words of a message; the words are fixed values, as messages of the services they name have them."""
     low = F.lower(message)
     return F.when(low.rlike("ollama|connection"), "not_connected").when(low.rlike("database|lance"), "not_initialized").when(low.contains("timeout"), "search_failed").otherwise("unknown")
 
