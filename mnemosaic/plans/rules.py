@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mnemosaic.functions import scoring, text
-from mnemosaic.operators import windows
+from mnemosaic.operators import search, windows
 
 from .registry import query
 from .views import MEM, NOW, literal_sql, literals, memories, said, said_sql, table
@@ -31,9 +31,12 @@ r AS (SELECT *, count(*) OVER (PARTITION BY hash ORDER BY epoch_us(created_at) R
 x AS (SELECT id, repeats, {DENOISE} AS reason, CASE WHEN importance > 0.5 THEN 'warm' WHEN importance >= 0.3 THEN 'cold' ELSE 'discard' END AS class FROM r)
 SELECT id, repeats, reason, class, reason IS NULL AND class <> 'discard' AS stored FROM x""")
 def f1(spark, d):
-    m = windows.repeats_before(memories(spark, d).withColumn("hash", text.content_hash(F.col("content"))), "hash", "created_at")
-    m = m.withColumns({"reason": text.denoise_reason(F.col("content"), F.col("importance"), F.lit(1.0), F.col("repeats")), "class": scoring.keep_class(F.col("importance"))})
-    return m.select("id", "repeats", "reason", "class", (F.col("reason").isNull() & (F.col("class") != "discard")).alias("stored"))
+    """Texts are judged where they are read; only hashes, times and the judgement are moved to count repeats, which rank before a generic reply."""
+    m = search.spread(memories(spark, d).select("id", "content", "importance", "created_at"))
+    judged = m.select("id", "created_at", text.content_hash(F.col("content")).alias("hash"), text.denoise_reason(F.col("content"), F.col("importance"), F.lit(1.0), F.lit(0)).alias("first"), scoring.keep_class(F.col("importance")).alias("class"))
+    counted = windows.repeats_before(judged, "hash", "created_at")
+    reason = F.when((F.col("repeats") >= 3) & (F.col("first").isNull() | (F.col("first") == "generic")), "repeat").otherwise(F.col("first"))
+    return counted.select("id", "repeats", reason.alias("reason"), "class", (reason.isNull() & (F.col("class") != "discard")).alias("stored"))
 
 
 DENOISED = {
