@@ -77,7 +77,7 @@ def _channels(spark, d, k: int = 30):  # noqa: ANN001, ANN202
     best = m.orderBy(F.desc("importance"), "id").limit(k).select("id", F.col("importance").alias("score"))
     vectors = table(spark, d, "embeddings").selectExpr("vec_id AS id", "cast(embedding AS array<double>) AS vector")
     asked = q.select("qid").join(vectors.select(F.col("id").alias("qid"), F.col("vector").alias("v")), "qid")
-    near = search.vector_top(vectors.join(memories(spark, d).select("id"), "id", "left_semi"), asked, k, metric="l2")
+    near = search.stored(search.vector_top(vectors.join(memories(spark, d).select("id"), "id", "left_semi"), asked, k, metric="l2"))
     words = search.stored(_bm25_top(spark, d, k))
     edges = name_graph(spark, d)
     names = edges.select(F.col("src").alias("name")).unionByName(edges.select(F.col("dst").alias("name"))).distinct()
@@ -110,7 +110,7 @@ g AS (SELECT f.*, {_VALID} AS valid FROM f JOIN mem USING (id)), o AS (SELECT *,
 
 def _fused(spark, d, keep: int = 10):  # noqa: ANN001, ANN202
     """qid, id, pos, rrf, channels, distance of each query's best rows, valid ones first; the distance is .5 where the vector channel doesn't have the row."""
-    ch = {name: search.stored(df.select("qid", "id", "score", "rank")) for name, df in _channels(spark, d).items()}
+    ch = _channels(spark, d)
     fused = search.rrf(ch, dict.fromkeys(ch, 0.25))
     near = ch["vector"].select("qid", "id", (1 - F.col("score")).alias("distance"))
     valid = memories(spark, d).select("id", text.is_valid(F.col("content")).alias("valid"))
