@@ -44,7 +44,9 @@ def _hits(docs: DataFrame, terms: DataFrame, variant: str, id_col: str, text_col
     """
     tokens_of, length, _ = VARIANTS[variant]
     tokens = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("x"))).select("id", tokens_of(F.col("x")).alias("t"))
-    rows = tokens.select("id", F.greatest(length(F.col("t")), F.lit(0)).alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.coalesce("t", F.array().cast("array<string>")))).alias("term"))
+    # What stands beside an explode is computed for every row that it makes, so the length comes before it: once for each text.
+    tokens = tokens.withColumn("dl", F.greatest(length(F.col("t")), F.lit(0)))
+    rows = tokens.select("id", "dl", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.coalesce("t", F.array().cast("array<string>")))).alias("term"))
     asked = terms.select(F.col("term").alias("asked")).distinct()
     rows = rows.join(asked, F.col("term") == F.col("asked"), "left").where("term IS NULL OR asked IS NOT NULL")
     hits = stored(rows.groupBy("id", "dl", "term").agg(F.count("*").alias("tf")))

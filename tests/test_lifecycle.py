@@ -146,6 +146,19 @@ def test_best_bm25_equals_all_pairs_cut(spark, monkeypatch):
     assert search.bm25_top(docs, queries.limit(0), 5).count() == 0
 
 
+def test_lengths_are_counted_once_for_each_text(spark, monkeypatch):
+    texts = [" ".join(f"w{i}" for i in range(n)) + " w1" * more for n, more in ((3000, 2), (5, 0), (0, 3), (40, 40))] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
+    plans, plain = [], search.stored
+    monkeypatch.setattr(search, "stored", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString().split("\n")) or plain(df))
+    hits, stats = search._hits(docs, spark.createDataFrame([("w1",), ("w39",)], "term string"), "core", "id", "content")
+    assert {(r.id, r.term, r.tf, r.dl) for r in hits.collect()} == {(0, "w1", 3, 3000), (0, "w39", 1, 3000), (1, "w1", 1, 5), (2, "w1", 3, 1), (3, "w1", 41, 40), (3, "w39", 1, 40)}
+    assert tuple(stats.first()) == (6, 3046 / 6)
+    # Lower in a plan is earlier: no step on the rows of words looks at a whole text's words.
+    (explode,) = [n for n, line in enumerate(plans[0]) if "Generate explode" in line]
+    assert [n > explode for n, line in enumerate(plans[0]) if "array_distinct" in line] == [True]
+
+
 def test_common_terms_meet_queries_in_pieces(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"common word{i % 7} text") for i in range(60)], "id long, content string")
     queries = spark.createDataFrame([(1, "common word3"), (2, "text")], "qid long, q string")
